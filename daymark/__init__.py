@@ -10,4 +10,12 @@ Sub-packages
 ``catalog``     registered queries with the SQL each one must agree with
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few helpers that run in Python workers travel with the job, so executors need no copy of
+# this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

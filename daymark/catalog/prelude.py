@@ -15,8 +15,12 @@ from daymark.sources import series
 EVENT_FIRST = dt.date(2024, 1, 1)
 #: Members are split here: earlier origins fit weights, later ones are scored.
 TEST_START = dt.date(2024, 1, 20)
+#: Windows of the long history: training before, weights fitted inside, scores from the end on.
+SLOT_FIRST = dt.date(1995, 2, 1)
+SLOT_VALIDATION = dt.date(1999, 1, 1)
+SLOT_TEST = dt.date(2000, 1, 1)
 #: Previous-day maximum above which a day counts as stressed, on ``hourly_by_type``.
-STRESS = 300.0
+STRESS = 550.0
 
 _SPINE = """
 {name}_span AS (
@@ -87,6 +91,21 @@ members AS (
   FROM by_type a JOIN by_type b ON b.series_id = a.series_id AND b.hour = a.hour
    AND b.day BETWEEN a.day - 3 AND a.day - 1
   WHERE a.day >= DATE '2024-01-08'
+  GROUP BY a.series_id, a.day, a.hour, a.price HAVING count(*) = 3)"""),
+    "slot_members": (("slots",), """
+slot_members AS (
+  SELECT a.series_id, a.day AS origin, a.hour, a.price AS y_true, b.price AS y_pred, m.model
+  FROM slots a
+  JOIN (VALUES ('lag1'), ('lag7'), ('naive')) AS m(model) ON TRUE
+  JOIN slots b ON b.series_id = a.series_id AND b.hour = a.hour
+   AND b.day = a.day - CASE m.model WHEN 'lag1' THEN 1 WHEN 'lag7' THEN 7 ELSE
+         CASE WHEN isodow(a.day) = 1 THEN 3 WHEN isodow(a.day) >= 6 THEN 7 ELSE 1 END END
+  WHERE a.day >= DATE '1995-02-01'
+  UNION ALL
+  SELECT a.series_id, a.day, a.hour, a.price, avg(b.price), 'mean3'
+  FROM slots a JOIN slots b ON b.series_id = a.series_id AND b.hour = a.hour
+   AND b.day BETWEEN a.day - 3 AND a.day - 1
+  WHERE a.day >= DATE '1995-02-01'
   GROUP BY a.series_id, a.day, a.hour, a.price HAVING count(*) = 3)"""),
     "daily_members": (("members",), """
 daily_members AS (
@@ -95,7 +114,7 @@ daily_members AS (
   HAVING count(*) = 24 AND count(DISTINCT hour) = 24)"""),
     "regimes": (("members",), """
 regimes AS (
-  SELECT d.series_id, d.origin, CASE WHEN p.top > 300.0 THEN 'stressed' ELSE 'calm' END AS regime
+  SELECT d.series_id, d.origin, CASE WHEN p.top > 550.0 THEN 'stressed' ELSE 'calm' END AS regime
   FROM (SELECT DISTINCT series_id, origin FROM members) d
   LEFT JOIN (SELECT series_id, origin, max(y_true) AS top FROM members GROUP BY 1, 2) p
     ON p.series_id = d.series_id AND p.origin = d.origin - 1)"""),
@@ -127,18 +146,22 @@ def by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.hourly_by_type(spark, sf_dir)
 
 
-def members_of(hourly: DataFrame) -> DataFrame:
-    """Four look-up forecasts of the same hours, from day 8 on so that all cover every origin."""
+def members_of(hourly: DataFrame, start: dt.date) -> DataFrame:
+    """Four look-up forecasts of the same hours, from ``start`` on so that all cover every origin."""
     rules = {
         "lag1": same_hour(1), "lag7": same_hour(7), "naive": similar_day,
         "mean3": same_hour_mean((1, 2, 3)),
     }
-    start = F.lit(EVENT_FIRST + dt.timedelta(days=7))
-    return lookup_forecasts(hourly, rules, (1, 2, 3, 7)).filter(F.col("origin") >= start)
+    return lookup_forecasts(hourly, rules, (1, 2, 3, 7)).filter(F.col("origin") >= F.lit(start))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members_of(by_type(spark, sf_dir))
+    return members_of(by_type(spark, sf_dir), EVENT_FIRST + dt.timedelta(days=7))
+
+
+def slot_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same four models over the long hourly history of ``lineitem``."""
+    return members_of(series.delivery_slots(spark, sf_dir), SLOT_FIRST)
 
 
 MODELS = ("lag1", "lag7", "mean3", "naive")

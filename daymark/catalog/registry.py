@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, "Query"] = {}
 
+#: Averages of cent amounts often sit exactly on a rounding tie, where the last bit of a sum,
+#: and so the order of its terms, would decide the digit. A shift far below the last shown
+#: digit takes values off the tie on both sides.
+TIE_SHIFT = 3.7e-9
+
 
 @dataclass(frozen=True)
 class Query:
@@ -43,7 +48,7 @@ class Query:
 def _spark_field(name: str, kind: str):
     c = F.col(f"`{name}`")
     if kind.isdigit():
-        r = F.round(c.cast("double"), int(kind))
+        r = F.round(c.cast("double") + TIE_SHIFT, int(kind))
         c = F.when(r == 0, 0.0).otherwise(r)
     elif kind in ("d", "s"):
         c = c.cast("string")
@@ -57,7 +62,7 @@ def _spark_field(name: str, kind: str):
 def _sql_field(name: str, kind: str) -> str:
     q = f'"{name}"'
     if kind.isdigit():
-        r = f"round(CAST({q} AS DOUBLE), {kind})"
+        r = f"round(CAST({q} AS DOUBLE) + {TIE_SHIFT}, {kind})"
         return f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS {q}"
     if kind in ("d", "s"):
         return f"CAST({q} AS VARCHAR) AS {q}"

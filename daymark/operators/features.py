@@ -33,18 +33,14 @@ def day_vectors(df: DataFrame, columns: Sequence[str] = ("price", *EXOG)) -> Dat
     """F1. One row per (series, day): a 24-slot array per column, NULL where an hour is absent.
 
     Fixed-size conditional aggregates keep the buffer bounded however often an hour repeats;
-    ``n_rows`` and ``n_hours`` let callers see repeats and holes.
+    ``n_rows`` lets callers see repeats and holes.
     """
     df = with_day_hour(df)
-    wide = df.groupBy(*SERIES_DAY).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.max(F.when(F.col("hour") == h, F.col(c))).alias(f"{c}_{tag}")
-          for c in columns for h, tag in zip(HOURS, HOUR_TAGS)],
-    )
-    return wide.select(
-        *SERIES_DAY, "n_rows",
-        *[F.array(*[F.col(f"{c}_{tag}") for tag in HOUR_TAGS]).alias(c) for c in columns],
-    )
+    slots = [
+        "array(" + ", ".join(f"max(case when hour = {h} then {c} end)" for h in HOURS) + f") as {c}"
+        for c in columns]
+    return df.groupBy(*SERIES_DAY).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.expr(x) for x in slots])
 
 
 def daily_wide(df: DataFrame, columns: Sequence[str] = ("price", *EXOG),
@@ -58,7 +54,7 @@ def daily_wide(df: DataFrame, columns: Sequence[str] = ("price", *EXOG),
 def spread(df: DataFrame, vectors: dict[str, str], keep: Sequence[str] = SERIES_DAY) -> DataFrame:
     """Expand 24-slot arrays to flat columns named ``{prefix}_hNN``."""
     return df.select(*keep, *[
-        F.get(F.col(name), F.lit(h)).alias(f"{prefix}_{tag}")
+        F.expr(f"get(`{name}`, {h}) as `{prefix}_{tag}`")
         for name, prefix in vectors.items() for h, tag in zip(HOURS, HOUR_TAGS)
     ])
 
@@ -176,12 +172,12 @@ def targets(features: DataFrame) -> DataFrame:
 def flat_features(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """Flat 247-column form of ``x``; only for the model boundary and inspection."""
     return features.select(
-        *SERIES_DAY, *[F.get("x", F.lit(i)).alias(name) for i, name in enumerate(names)])
+        *SERIES_DAY, *[F.expr(f"get(x, {i}) as `{name}`") for i, name in enumerate(names)])
 
 
 def long_features(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """(series_id, day, feature, value)."""
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = F.expr("array(" + ", ".join(f"'{n}'" for n in names) + ")")
     return features.select(*SERIES_DAY, F.posexplode("x").alias("_i", "value")).select(
         *SERIES_DAY, F.get(labels, F.col("_i")).alias("feature"), "value")
 
