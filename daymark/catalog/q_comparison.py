@@ -12,6 +12,7 @@ from daymark.catalog.q_ensemble import _trio, BY_REGIME, REGIME_SQL, STATIC, STA
 from daymark.catalog.registry import query
 from daymark.operators import comparison as C
 from daymark.operators import ensemble as E
+from daymark.session import materialize
 
 
 def upper_tail_sql(z: str) -> str:
@@ -37,7 +38,7 @@ dm_v AS (SELECT {keys}, n, dbar, lags, iid_var, any_value(iid_var) + coalesce(su
   FROM dm_n LEFT JOIN dm_c USING ({keys}) WHERE k IS NULL OR k <= lags OR lags = 0
   GROUP BY {keys}, n, dbar, lags, iid_var),
 dm AS (SELECT {keys}, n, dbar, lags, iid_var, CASE WHEN v > 0 THEN v ELSE iid_var END AS variance,
-  dbar / sqrt(CASE WHEN v > 0 THEN v ELSE iid_var END / n) AS stat FROM dm_v)"""
+  CASE WHEN n >= 3 THEN dbar / sqrt(CASE WHEN v > 0 THEN v ELSE iid_var END / n) END AS stat FROM dm_v)"""
 
 
 def _iid_sql(source, keys):
@@ -122,7 +123,8 @@ _ENSEMBLES = STATIC_SQL + "," + REGIME_SQL
 
 
 def _ensembles(spark, d):
-    m = _trio(P.members(spark, d))
+    # Stage boundary: both ensembles and all labels read the stored member forecasts.
+    m = materialize(_trio(P.members(spark, d)), "members")
     return E.combine(m, STATIC, "static").unionByName(
         E.combine_by_regime(m, BY_REGIME, P.STRESS, "regime"))
 

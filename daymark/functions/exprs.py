@@ -56,6 +56,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den)
 
 
+def non_negative_root(c: Column) -> Column:
+    """Square root of a variance whose last bits may have gone below zero; NULL stays NULL."""
+    return F.when(c > 0, F.sqrt(c)).when(c <= 0, 0.0)
+
+
 def bias_corrected_skewness(c: str | Column) -> Column:
     """Sample skewness G1 (the pandas convention); Spark's own is the population form."""
     c = col(c)

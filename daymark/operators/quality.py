@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daymark.functions.exprs import hour_floor, ratio, unix_micros_ntz
+from daymark.functions.exprs import hour_floor, non_negative_root, ratio, unix_micros_ntz
 from daymark.operators.ordered import attach
 from daymark.sources.series import hour_spine
 
@@ -201,7 +201,7 @@ def quality_report(df: DataFrame, columns: Sequence[str] = ("price", "exog_1", "
         "series_id", "n_rows", "first_ts", "last_ts",
         (span - F.col("_hours")).cast("bigint").alias("missing_hours"),
         *[f"null_{c}" for c in columns],
-        mean.alias("mean_price"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_price"),
+        mean.alias("mean_price"), non_negative_root(var).alias("std_price"),
         "min_price", "max_price", "negative_hours",
         ratio(100.0 * F.col("negative_hours"), F.col("n_rows")).alias("negative_pct"),
     )
