@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daymark.functions.exprs import HOURS
-from daymark.operators.features import SERIES_DAY, calendar_lags, day_number, day_vectors, vector_mean
+from daymark.operators.features import SERIES_DAY, calendar_lags, day_vectors, vector_mean
 from daymark.operators.solvers import centre_scale, elastic_net, lasso_aic
 from daymark.operators.splits import positions, validate_range
 
@@ -170,16 +170,18 @@ def _arx(rows: DataFrame, keys: Sequence[str], window: int, refit_every: int, mo
          ) -> DataFrame:
     """Rolling least squares of the day-on-day change, refitted every ``refit_every`` days.
 
-    Cross-products are summed once per (key, chunk of ``refit_every`` days); a training window
-    is a sum over the preceding chunk rows. No observation is copied into the windows it
-    belongs to.
+    Days with known regressors are counted off in chunks of ``refit_every``. Cross-products are
+    summed once per (key, chunk); a training window is a sum over the preceding chunk rows. No
+    observation is copied into the windows it belongs to.
     """
     if window % refit_every:
         raise ValueError("the window must be a whole number of refit periods")
     per_window = window // refit_every
     names = list(REGRESSORS)
     ready = rows.filter(" and ".join(f"{c} is not null" for c in (*names, "last_y")))
-    chunked = ready.withColumn("chunk", F.floor(day_number("origin") / refit_every))
+    order = Window.partitionBy(*keys).orderBy("origin")  # one row per day and key
+    chunked = ready.withColumn(
+        "chunk", F.floor((F.row_number().over(order) - 1) / refit_every))
     usable = chunked.filter("y is not null").withColumn("dy", F.col("y") - F.col("last_y"))
     products = [f"sum({a} * {b})" for i, a in enumerate(names) for b in names[i:]]
     products += [f"sum({a} * dy)" for a in names]
@@ -324,13 +326,17 @@ def freeze(features: DataFrame, prices: DataFrame, window: int, path: str,
            params: dict | None = None) -> None:
     """M10. Fit on the final window and store the models with their metadata."""
     train = final_window(features, window)
-    for h, m in fit_gbt(train, params).items():
-        PipelineModel([m]).write().overwrite().save(f"{path}/hour={h:02d}")
+    fitted = fit_gbt(train, params)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda h: PipelineModel([fitted[h]]).write().overwrite().save(
+            f"{path}/hour={h:02d}"), HOURS))
     frozen_metadata(features, prices, window).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def load_frozen(path: str) -> dict[int, GBTRegressionModel]:
-    return {h: PipelineModel.load(f"{path}/hour={h:02d}").stages[0] for h in HOURS}
+    with ThreadPoolExecutor(8) as pool:
+        loaded = pool.map(lambda h: PipelineModel.load(f"{path}/hour={h:02d}").stages[0], HOURS)
+        return dict(zip(HOURS, loaded))
 
 
 def score_frozen(path: str, live: DataFrame, model: str = "gbt") -> DataFrame:

@@ -33,25 +33,28 @@ def lasso_aic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     if noise <= 0:
         return full, my - float(mx @ full)
     w, active, barred = np.zeros(p), [], gram.diagonal() <= 1e-12 * max(gram.diagonal().max(), 1.0)
+    inverse = np.zeros((0, 0))  # of the active block of the Gram matrix, updated step by step
     best, best_w = yy / noise, w.copy()
-    level = np.abs(np.where(barred, 0.0, corr)).max()
+    start = np.abs(np.where(barred, 0.0, corr))
+    level, enter = float(start.max()), int(np.argmax(start))
     floor = 1e-9 * max(level, 1.0)
-    enter = int(np.argmax(np.abs(np.where(barred, 0.0, corr))))
+    target = corr.copy()
     for _ in range(8 * p):
         if enter >= 0:
-            trial = active + [enter]
-            sub = gram[np.ix_(trial, trial)]
-            # Refuse a variable that is a combination of those already in.
-            if active:
-                part = np.linalg.solve(sub[:-1, :-1], sub[:-1, -1])
-                if sub[-1, -1] - part @ sub[:-1, -1] < 1e-7 * sub[-1, -1]:
-                    barred[enter] = True
-                    trial = active
-            active = trial
+            border = gram[active, enter]
+            part = inverse @ border
+            spare = gram[enter, enter] - border @ part
+            if spare < 1e-7 * gram[enter, enter]:
+                barred[enter] = True  # a combination of the variables already in
+            else:
+                grown = np.empty((len(active) + 1,) * 2)
+                grown[:-1, :-1] = inverse + np.outer(part, part) / spare
+                grown[:-1, -1] = grown[-1, :-1] = -part / spare
+                grown[-1, -1] = 1 / spare
+                inverse, active = grown, [*active, enter]
         if not active:
             break
-        signs = np.sign(corr[active])
-        step_dir = np.linalg.solve(gram[np.ix_(active, active)], signs)
+        step_dir = inverse @ np.sign(corr[active])
         drift = gram[:, active] @ step_dir
         outside = np.ones(p, dtype=bool)
         outside[active] = False
@@ -75,8 +78,11 @@ def lasso_aic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         level -= gamma
         if leave >= 0:
             w[active[leave]] = 0.0
+            rest = np.arange(len(active)) != leave
+            inverse = inverse[np.ix_(rest, rest)] - np.outer(
+                inverse[rest, leave], inverse[leave, rest]) / inverse[leave, leave]
             active = active[:leave] + active[leave + 1:]
-        rss = yy - w @ (xc.T @ yc) - w @ corr
+        rss = yy - w @ target - w @ corr
         aic = rss / noise + 2 * np.count_nonzero(w)
         if aic < best:
             best, best_w = aic, w.copy()
