@@ -12,16 +12,18 @@ import duckdb
 from pyspark.sql import SparkSession
 
 
-def session(cpus: str = "8") -> SparkSession:
-    spark = (
+def session(cpus: str = "8", extra: dict[str, str] | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("daymark")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
