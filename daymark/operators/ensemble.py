@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions.exprs import ratio
+from daymark.operators.features import calendar_lags
 from daymark.operators.ordered import attach
 from daymark.operators.quality import CheckFailed, refuse_any, require_no_nulls
+from daymark.operators.scoring import pack_days, signed_error, unpack_days
 from daymark.operators.splits import require_before
 from daymark.session import materialize
 
@@ -71,9 +73,9 @@ def day_peaks(frame: DataFrame) -> DataFrame:
 
 def _previous_peak(peaks: DataFrame) -> DataFrame:
     """Adds the peak of the previous calendar day and whether that day exists."""
-    before = peaks.select("series_id", F.date_add("origin", 1).alias("origin"),
-                          F.col("peak").alias("prev_peak"), F.lit(True).alias("_known"))
-    return peaks.select("series_id", "origin").join(before, ["series_id", "origin"], "left")
+    return calendar_lags(peaks.withColumn("_here", F.lit(True)), {
+        "prev_peak": ("peak", 1), "_known": ("_here", 1)}, day="origin").select(
+        "series_id", "origin", "prev_peak", "_known")
 
 
 def regime_labels(frame: DataFrame, threshold: float | DataFrame, default: str = CALM
@@ -291,19 +293,19 @@ def recalibration_sweep(frame: DataFrame, windows: Sequence[int] = (7, 14, 30),
                         cold_start: str = "exclude", by: Sequence[str] = ("model",)) -> DataFrame:
     """E10/E11. Raw against corrected errors on the same surviving days, per window.
 
-    All windows are carried side by side: one window pass over the days, one join back to the
-    hours, one week-ago join, one aggregation. The summary is unpivoted at the end.
+    All windows are carried side by side on day vectors: corrections are one window over the
+    days, last week's truth a calendar lag, and the summary is unpivoted at the end. The
+    hourly frame is shuffled once and never joined with itself.
     """
     names = [f"_c{w}" for w in windows]
-    corrections = daily_signed_error(frame).withColumns(
-        {n: _correction(w, cold_start) for n, w in zip(names, windows)}).drop("signed")
-    rows = frame.join(corrections, MODEL_DAY)
-    slot = ["series_id", "model", "hour"]
-    past = rows.select(*slot, F.date_add("origin", 7).alias("origin"),
-                       F.col("y_true").alias("_week"), *[F.col(n).alias(f"_w{n}") for n in names])
-    rows = rows.join(past, [*slot, "origin"], "left")
+    days = pack_days(frame, MODEL_DAY).withColumn("signed", signed_error())
+    days = days.withColumns({n: _correction(w, cold_start) for n, w in zip(names, windows)})
+    days = calendar_lags(days, {
+        "_week": ("y_true", 7), **{f"_w{n}": (n, 7) for n in names}},
+        day="origin", keys=("series_id", "model"))
+    rows = unpack_days(days, [*names, *[f"_w{n}" for n in names]], {"_last_week": "_week"})
     error = F.col("y_true") - F.col("y_pred")
-    week = F.abs(F.col("y_true") - F.col("_week"))
+    week = F.abs(F.col("y_true") - F.col("_last_week"))
     aggs = [F.avg(F.abs(error)).alias("_all"), F.avg(week).alias("_all_naive")]
     for n in names:
         known = F.col(n).isNotNull()

@@ -14,6 +14,7 @@ from daymark.functions.exprs import (
     bias_corrected_kurtosis, bias_corrected_skewness, nan_to_null, non_negative_root, ratio)
 from daymark.functions.tails import upper_tail
 from daymark.operators.ordered import attach, running_sum, with_halo, with_position
+from daymark.session import materialize
 
 SERIES = ["series_id"]
 
@@ -136,13 +137,12 @@ def days_over_threshold(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def _centred(df: DataFrame) -> DataFrame:
-    """Known prices with their 0-based position and deviation from the series mean."""
+    """Known prices with their 0-based position, their number and deviation from the mean."""
     known = df.select("series_id", "ts", nan_to_null("price").alias("price")).filter(
         "price is not null")
-    mean = known.groupBy(*SERIES).agg(F.avg("price").alias("_mean"),
-                                      F.count(F.lit(1)).alias("n"))
-    rows = attach(known, mean, SERIES, "ts").withColumn("e", F.col("price") - F.col("_mean"))
-    return with_position(rows, SERIES, "ts", _month())
+    rows = with_position(known, SERIES, "ts", _month(), totals={
+        "_sum": F.sum("price"), "n": F.count(F.lit(1))})
+    return rows.withColumn("e", F.col("price") - F.col("_sum") / F.col("n"))
 
 
 def _blocks(rows: DataFrame, reach: int, value: str) -> DataFrame:
@@ -169,29 +169,32 @@ def autocovariance(df: DataFrame, lags: int) -> DataFrame:
     Every block multiplies its own rows with up to ``lags`` earlier ones; the products are
     summed per (series, k). Rows are not multiplied by lags in any shuffle.
     """
-    rows = _centred(df)
+    return _autocovariance(_centred(df), lags)
+
 
+def _autocovariance(rows: DataFrame, lags: int) -> DataFrame:
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = [_lag_products(np.asarray(v, dtype=float), int(o), lags)
                      for v, o in zip(pdf["values"], pdf["own_from"])]
+            own = [len(v) - int(o) for v, o in zip(pdf["values"], pdf["own_from"])]
             yield pd.DataFrame({
                 "series_id": np.repeat(pdf["series_id"].to_numpy(), lags + 1),
                 "k": np.tile(np.arange(lags + 1, dtype=np.int32), len(pdf)),
-                "s": np.concatenate(parts) if parts else np.zeros(0)})
+                "s": np.concatenate(parts) if parts else np.zeros(0),
+                "own": np.repeat(np.array(own, dtype=np.int64), lags + 1)})
 
-    partial = _blocks(rows, lags, "e").mapInPandas(products, "series_id string, k int, s double")
-    size = rows.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"))
-    return partial.groupBy("series_id", "k").agg(F.sum("s").alias("_s")).join(
-        size, SERIES).filter("k < n").select(
+    partial = _blocks(rows, lags, "e").mapInPandas(
+        products, "series_id string, k int, s double, own bigint")
+    return partial.groupBy("series_id", "k").agg(
+        F.sum("own").alias("n"), F.sum("s").alias("_s")).filter("k < n").select(
         "series_id", "k", "n", (F.col("_s") / F.col("n")).alias("acov"))
 
 
 def acf(df: DataFrame, lags: int = 192) -> DataFrame:
     """X10. Autocorrelation at lags 0..``lags``."""
-    cov = autocovariance(df, lags)
-    zero = cov.filter("k = 0").select("series_id", F.col("acov").alias("_c0"))
-    return cov.join(zero, SERIES).select(
+    zero = F.first("acov").over(Window.partitionBy("series_id").orderBy("k"))
+    return autocovariance(df, lags).withColumn("_c0", zero).select(
         "series_id", "k", "n", ratio(F.col("acov"), F.col("_c0")).alias("acf"))
 
 
@@ -323,10 +326,10 @@ def kpss(df: DataFrame, lags: int | None = None, most_lags: int = 400) -> DataFr
     Without ``lags`` the data-dependent rule of Hobijn et al. (1998) is used, evaluated from
     the same autocovariances.
     """
-    rows = _centred(df)
+    rows = materialize(_centred(df), "centred")  # read by both parts of the statistic
     sums = running_sum(rows, SERIES, "ts", _month(), "e", "_s").groupBy(*SERIES).agg(
         F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.first("n").alias("n"))
-    cov = autocovariance(df, lags if lags is not None else most_lags)
+    cov = _autocovariance(rows, lags if lags is not None else most_lags)
     chosen = kpss_lags(cov) if lags is None else sums.select("series_id", F.lit(lags).alias("lags"))
     weight = F.when(F.col("k") == 0, 1.0).otherwise(
         2 * (1 - F.col("k") / (F.col("lags") + 1.0)))

@@ -182,16 +182,15 @@ def _arx(rows: DataFrame, keys: Sequence[str], window: int, refit_every: int, mo
     order = Window.partitionBy(*keys).orderBy("origin")  # one row per day and key
     chunked = ready.withColumn(
         "chunk", F.floor((F.row_number().over(order) - 1) / refit_every))
-    usable = chunked.filter("y is not null").withColumn("dy", F.col("y") - F.col("last_y"))
-    products = [f"sum({a} * {b})" for i, a in enumerate(names) for b in names[i:]]
-    products += [f"sum({a} * dy)" for a in names]
-    sums = usable.groupBy(*keys, "chunk").agg(
-        *[F.expr(f"{p} as _s{i}") for i, p in enumerate(products)],
-        F.count(F.lit(1)).alias("_n"))
+    # A day without a known price is forecast but adds nothing to the sums.
+    products = [f"case when y is not null then {a} * {b} end"
+                for i, a in enumerate(names) for b in names[i:]]
+    products += [f"{a} * (y - last_y)" for a in names]
+    sums = chunked.groupBy(*keys, "chunk").agg(
+        *[F.expr(f"sum({p}) as _s{i}") for i, p in enumerate(products)],
+        F.count("y").alias("_n"))
     past = Window.partitionBy(*keys).orderBy("chunk").rangeBetween(-per_window, -1)
-    # A chunk must exist to be forecast even if its own days have no known price yet.
-    chunks = chunked.select(*keys, "chunk").distinct().join(sums, [*keys, "chunk"], "left")
-    fits = chunks.select(
+    fits = sums.select(
         *keys, "chunk", F.sum("_n").over(past).alias("n_train"),
         F.array(*[F.sum(f"_s{i}").over(past) for i in range(len(products))]).alias("_sums"))
     # Every window is full length: a shorter history gives no forecast.

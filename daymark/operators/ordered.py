@@ -30,25 +30,33 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], spread: str | C
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def _chunk_offsets(df: DataFrame, keys: Sequence[str], chunk: str, value: Column) -> DataFrame:
-    """Sum of ``value`` over all earlier chunks of a key; one row per (key, chunk)."""
-    w = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, chunk).agg(value.alias("_total"))
-    return totals.select(
-        *keys, chunk, F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_offset")
-    )
+def _chunk_offsets(df: DataFrame, keys: Sequence[str], chunk: str, value: Column,
+                   totals: dict[str, Column] | None = None) -> DataFrame:
+    """Sum of ``value`` over all earlier chunks of a key; one row per (key, chunk).
+
+    ``totals`` are additive aggregates; their sum over the whole key is attached as well.
+    """
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals or {}
+    parts = df.groupBy(*keys, chunk).agg(
+        value.alias("_total"), *[c.alias(n) for n, c in totals.items()])
+    return parts.select(
+        *keys, chunk, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"),
+        *[F.sum(n).over(whole).alias(n) for n in totals])
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, chunk: Column,
-                  name: str = "pos") -> DataFrame:
+                  name: str = "pos", totals: dict[str, Column] | None = None) -> DataFrame:
     """0-based rank of each row inside its key by ``order``.
 
     ``chunk`` must be monotone in ``order`` (for example the month of a timestamp). Only one
-    row per (key, chunk) is ever ordered across the whole key.
+    row per (key, chunk) is ever ordered across the whole key. ``totals`` adds sums over the
+    whole key at no extra pass.
     """
     df = df.withColumn("_chunk", chunk)
     local = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    offsets = _chunk_offsets(df, keys, "_chunk", F.count(F.lit(1)))
+    offsets = _chunk_offsets(df, keys, "_chunk", F.count(F.lit(1)), totals)
     return (
         df.withColumn("_local", F.row_number().over(local) - 1)
         .join(offsets, [*keys, "_chunk"])
