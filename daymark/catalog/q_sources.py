@@ -36,15 +36,15 @@ def _(spark, d):
 @query("s3_flatten_payload", "series_id, ts:d, value:6", """
 SELECT event_type AS series_id, date_trunc('second', ts) AS ts, value FROM events""")
 def _(spark, d):
-    # One payload per user, type and day, as the feed delivers it: parallel arrays of epoch
-    # seconds and values.
+    # The feed delivers payloads of up to 500 points: parallel arrays of epoch seconds and
+    # values, cut by event number so that no payload can grow with the data.
     events = series.table(spark, d, "events")
     seconds = F.expr("datediff(to_date(ts), date'1970-01-01') * 86400L + hour(ts) * 3600L"
                      " + minute(ts) * 60L + second(ts)")
     payloads = (
-        events.select(F.col("event_type").alias("series_id"), "user_id", seconds.alias("s"),
-                      "value", F.to_date("ts").alias("day"))
-        .groupBy("series_id", "user_id", "day")
+        events.select(F.col("event_type").alias("series_id"), seconds.alias("s"), "value",
+                      F.floor(F.col("event_id") / 500).alias("part"))
+        .groupBy("series_id", "part")
         .agg(F.collect_list(F.struct("s", "value")).alias("points"))
         .select("series_id", F.to_json(F.struct(
             F.col("points.s").alias("unix_seconds"), F.col("points.value").alias("price"))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from daymark.functions.exprs import HOURS
 from daymark.operators.features import GROUP_ORDER, feature_group
-from daymark.operators.ordered import attach
 from daymark.operators.quality import refuse_any
 from daymark.session import shared_path
 
@@ -30,11 +29,11 @@ def attribute_linear(long: DataFrame, coefs: DataFrame) -> DataFrame:
     """I1. Exact additive attribution ``coef * (x - training mean)`` of linear models.
 
     ``long`` is (series_id, day, feature, value); ``coefs`` is (series_id, target, hour,
-    feature, coef, mean, expected). The join key (series, feature) is salted by day.
+    feature, coef, mean, expected). A join key (series, feature) holds one row per day.
     """
     model = coefs.groupBy("series_id", "feature").agg(F.collect_list(
         F.struct("target", "hour", "coef", "mean", "expected")).alias("_m"))
-    rows = attach(long, model, ["series_id", "feature"], "day")
+    rows = long.join(model, ["series_id", "feature"])
     return rows.select("series_id", "day", "feature", F.col("value").alias("feature_value"),
                        F.inline("_m")).select(
         *MODEL, "day", "feature",
@@ -201,8 +200,7 @@ def top_features(attr: DataFrame, hour: int, k: int = 20) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy(
         F.desc(F.round("importance", 9)), "feature"))
     best = mean_abs(at).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return attach(at, best.select("series_id", "feature", "importance", "rank"),
-                  ["series_id", "feature"], "day").select(
+    return at.join(best.select("series_id", "feature", "rank"), ["series_id", "feature"]).select(
         "series_id", "hour", "day", "feature", "rank", "value", "feature_value")
 
 
@@ -255,7 +253,7 @@ def run_facts(days: DataFrame, train_days: DataFrame, threshold: float | Column)
     top = F.col("y_true") >= F.col("_cut")
     case = F.max_by(F.struct("day", "y_pred", "y_true", "regime"),
                     F.struct("y_pred", -F.datediff("day", F.lit("1970-01-01").cast("date"))))
-    out = attach(days, cut, ["series_id"], "day").groupBy("series_id").agg(
+    out = days.join(cut, "series_id").groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n_test_days"), F.min("day").alias("test_start"),
         F.max("day").alias("test_end"),
         F.count_if(F.col("regime") == "calm").alias("n_calm"),

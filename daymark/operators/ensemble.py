@@ -87,7 +87,7 @@ def regime_labels(frame: DataFrame, threshold: float | DataFrame, default: str =
     """
     days = _previous_peak(day_peaks(frame))
     if isinstance(threshold, DataFrame):
-        days = attach(days, threshold.select("series_id", "threshold"), ["series_id"], "origin")
+        days = days.join(threshold.select("series_id", "threshold"), "series_id")  # one row per day
         limit = F.col("threshold")
     else:
         limit = F.lit(float(threshold))
@@ -232,7 +232,7 @@ def regime_threshold(train: DataFrame, validation: DataFrame,
     ks = sorted(ks, reverse=True)
     stats = train.groupBy("series_id").agg(
         F.avg("price").alias("_mean"), F.stddev_samp("price").alias("_std"))
-    days = attach(_previous_peak(day_peaks(validation)), stats, ["series_id"], "origin")
+    days = _previous_peak(day_peaks(validation)).join(stats, "series_id")  # one row per day
     limit = [F.col("_mean") + k * F.col("_std") for k in ks]
     counts = days.groupBy("series_id").agg(
         F.first("_mean").alias("mean_price"), F.first("_std").alias("std_price"),

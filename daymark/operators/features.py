@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions.exprs import HOUR_TAGS, HOURS, col, similar_day_lag
-from daymark.operators.ordered import attach
 from daymark.operators.quality import refuse_any, require_unique_hours, with_day_hour
 
 SERIES_DAY = ["series_id", "day"]
@@ -258,7 +257,7 @@ def standardize(long: DataFrame, train: Column, keys: Sequence[str] = ("series_i
     the row so :func:`unstandardize` can invert.
     """
     stats = _per_slot_stats(long, train, keys)
-    joined = attach(long, stats, keys, "day")
+    joined = long.join(stats, list(keys))
     scale = F.when(F.col("_std") > 0, F.col("_std")).otherwise(1.0)
     return joined.withColumn("_std", scale).withColumn(
         "scaled", (F.col("value") - F.col("_mean")) / F.col("_std"))
@@ -276,11 +275,12 @@ def asinh_median_fit(long: DataFrame, train: Column, keys: Sequence[str] = ("ser
                      ) -> DataFrame:
     """F14 fit: median and scaled MAD per key over the training rows.
 
-    A group is one feature of one series over a training window, so its size is the window.
+    A group is one feature of one series over a training window, so its size is the window and
+    plain joins on it stay even.
     """
     rows = long.filter(train)
     med = rows.groupBy(*keys).agg(F.median("value").alias("_med"))
-    dev = attach(rows, med, keys, "day").withColumn("_dev", F.abs(F.col("value") - F.col("_med")))
+    dev = rows.join(med, list(keys)).withColumn("_dev", F.abs(F.col("value") - F.col("_med")))
     return dev.groupBy(*keys).agg(
         F.first("_med").alias("_med"), (F.median("_dev") / MAD_NORMAL).alias("_mad"))
 
@@ -289,7 +289,7 @@ def asinh_median_apply(long: DataFrame, fit: DataFrame,
                        keys: Sequence[str] = ("series_id", "feature")) -> DataFrame:
     """F14 apply: asinh((x - median) / MAD); a zero MAD leaves the centred value unscaled."""
     scale = F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(1.0)
-    return attach(long, fit, keys, "day").withColumn("_mad", scale).withColumn(
+    return long.join(fit, list(keys)).withColumn("_mad", scale).withColumn(
         "scaled", F.asinh((F.col("value") - F.col("_med")) / F.col("_mad")))
 
 

@@ -33,13 +33,14 @@ DAILY = "series_id string, origin date, y_true double, y_pred double, model stri
 
 
 def block_rows(features: DataFrame, window: int, refit_every: int = 1,
-               first_origin: dt.date | None = None, last_origin: dt.date | None = None
-               ) -> DataFrame:
+               first_origin: dt.date | None = None, last_origin: dt.date | None = None,
+               todo: DataFrame | None = None) -> DataFrame:
     """Rows of each refit block: (series_id, block, role, day, x, y).
 
     Block ``b`` refits on the ``window`` rows before its first origin and forecasts the next
     ``refit_every`` rows. Which blocks a row trains is arithmetic on its position, so rows are
-    exploded and grouped; nothing is range-joined.
+    exploded and grouped; nothing is range-joined. With ``todo`` (series_id, origin) only the
+    blocks that still hold one of those origins are kept, so a resumed run fits nothing twice.
     """
     validate_range(first_origin, last_origin)
     pos = positions(features)
@@ -69,20 +70,27 @@ def block_rows(features: DataFrame, window: int, refit_every: int = 1,
             F.when(test.isNotNull(), F.array(F.struct(test.alias("block"), F.lit("test").alias("role"))))
             .otherwise(F.expr("cast(array() as array<struct<block:bigint,role:string>>)")),
         )).alias("_j"))
-    return jobs.select(*SERIES_DAY, "_j.block", "_j.role").join(
+    jobs = jobs.select(*SERIES_DAY, "_j.block", "_j.role")
+    if todo is not None:
+        wanted = todo.select("series_id", F.col("origin").alias("day"))
+        open_blocks = jobs.filter("role = 'test'").join(wanted, SERIES_DAY, "left_semi").select(
+            "series_id", "block").distinct()
+        jobs = jobs.join(open_blocks, ["series_id", "block"], "left_semi")
+    return jobs.join(
         features.select(*SERIES_DAY, "x", "y"), SERIES_DAY)
 
 
 def run_walk_forward(features: DataFrame, fit_predict: FitPredict, model: str, window: int,
                      refit_every: int = 1, first_origin: dt.date | None = None,
-                     last_origin: dt.date | None = None, daily: bool = False) -> DataFrame:
+                     last_origin: dt.date | None = None, daily: bool = False,
+                     todo: DataFrame | None = None) -> DataFrame:
     """M9. Fit on every block's window, forecast its days, emit the long frame.
 
     ``fit_predict(x_train, y_train, x_test)`` gets plain arrays; ``y`` has 24 columns, or one
     for the daily route. Without origins the result is empty with the right schema. A window
     that is not complete is refused.
     """
-    rows = block_rows(features, window, refit_every, first_origin, last_origin)
+    rows = block_rows(features, window, refit_every, first_origin, last_origin, todo)
     if daily:
         rows = rows.withColumn("y", F.array(vector_mean("y")))
 
@@ -103,7 +111,9 @@ def run_walk_forward(features: DataFrame, fit_predict: FitPredict, model: str, w
             "model": model})
         return out.drop(columns="hour") if daily else out
 
-    return rows.groupBy("series_id", "block").applyInPandas(one_block, DAILY if daily else LONG)
+    out = rows.groupBy("series_id", "block").applyInPandas(one_block, DAILY if daily else LONG)
+    return out if todo is None else out.join(
+        todo.select("series_id", "origin"), ["series_id", "origin"], "left_semi")
 
 
 def window_mean(x: np.ndarray, y: np.ndarray, x_new: np.ndarray) -> np.ndarray:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daymark.functions.exprs import ratio
-from daymark.operators.ordered import attach
 from daymark.operators.quality import complete_models, refuse_any
 from daymark.operators.scoring import all_metrics, daily_baseload
 
@@ -130,7 +129,7 @@ def top_decile_bias(daily: DataFrame, q: float = 0.9) -> DataFrame:
     """
     keys = ["series_id", "model"]
     cut = daily.groupBy(*keys).agg(F.percentile("y_true", F.lit(q)).alias("_cut"))
-    top = attach(daily, cut, keys, "origin").filter("y_true >= _cut")
+    top = daily.join(cut, keys).filter("y_true >= _cut")
     return top.groupBy(*keys).agg(
         F.avg(F.col("y_pred") - F.col("y_true")).alias("bias"),
         F.count(F.lit(1)).alias("n_days"))

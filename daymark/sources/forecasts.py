@@ -31,7 +31,8 @@ def write_forecasts(df: DataFrame, path: str) -> None:
     """S5. Store forecasts by (model, origin).
 
     Only the partitions present in ``df`` are replaced, so re-running an origin overwrites it
-    instead of appending a second copy.
+    instead of appending a second copy. A partition holds all series of an origin: ``df`` must
+    bring every series it should keep (``plans.studies.walk_forward_run`` does).
     """
     (
         df.write.mode("overwrite")

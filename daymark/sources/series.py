@@ -19,14 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def hour_spine(df: DataFrame, whole_days: bool = True) -> DataFrame:
     """(series_id, ts) for every hour between a series' first and last hour.
 
-    Built from one row per series: days are exploded first, then hours, so no row ever carries
-    more than a list of days.
+    Built from one row per series: days are exploded first, spread over all tasks by (series,
+    day), then exploded to hours. No row carries more than a list of days, and a day's hours
+    stay together for the aggregations that follow.
     """
     span = df.groupBy("series_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     days = span.select(
         "series_id", "lo", "hi",
         F.explode(F.expr("sequence(to_date(lo), to_date(hi), interval 1 day)")).alias("day"),
     )
+    days = days.repartition("series_id", "day")
     hours = days.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     out = hours.select("series_id", "lo", "hi", hour_stamp("day", "hour").alias("ts"))
     if not whole_days:
