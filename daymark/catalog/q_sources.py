@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from daymark.catalog import prelude as P
 from daymark.catalog.prelude import with_ctes
 from daymark.catalog.registry import query
+from daymark.functions.exprs import hour_stamp
 from daymark.operators import scoring
 from daymark.session import shared_path
 from daymark.sources import export, forecasts, hourly, series
@@ -245,9 +246,6 @@ def _(spark, d):
        with_ctes("members", "SELECT * FROM members"))
 def _(spark, d):
     wide = P.members(spark, d).groupBy(
-        "series_id", P_STAMP.alias("ts"), "y_true").pivot("model", list(P.MODELS)).agg(
+        "series_id", hour_stamp("origin", "hour").alias("ts"), "y_true").pivot("model", list(P.MODELS)).agg(
         F.first("y_pred"))
     return forecasts.wide_to_long(wide, "y_true")
-
-
-P_STAMP = F.expr("cast(origin as timestamp_ntz) + make_dt_interval(0, hour)")
