@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daymark.functions.exprs import hour_floor, non_negative_root, ratio, unix_micros_ntz
+from daymark.functions.exprs import non_negative_root, ratio, unix_micros_ntz
 from daymark.operators.ordered import attach
-from daymark.sources.series import hour_spine
+from daymark.sources.series import fill_days, fill_hours
 
 HOUR_MICROS = 3_600_000_000
 SERIES_DAY = ["series_id", "day"]
@@ -31,6 +31,9 @@ def refuse_any(violations: DataFrame, message: str) -> None:
 
 
 def with_day_hour(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Adds ``day`` and ``hour``; columns already there are kept, and with them the partitioning."""
+    if {"day", "hour"} <= set(df.columns):
+        return df
     return df.withColumns({"day": F.to_date(ts), "hour": F.hour(ts)})
 
 
@@ -79,12 +82,9 @@ def resample_hourly(df: DataFrame, expected: DataFrame, value: str = "price") ->
 
     Hours between the first and last point that hold nothing appear as NULL.
     """
-    hours = (
-        df.select("series_id", hour_floor("ts").alias("ts"), value)
-        .groupBy("series_id", "ts")
-        .agg(F.avg(value).alias("_mean"), F.count(value).alias("_n"))
-    )
-    full = hour_spine(hours, whole_days=False).join(hours, ["series_id", "ts"], "left")
+    hours = with_day_hour(df).groupBy("series_id", "day", "hour").agg(
+        F.avg(value).alias("_mean"), F.count(value).alias("_n"))
+    full = fill_hours(hours, ["_mean", "_n"])
     complete = F.col("_n") >= F.col("expected")
     return attach(full, expected, ["series_id"], "ts").select(
         "series_id", "ts", F.when(complete, F.col("_mean")).alias(value))
@@ -163,8 +163,8 @@ def validate_upload(raw: DataFrame, required: Sequence[str] = ("price", "exog_1"
 
 def missing_hours(df: DataFrame) -> DataFrame:
     """Q7. Hours absent between the first and last hour of a series."""
-    return hour_spine(df, whole_days=False).join(
-        df.select("series_id", "ts"), ["series_id", "ts"], "left_anti")
+    return fill_hours(with_day_hour(df).select("series_id", "day", "hour").distinct(), []).filter(
+        "not present").select("series_id", "ts")
 
 
 def missing_hours_by_day(df: DataFrame) -> DataFrame:
@@ -218,15 +218,9 @@ def require_unique_hours(df: DataFrame) -> DataFrame:
     return df
 
 
-def day_spine(df: DataFrame, day: str = "day") -> DataFrame:
-    span = df.groupBy("series_id").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    return span.select(
-        "series_id", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias(day))
-
-
 def densify_days(daily: DataFrame) -> DataFrame:
     """Q9. Contiguous calendar per series; days without data become all-NULL rows."""
-    return day_spine(daily).join(daily, SERIES_DAY, "left")
+    return fill_days(daily, [c for c in daily.columns if c not in SERIES_DAY])
 
 
 # ---- forecast-frame checks --------------------------------------------------------------

@@ -6,40 +6,66 @@ that owns a third of the raw rows costs one partial row per task and slot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daymark.functions.exprs import hour_floor, hour_stamp, quarter_floor
+from daymark.functions.exprs import hour_stamp, quarter_floor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hour_spine(df: DataFrame, whole_days: bool = True) -> DataFrame:
-    """(series_id, ts) for every hour between a series' first and last hour.
+def fill_days(daily: DataFrame, values: list[str]) -> DataFrame:
+    """Contiguous calendar per series; days without a row become rows of NULLs.
 
-    Built from one row per series: days are exploded first, spread over all tasks by (series,
-    day), then exploded to hours. No row carries more than a list of days, and a day's hours
-    stay together for the aggregations that follow.
+    Each day reaches to the next one, so the input is read once and no calendar is joined. The
+    window holds one row per day and series.
     """
-    span = df.groupBy("series_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    days = span.select(
-        "series_id", "lo", "hi",
-        F.explode(F.expr("sequence(to_date(lo), to_date(hi), interval 1 day)")).alias("day"),
-    )
-    days = days.repartition("series_id", "day")
-    hours = days.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    out = hours.select("series_id", "lo", "hi", hour_stamp("day", "hour").alias("ts"))
+    ahead = F.lead("day").over(Window.partitionBy("series_id").orderBy("day"))
+    reach = F.coalesce(F.datediff(ahead, F.col("day")), F.lit(1))
+    rows = daily.withColumn("_reach", reach).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.col("_reach") - 1)))
+    return rows.select("series_id", F.date_add("day", F.col("_i")).alias("day"),
+                       *[F.when(F.col("_i") == 0, F.col(v)).alias(v) for v in values])
+
+
+def fill_hours(hours: DataFrame, values: list[str], whole_days: bool = False) -> DataFrame:
+    """Every hour between a series' first and last hour: (series_id, ts, day, hour, values, present).
+
+    ``hours`` has one row per (series, day, hour), so a day packs at most 24 entries. Missing
+    days and hours are added, and the day rows are spread over all tasks by (series, day)
+    before they are unpacked. The result keeps day and hour: a following aggregation by day
+    needs no further shuffle.
+    """
+    cells = F.struct("hour", *values, F.lit(True).alias("present"))
+    packed = hours.groupBy("series_id", "day").agg(
+        F.collect_list(cells).alias("_cells"), F.min("hour").alias("_lo"), F.max("hour").alias("_hi"))
+    series = Window.partitionBy("series_id")
+    edge = lambda pick, hour: pick(hour_stamp("day", hour)).over(series)
+    if not whole_days:
+        packed = packed.withColumns({"_first": edge(F.min, "_lo"), "_last": edge(F.max, "_hi")})
+    bounds = [] if whole_days else ["_first", "_last"]
+    days = fill_days(packed, ["_cells", *bounds]).repartition("series_id", "day")
+    kinds = dict(hours.dtypes)
+    blank = "struct(cast(h as int) as hour, " + "".join(
+        f"cast(null as {kinds[v]}) as {v}, " for v in values) + "false as present)"
+    entry = "struct<hour:int," + "".join(f"{v}:{kinds[v]}," for v in values) + "present:boolean>"
+    absent = f"transform(array_except(sequence(0, 23), coalesce(_cells.hour, array())), h -> {blank})"
+    rows = days.select("series_id", "day", *bounds, F.expr(
+        f"inline(concat(coalesce(_cells, cast(array() as array<{entry}>)), {absent}))"))
+    out = rows.withColumn("ts", hour_stamp("day", "hour"))
     if not whole_days:
-        out = out.filter("ts between lo and hi")
-    return out.select("series_id", "ts")
+        # The bounds are only known on days that had data; other days lie strictly between them.
+        out = out.filter("_first is null or ts between _first and _last")
+    return out.select("series_id", "ts", "day", "hour", *values, "present")
 
 
 def _event_hours(events: DataFrame, series: F.Column) -> DataFrame:
     return (
-        events.select(series.alias("series_id"), hour_floor("ts").alias("ts"), "value", "user_id")
-        .groupBy("series_id", "ts")
+        events.select(series.alias("series_id"), F.to_date("ts").alias("day"),
+                      F.hour("ts").alias("hour"), "value", "user_id")
+        .groupBy("series_id", "day", "hour")
         .agg(
             F.sum("value").alias("total"),
             F.avg("value").alias("mean"),
@@ -51,11 +77,11 @@ def _event_hours(events: DataFrame, series: F.Column) -> DataFrame:
 
 def _zero_filled(agg: DataFrame) -> DataFrame:
     """An hour without events is a true zero total, so the series is complete."""
-    return hour_spine(agg).join(agg, ["series_id", "ts"], "left").select(
+    return fill_hours(agg, ["total", "n", "users"], whole_days=True).select(
         "series_id", "ts",
         F.coalesce("total", F.lit(0.0)).alias("price"),
         F.coalesce("n", F.lit(0.0)).alias("exog_1"),
-        F.coalesce("users", F.lit(0.0)).alias("exog_2"),
+        F.coalesce("users", F.lit(0.0)).alias("exog_2"), "day", "hour",
     )
 
 
@@ -71,7 +97,7 @@ def hourly_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean value per event type and hour; hours without events are absent, never filled."""
     agg = _event_hours(table(spark, sf_dir, "events"), F.col("event_type"))
     return agg.select(
-        "series_id", "ts", F.col("mean").alias("price"),
+        "series_id", hour_stamp("day", "hour").alias("ts"), F.col("mean").alias("price"),
         F.col("n").alias("exog_1"), F.col("users").alias("exog_2"),
     )
 
@@ -105,7 +131,6 @@ def delivery_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("l_quantity").alias("n"),
             F.count(F.lit(1)).cast("double").alias("users"),
         )
-        .select("series_id", hour_stamp("day", "hour").alias("ts"), "total", "n", "users")
     )
     return _zero_filled(agg)
 
@@ -121,10 +146,7 @@ def daily_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).cast("double").alias("exog_2"),
         )
     )
-    span = agg.groupBy("series_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    spine = span.select(
-        "series_id", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day"))
-    return spine.join(agg, ["series_id", "day"], "left").select(
+    return fill_days(agg, ["price", "exog_1", "exog_2"]).select(
         "series_id", "day",
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("price", "exog_1", "exog_2")],
     )
