@@ -7,10 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daymark.llm import decontaminate, line_rules, mixing, shards, simhash, sql
-from daymark.llm.words import table
+from daymark.llm import (
+    decontaminate, html_text, lattice_lm, line_rules, mixing, shards, simhash, sql, toxicity,
+    url_filter)
+from daymark.llm.words import crc_remainder, table
 
 SHARD_BYTES = 1 << 20
+#: The tokenizer file of the language model; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+RULES = [
+    url_filter.Rule("allow", "com/"), url_filter.Rule("block", "example.com/en/"),
+    url_filter.Rule("allow", "www.example.com/en/"), url_filter.Rule("block", "net/es/"),
+    url_filter.Rule("block", "net/fr/")]
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder(F.col("doc_id"), 4) == 2
+    sample = toxicity.labelled_texts(docs.filter(~held_out),
+                                     table(spark, sf_dir, "labels").filter(~held_out))
+    out = toxicity.score(docs, toxicity.train(sample))
+    return out.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+        F.size("bad_starts").cast("bigint").alias("n_offending"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict",
+                      F.round("p_blocked", 6).alias("p_blocked"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder(F.col("doc_id"), 5) == 1
+    out = lattice_lm.score(docs, VOCABULARY, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +94,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_toxicity": (op1_toxicity, None),
     "op2_quality_rules": (op2_quality_rules, None),
+    "op3_url_filters": (op3_url_filters, None),
     "op4_simhash_near_dedup": (op4_simhash_near_dedup, None),
+    "op5_html_extraction": (op5_html_extraction, None),
     "op7_sharding": (op7_sharding, sql.shards(SHARD_BYTES)),
     "op8_mixing": (op8_mixing, sql.mixing()),
+    "op9_lm_scoring": (op9_lm_scoring, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, sql.DECONTAMINATION),
     "pipeline": (pipeline, None),
 }
