@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.llm import (
-    decontaminate, html_text, lattice_lm, line_rules, mixing, shards, simhash, sql, toxicity,
-    url_filter)
+    decontaminate, html_text, lattice_lm, line_rules, mixing, pii, shards, simhash, sql,
+    toxicity, url_filter)
 from daymark.llm.words import crc_remainder, table
 
 SHARD_BYTES = 1 << 20
@@ -43,6 +43,14 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", *[pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listing(F.col("base")), 256).alias("base_sha256"),
+        pii.listing(F.col("spans")).alias("spans"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_remainder(F.col("doc_id"), 5) == 1
@@ -99,6 +107,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_url_filters": (op3_url_filters, None),
     "op4_simhash_near_dedup": (op4_simhash_near_dedup, None),
     "op5_html_extraction": (op5_html_extraction, None),
+    "op6_pii": (op6_pii, None),
     "op7_sharding": (op7_sharding, sql.shards(SHARD_BYTES)),
     "op8_mixing": (op8_mixing, sql.mixing()),
     "op9_lm_scoring": (op9_lm_scoring, None),

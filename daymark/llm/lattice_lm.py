@@ -143,8 +143,12 @@ def count_words(docs: DataFrame, text_column: str, train: Column) -> DataFrame:
 
 def fit_pieces(words: DataFrame, weights: dict[str, float], rounds: int = ROUNDS
                ) -> dict[str, float]:
-    """Piece weights after ``rounds`` of expectation maximisation over (word, c)."""
-    trained = words.filter("c > 0").select("word", "c")
+    """Piece weights after ``rounds`` of expectation maximisation over the training words.
+
+    Each distinct word counts once: the lattice stands in for words that were seldom or never
+    met, and frequent words have their counts.
+    """
+    trained = words.filter("c > 0").select("word")
     for _ in range(rounds):
         shipped = words.sparkSession.sparkContext.broadcast(pickle.dumps(weights))
 
@@ -152,8 +156,8 @@ def fit_pieces(words: DataFrame, weights: dict[str, float], rounds: int = ROUNDS
             lattice = Lattice(pickle.loads(shipped.value))
             uses: dict[str, float] = defaultdict(float)
             for batch in batches:
-                for word, c in zip(batch["word"].to_pylist(), batch["c"].to_pylist()):
-                    lattice.expected(word, c, uses)
+                for word in batch["word"].to_pylist():
+                    lattice.expected(word, 1.0, uses)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())],
                 names=["piece", "uses"])

@@ -38,7 +38,7 @@ CONTENT_RUN = 5
 MIN_DOCUMENTS = 10
 #: and these are at least this share of the rows that hold it.
 MIN_SHARE = 0.5
-#: A depleted document has lost more than this share of its words, or keeps under MIN_WORDS.
+#: A depleted document has lost more than this share of its words.
 MAX_REMOVED = 0.5
 SALTS = 16
 
@@ -177,9 +177,7 @@ def _verdict(facts: DataFrame, min_documents: int, min_share: float,
         .groupBy("row_key").agg(F.sum("words").alias("n_removed_words")))
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-    left = F.col("n_words") - F.col("n_removed_words")
-    depleted = (F.col("n_removed_words") > 0) & (
-        (left < MIN_WORDS) | (F.col("n_removed_words") > max_removed * F.col("n_words")))
+    depleted = F.col("n_removed_words") > max_removed * F.col("n_words")
     return (
         facts.join(removed, "row_key", "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("bigint")))
