@@ -5,8 +5,8 @@ mark, may be cut into pieces in many ways; the forward recursion in log space su
 all segmentations, which gives the word's marginal probability. No piece crosses a word mark, so a
 document's marginal is the product over its words.
 
-The file ranks its pieces; the ranks give the start weights, and a few rounds of expectation
-maximisation over the training words, run as Spark jobs over all of them, fit the weights. The
+The file ranks its pieces; the ranks give the start weights, and a round of expectation
+maximisation over the training words, a Spark job over all of them, fits the weights. The
 pieces themselves stay as they are. Characters no piece covers take a fixed small probability.
 
 A word's final probability draws on both what was counted and the lattice:
@@ -37,7 +37,7 @@ from daymark.session import materialize
 
 MARK = "▁"
 #: Rounds of re-estimation.
-ROUNDS = 2
+ROUNDS = 1
 #: Most frequent words that are shipped to tasks.
 SHIPPED = 150_000
 STRENGTHS = (1e2, 1e3, 1e4, 3e4, 1e5, 3e5, 1e6, 3e6, 1e7, 3e7, 1e8)
@@ -70,30 +70,40 @@ class Lattice:
     """Forward and backward sums over all segmentations of a word."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        self.longest = max(map(len, weights), default=1)
+        # Every beginning of a piece has an entry, None where it is no piece itself: a start
+        # position is left as soon as no piece can go on.
+        self.entries: dict[str, float | None] = {
+            p[:k]: None for p in weights for k in range(1, len(p))} | weights
 
     def edges(self, word: str) -> list[list[tuple[int, str | None, float]]]:
         """For every end position: (start, piece, log weight) of the pieces that end there."""
-        get, longest, n = self.weights.get, self.longest, len(word)
+        entries, n = self.entries, len(word)
         into: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                w = get(word[i:j])
+            single = False
+            for j in range(i + 1, n + 1):
+                piece = word[i:j]
+                if piece not in entries:
+                    break
+                w = entries[piece]
                 if w is not None:
-                    into[j].append((i, word[i:j], w))
-        for j in range(1, n + 1):
-            if not any(i == j - 1 for i, _, _ in into[j]):
-                into[j].append((j - 1, None, UNKNOWN))
+                    into[j].append((i, piece, w))
+                    single = single or j == i + 1
+            if not single:
+                into[i + 1].append((i, None, UNKNOWN))
         return into
 
     def forward(self, into: list) -> list[float]:
         exp, log = math.exp, math.log
         sums = [0.0] * len(into)
         for j in range(1, len(into)):
-            terms = [sums[i] + w for i, _, w in into[j]]
+            here = into[j]
+            if len(here) == 1:
+                sums[j] = sums[here[0][0]] + here[0][2]
+                continue
+            terms = [sums[i] + w for i, _, w in here]
             top = max(terms)
-            sums[j] = top if len(terms) == 1 else top + log(sum(exp(t - top) for t in terms))
+            sums[j] = top + log(sum([exp(t - top) for t in terms]))
         return sums
 
     def log_prob(self, word: str) -> float:
@@ -126,16 +136,15 @@ def count_words(docs: DataFrame, text_column: str, train: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
-                seen, trained = Counter(), Counter()
+                others, trained = Counter(), Counter()
                 part = batch.slice(at, 512)
                 for text, is_train in zip(part["text"].to_pylist(), part["train"].to_pylist()):
-                    words = tokens_of(text)
-                    seen.update(words)
-                    if is_train:
-                        trained.update(words)
+                    (trained if is_train else others).update(tokens_of(text))
+                words = list(trained) + [w for w in others if w not in trained]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()),
-                     pa.array([trained[w] for w in seen], pa.int64())], names=["word", "n", "c"])
+                    [pa.array(words, pa.string()),
+                     pa.array([trained[w] + others[w] for w in words], pa.int64()),
+                     pa.array([trained[w] for w in words], pa.int64())], names=["word", "n", "c"])
 
     return source.mapInArrow(run, "word string, n bigint, c bigint").groupBy("word").agg(
         F.sum("n").alias("n"), F.sum("c").alias("c"))
