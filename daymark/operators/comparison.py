@@ -20,8 +20,8 @@ from daymark.operators.ensemble import regime_labels
 from daymark.operators.quality import refuse_any
 
 DAY = ["series_id", "origin"]
-#: The lag rule reaches 15 only beyond 38,000 days.
-MAX_LAGS = 15
+#: Differences within this share of the mean difference (or of one) count as none.
+FLAT = 1e-12
 BOOT_BLOCKS = (3, 4, 5, 7, 9, 10)
 BOOT_DRAWS = 20_000
 BOOT_SEED = 42
@@ -47,9 +47,10 @@ def loss_columns(frame: DataFrame, models: Sequence[str], norm: int = 1) -> Data
 
 
 def loss_differential(frame: DataFrame, first: str, second: str, norm: int = 1) -> DataFrame:
-    """A8. ``d = loss(first) - loss(second)`` per day: positive where ``second`` wins."""
+    """A8. ``d = loss(first) - loss(second)`` per day that both models have: positive where
+    ``second`` wins."""
     wide = loss_columns(frame.filter(F.col("model").isin(first, second)), (first, second), norm)
-    return wide.select(*DAY, (F.col("_l0") - F.col("_l1")).alias("d"))
+    return wide.select(*DAY, (F.col("_l0") - F.col("_l1")).alias("d")).filter("d IS NOT NULL")
 
 
 def pair_differentials(frame: DataFrame, models: Sequence[str], norm: int = 1) -> DataFrame:
@@ -62,7 +63,7 @@ def pair_differentials(frame: DataFrame, models: Sequence[str], norm: int = 1) -
         F.struct(F.lit(models[i]).alias("model_row"), F.lit(models[j]).alias("model_col"),
                  (F.col(f"_l{j}") - F.col(f"_l{i}")).alias("d"))
         for i, j in itertools.combinations(range(len(models)), 2)])
-    return loss_columns(frame, models, norm).select(*DAY, F.inline(pairs))
+    return loss_columns(frame, models, norm).select(*DAY, F.inline(pairs)).filter("d IS NOT NULL")
 
 
 def dm_statistics(d: DataFrame, keys: Sequence[str], method: str = "hac",
@@ -77,23 +78,24 @@ def dm_statistics(d: DataFrame, keys: Sequence[str], method: str = "hac",
     """
     if method not in ("hac", "uncorrected"):
         raise ValueError("method must be 'hac' or 'uncorrected'")
-    top = 0 if method == "uncorrected" else (MAX_LAGS if bandwidth is None else bandwidth)
+    top = 0 if method == "uncorrected" else bandwidth
+    if top is None:
+        longest = d.groupBy(*keys).count().select(newey_west_lags(F.col("count")).alias("lags"))
+        top = longest.agg(F.max("lags")).first()[0] or 0
     group = Window.partitionBy(*keys)
     ordered = group.orderBy("origin")
     e = F.col("_e")
     rows = d.withColumn("_e", F.col("d") - F.avg("d").over(group)).withColumns({
         f"_x{k}": e * F.lag("_e", k).over(ordered) for k in range(1, top + 1)})
     agg = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("d").alias("dbar"),
+        F.count("d").alias("n"), F.avg("d").alias("dbar"),
         F.avg(e * e).alias("iid_var"),
         *[F.sum(f"_x{k}").alias(f"_x{k}") for k in range(1, top + 1)])
     n = F.col("n")
     if method == "uncorrected":
         lags = F.lit(0)
     elif bandwidth is None:
-        rule = newey_west_lags(n)
-        lags = F.when(rule > MAX_LAGS, F.raise_error(F.lit("series too long for the lag rule"))
-                      ).otherwise(rule)
+        lags = newey_west_lags(n)
     else:
         lags = F.least(F.lit(bandwidth), (n - 1).cast("int"))
     out = agg.withColumn("lags", lags)
@@ -101,12 +103,12 @@ def dm_statistics(d: DataFrame, keys: Sequence[str], method: str = "hac",
     for k in range(1, top + 1):
         term = 2 * (1 - k / (F.col("lags") + 1.0)) * F.col(f"_x{k}") / n
         var = var + F.when(F.col("lags") >= k, term).otherwise(0.0)
-    scale = F.greatest(F.abs("dbar"), F.lit(1.0))
-    flat = F.col("iid_var") <= (1e-12 * scale) * (1e-12 * scale)
+    size = F.abs("dbar")
+    tolerance = FLAT * F.greatest(size, F.lit(1.0))
+    constant = F.sqrt("iid_var") <= tolerance
     status = (
-        F.when(n < 3, "too few days")
-        .when(flat & (F.abs("dbar") <= 1e-12 * scale), "identical")
-        .when(flat, "degenerate").otherwise("ok"))
+        F.when(n < 3, "too few days").when(~constant, "ok")
+        .when(size > tolerance, "degenerate").otherwise("identical"))
     out = out.withColumn("_v", var).withColumn("status", status).withColumn(
         "variance", F.when(F.col("_v") > 0, F.col("_v")).otherwise(F.col("iid_var")))
     stat = F.when(F.col("status") == "identical", 0.0).when(
@@ -126,11 +128,25 @@ def require_testable(stats: DataFrame) -> DataFrame:
     return stats
 
 
-def dm_matrix(frame: DataFrame, models: Sequence[str], method: str = "hac") -> DataFrame:
+def require_comparable(frame: DataFrame, models: Sequence[str]) -> None:
+    """Refuse members that do not forecast the same origins against the same truth."""
+    listed = frame.filter(F.col("model").isin(*models))
+    cells = listed.groupBy(*DAY, "hour").agg(
+        F.count_distinct("model").alias("held"), F.min("y_true").alias("low"),
+        F.max("y_true").alias("high"))
+    refuse_any(cells.filter((F.col("held") < len(models)) | (F.col("low") < F.col("high"))),
+               "the models must share every origin and its truth")
+
+
+def dm_matrix(frame: DataFrame, models: Sequence[str], method: str = "hac",
+              strict: bool = True) -> DataFrame:
     """A11. Every ordered pair: p that the row model is more accurate than the column model.
 
     Long form (series_id, model_row, model_col, n, stat, p, status); the diagonal is absent.
+    Strict mode refuses models with different origins or truth.
     """
+    if strict:
+        require_comparable(frame, models)
     stats = dm_statistics(pair_differentials(frame, models),
                           ["series_id", "model_row", "model_col"], method)
     both = F.array(
@@ -140,12 +156,6 @@ def dm_matrix(frame: DataFrame, models: Sequence[str], method: str = "hac") -> D
     return with_p(stats.select("series_id", "n", "status", F.inline(both)))
 
 
-def dm_matrix_wide(matrix: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Display form: one row per model, one p-value column per opponent."""
-    return matrix.groupBy("series_id", "model_row").pivot("model_col", list(models)).agg(
-        F.first("p"))
-
-
 # ---- block bootstrap --------------------------------------------------------------------
 
 

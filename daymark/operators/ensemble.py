@@ -25,7 +25,7 @@ CELL = ["series_id", "origin", "hour"]
 
 def check_weights(weights: Mapping[str, float]) -> None:
     if not weights or min(weights.values()) < 0 or sum(weights.values()) <= 0:
-        raise CheckFailed("weights must be non-negative with a positive sum")
+        raise CheckFailed("every weight has to be zero or more, and one above zero")
 
 
 def _fixed_weight(weights: Mapping[str, float]) -> Column:
@@ -83,16 +83,18 @@ def regime_labels(frame: DataFrame, threshold: float | DataFrame, default: str =
     """E2. A day is stressed iff the previous calendar day peaked above the threshold.
 
     Nothing of the day itself is read. Without a previous day in the frame the label is
-    ``default``. ``threshold`` is a number or a frame (series_id, threshold).
+    ``default``. ``threshold`` is a number or a frame (series_id, threshold); a series without
+    a threshold fails the job.
     """
     days = _previous_peak(day_peaks(frame))
     if isinstance(threshold, DataFrame):
-        days = days.join(threshold.select("series_id", "threshold"), "series_id")  # one row per day
-        limit = F.col("threshold")
+        days = days.join(threshold.select("series_id", "threshold"), "series_id", "left")
+        limit = F.coalesce("threshold", F.raise_error(F.concat(
+            F.lit("no regime threshold for series "), F.col("series_id"))).cast("double"))
     else:
         limit = F.lit(float(threshold))
-    label = F.when(F.col("_known").isNull(), default).when(
-        F.col("prev_peak") > limit, STRESSED).otherwise(CALM)
+    over = F.coalesce(F.col("prev_peak"), F.lit(float("-inf"))) > limit
+    label = F.when(over, STRESSED).when(F.col("_known").isNull(), default).otherwise(CALM)
     return days.select("series_id", "origin", label.alias("regime"))
 
 
@@ -127,6 +129,10 @@ def combine_by_regime(frame: DataFrame, weights: Mapping[str, Mapping[str, float
 COARSE = 10
 REFINE = (4, 2, 1)
 REACH = 2
+#: Beyond so many members no grid is laid: weight is passed between pairs of members instead, in
+#: these steps. A pass tries every pair, so its work grows with the square of the members.
+GRID_MEMBERS = 3
+PASSES = (16, 8, 4, 2, 1)
 
 
 def simplex_grid(n: int, step: int = COARSE) -> list[tuple[int, ...]]:
@@ -142,6 +148,31 @@ def simplex_moves(n: int, step: int, reach: int = REACH) -> list[tuple[int, ...]
             for move in itertools.product(range(-reach, reach + 1), repeat=n) if sum(move) == 0]
 
 
+def pair_moves(n: int, step: int) -> list[tuple[int, ...]]:
+    """No move, and every move of ``step`` hundredths from one member to another."""
+    moves = [(0,) * n]
+    for i, j in itertools.permutations(range(n), 2):
+        moves.append(tuple(step * ((k == i) - (k == j)) for k in range(n)))
+    return moves
+
+
+def _descend(cells: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Weights by exchange between pairs. The error is convex in the weights, so a pass without
+    gain ends a step size; a pass reads the stored cells once."""
+    even = [100 // n + (i < 100 % n) for i in range(n)]
+    best = _best(cells, keys, [tuple(even)], around=False)
+    for step in PASSES:
+        moves, before = pair_moves(n, step), None
+        while True:
+            rows = attach(cells, best.select(*keys, *[f"_b{i}" for i in range(n)]), keys, "origin")
+            best = materialize(_best(rows, keys, moves, around=True), "weight-pass")
+            total = best.agg(F.sum("mae")).first()[0]
+            if total is None or (before is not None and total >= before - 1e-9):
+                break
+            before = total
+    return best
+
+
 def member_columns(frame: DataFrame, models: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row per (series, origin, hour) with the truth and one column ``_p{i}`` per member."""
     return frame.filter(F.col("model").isin(*models)).groupBy(*CELL, *keep).agg(
@@ -195,10 +226,13 @@ def fit_weights(frame: DataFrame, models: Sequence[str], keys: Sequence[str] = (
     extra = [k for k in keys if k != "series_id"]
     cells = materialize(member_columns(frame, models, extra), "weights")
     n = len(models)
-    best = _best(cells, keys, simplex_grid(n), around=False)
-    for step in REFINE:
-        rows = attach(cells, best.select(*keys, *[f"_b{i}" for i in range(n)]), keys, "origin")
-        best = _best(rows, keys, simplex_moves(n, step), around=True)
+    if n > GRID_MEMBERS:
+        best = _descend(cells, keys, n)
+    else:
+        best = _best(cells, keys, simplex_grid(n), around=False)
+        for step in REFINE:
+            rows = attach(cells, best.select(*keys, *[f"_b{i}" for i in range(n)]), keys, "origin")
+            best = _best(rows, keys, simplex_moves(n, step), around=True)
     pairs = F.array(*[
         F.struct(F.lit(m).alias("model"), (F.col(f"_b{i}") / 100).alias("weight"))
         for i, m in enumerate(models)])
@@ -216,8 +250,10 @@ def fit_regime_weights(frame: DataFrame, models: Sequence[str], threshold: float
     Returns (series_id, regime, model, weight, mae).
     """
     labels = regime_labels(frame, threshold)
-    refuse_any(regime_day_counts(labels).filter(F.col("n_days") < min_days),
-               f"a regime needs at least {min_days} validation days")
+    counts = labels.groupBy("series_id").agg(*[
+        F.count_if(F.col("regime") == r).alias(r) for r in (CALM, STRESSED)])
+    refuse_any(counts.filter(F.least(CALM, STRESSED) < min_days),
+               f"each regime needs {min_days} validation days or more")
     labelled = frame.join(labels, ["series_id", "origin"])
     return fit_weights(labelled, models, ("series_id", "regime"), test_days)
 
@@ -227,7 +263,8 @@ def regime_threshold(train: DataFrame, validation: DataFrame,
     """E6. mean + k std of the training prices, with the largest admissible k.
 
     ``train`` is (series_id, ts, price) from before every tuning window; k is admissible when
-    both regimes keep ``min_days`` validation days. All k are counted in one aggregation.
+    both regimes keep ``min_days`` validation days. All k are counted in one aggregation. A
+    series without an admissible k fails the job.
     """
     ks = sorted(ks, reverse=True)
     stats = train.groupBy("series_id").agg(
@@ -243,7 +280,10 @@ def regime_threshold(train: DataFrame, validation: DataFrame,
         for i, k in enumerate(ks)])
     admissible = F.filter(options, lambda o: (o["stressed_days"] >= min_days)
                           & (F.col("n_days") - o["stressed_days"] >= min_days))
-    picked = counts.withColumn("_o", F.get(admissible, F.lit(0)))
+    none = F.raise_error(F.concat(F.lit("no k leaves both regimes enough days in series "),
+                                  F.col("series_id")))
+    picked = counts.withColumn("_o", F.when(F.size(admissible) > 0, F.get(admissible, F.lit(0)))
+                               .otherwise(none))
     return picked.select(
         "series_id", F.col("_o.k").alias("k"), "mean_price", "std_price",
         (F.col("mean_price") + F.col("_o.k") * F.col("std_price")).alias("threshold"),

@@ -320,28 +320,30 @@ def adf(df: DataFrame, max_lag: int) -> DataFrame:
         "stationary", s < ADF_CRITICAL["5%"])
 
 
-def kpss(df: DataFrame, lags: int | None = None, most_lags: int = 400) -> DataFrame:
+def kpss(df: DataFrame, lags: int | None = None) -> DataFrame:
     """X13. Level-stationarity statistic: prefix sums over a Bartlett long-run variance.
 
-    Without ``lags`` the data-dependent rule of Hobijn et al. (1998) is used, evaluated from
-    the same autocovariances.
+    Without ``lags`` the data-dependent rule of Hobijn et al. (1998) is used. It is evaluated
+    from the first n^(2/9) autocovariances; then as many are computed as it asks for.
     """
     rows = materialize(_centred(df), "centred")  # read by both parts of the statistic
     sums = running_sum(rows, SERIES, "ts", _month(), "e", "_s").groupBy(*SERIES).agg(
         F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.first("n").alias("n"))
-    cov = _autocovariance(rows, lags if lags is not None else most_lags)
-    chosen = kpss_lags(cov) if lags is None else sums.select("series_id", F.lit(lags).alias("lags"))
+    if lags is None:
+        longest = sums.agg(F.max("n")).first()[0] or 1
+        chosen = kpss_lags(_autocovariance(rows, int(longest ** (2 / 9)) + 1))
+        chosen = materialize(chosen, "kpss-lags")
+        most = chosen.agg(F.max("lags")).first()[0] or 0
+    else:
+        chosen, most = sums.select("series_id", F.lit(lags).alias("lags")), lags
+    cov = _autocovariance(rows, most)
     weight = F.when(F.col("k") == 0, 1.0).otherwise(
         2 * (1 - F.col("k") / (F.col("lags") + 1.0)))
     lrv = cov.join(chosen, SERIES).filter("k <= lags").groupBy(*SERIES).agg(
-        F.sum(weight * F.col("acov")).alias("_lrv"), F.first("lags").alias("lags"),
-        F.max("k").alias("_have"))
-    short = F.when(F.col("_have") < F.col("lags"), F.raise_error(
-        F.lit("kpss: more lags are needed than were computed")))
+        F.sum(weight * F.col("acov")).alias("_lrv"), F.first("lags").alias("lags"))
     stat = F.col("_ss") / (F.col("n") * F.col("n")) / F.col("_lrv")
     out = sums.join(lrv, SERIES).select(
-        "series_id", "n", F.coalesce(short.cast("int"), F.col("lags")).alias("lags"),
-        stat.alias("stat"))
+        "series_id", "n", "lags", stat.alias("stat"))
     p = F.lit(KPSS_P[-1])
     for i in reversed(range(3)):
         lo, hi = KPSS_CRITICAL[i], KPSS_CRITICAL[i + 1]

@@ -62,17 +62,17 @@ def calendar_lags(df: DataFrame, wanted: dict[str, tuple[str, int]], day: str =
                   keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Add columns ``name -> (source, days back)`` looked up by calendar day.
 
-    Days are cut into blocks of 64 with the last few days of a block repeated in the next, so
-    the window holds at most one block of one series. One shuffle; no calendar spine needed
+    Days are cut into blocks with the last few days of a block repeated in the next, so the
+    window holds at most one block of one series; a block is no shorter than the longest lag. One shuffle; no calendar spine needed
     because the frame is a range over day numbers.
     """
     reach = max(lag for _, lag in wanted.values())
-    n = F.col("_n")
+    n, size = F.col("_n"), max(BLOCK_DAYS, reach)
     blocks = (
         df.withColumn("_n", day_number(day))
-        .withColumn("_home", F.floor(n / BLOCK_DAYS))
+        .withColumn("_home", F.floor(n / size))
         .withColumn("_block", F.explode(
-            F.when(F.pmod(n, F.lit(BLOCK_DAYS)) >= BLOCK_DAYS - reach,
+            F.when(F.pmod(n, F.lit(size)) >= size - reach,
                    F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
     )
     base = Window.partitionBy(*keys, "_block").orderBy("_n")
@@ -203,17 +203,20 @@ def daily_exog_mean(vectors: DataFrame, exog: Sequence[str] = EXOG) -> DataFrame
 
 
 GROUP_ORDER = (*blocks_of(), "dow")
-_LAG_PATTERN = r"^((?:price|exog_[0-9]+)_D(?:0|-[0-9]+))_h(?:[01][0-9]|2[0-3])$"
 
 
-def feature_group(name: str | Column) -> Column:
-    """F10. Column name -> family; an unknown name raises instead of landing in a bucket."""
+def feature_group(name: str | Column, blocks: Sequence[str] | None = None) -> Column:
+    """F10. Feature name -> the block that generated it, or ``dow``.
+
+    The names are looked up among those the blocks generate; any other fails the job.
+    """
     name = col(name)
-    lagged = F.regexp_extract(name, _LAG_PATTERN, 1)
-    return (
-        F.when(name.rlike("^dow_[0-6]$"), "dow").when(lagged != "", lagged)
-        .otherwise(F.raise_error(F.concat(F.lit("unrecognised feature column: "), name)))
-    )
+    blocks = blocks_of() if blocks is None else blocks
+    pairs = [(f"{b}_{tag}", b) for b in blocks for tag in HOUR_TAGS]
+    pairs += [(day, "dow") for day in WEEKDAYS]
+    family = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    stranger = F.raise_error(F.concat(F.lit("no block generates a feature named "), name))
+    return F.coalesce(F.try_element_at(family, name), stranger.cast("string"))
 
 
 def sequence_pack(features: DataFrame, names: Sequence[str],

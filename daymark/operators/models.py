@@ -180,33 +180,34 @@ def _arx(rows: DataFrame, keys: Sequence[str], window: int, refit_every: int, mo
          ) -> DataFrame:
     """Rolling least squares of the day-on-day change, refitted every ``refit_every`` days.
 
-    Days with known regressors are counted off in chunks of ``refit_every``. Cross-products are
-    summed once per (key, chunk); a training window is a sum over the preceding chunk rows. No
-    observation is copied into the windows it belongs to.
+    Blocks are calendar days counted from a key's first day. A block is fitted on the last
+    ``window`` days with a known target before it; days without one are forecast all the same.
+    Cross-products are summed once along the days, and a window is the difference of two of
+    these sums: no observation is copied into the windows it belongs to.
     """
-    if window % refit_every:
-        raise ValueError("the window must be a whole number of refit periods")
-    per_window = window // refit_every
     names = list(REGRESSORS)
     ready = rows.filter(" and ".join(f"{c} is not null" for c in (*names, "last_y")))
-    order = Window.partitionBy(*keys).orderBy("origin")  # one row per day and key
-    chunked = ready.withColumn(
-        "chunk", F.floor((F.row_number().over(order) - 1) / refit_every))
-    # A day without a known price is forecast but adds nothing to the sums.
-    products = [f"case when y is not null then {a} * {b} end"
-                for i, a in enumerate(names) for b in names[i:]]
+    group = Window.partitionBy(*keys)
+    order = group.orderBy("origin")  # one row per day and key
+    placed = ready.withColumns({
+        "block": F.floor(F.datediff("origin", F.min("origin").over(group)) / refit_every),
+        "known": F.count("y").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    products = [f"{a} * {b}" for i, a in enumerate(names) for b in names[i:]]
     products += [f"{a} * (y - last_y)" for a in names]
-    sums = chunked.groupBy(*keys, "chunk").agg(
-        *[F.expr(f"sum({p}) as _s{i}") for i, p in enumerate(products)],
-        F.count("y").alias("_n"))
-    past = Window.partitionBy(*keys).orderBy("chunk").rangeBetween(-per_window, -1)
-    fits = sums.select(
-        *keys, "chunk", F.sum("_n").over(past).alias("n_train"),
-        F.array(*[F.sum(f"_s{i}").over(past) for i in range(len(products))]).alias("_sums"))
-    # Every window is full length: a shorter history gives no forecast.
-    fits = fits.filter(F.col("n_train") == window).withColumn("beta", _solve_normal("_sums"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.filter("y is not null").select(
+        *keys, (F.col("known") + 1).alias("n"),
+        F.array(*[F.sum(F.expr(p)).over(so_far) for p in products]).alias("s"))
+    # A shorter history than the window gives no forecast.
+    blocks = placed.groupBy(*keys, "block").agg(F.min("known").alias("n")).filter(
+        F.col("n") >= window)
+    earlier = sums.select(*keys, (F.col("n") + window).alias("n"), F.col("s").alias("s0"))
+    fits = blocks.join(sums, [*keys, "n"]).join(earlier, [*keys, "n"], "left").withColumn(
+        "_sums", F.when(F.col("s0").isNull(), F.col("s")).otherwise(
+            F.zip_with("s", "s0", lambda a, b: a - b))).withColumn(
+        "beta", _solve_normal("_sums"))
     step = sum((F.col(n) * F.get("beta", F.lit(i)) for i, n in enumerate(names)), F.lit(0.0))
-    return chunked.join(fits.select(*keys, "chunk", "beta"), [*keys, "chunk"]).withColumns({
+    return placed.join(fits.select(*keys, "block", "beta"), [*keys, "block"]).withColumns({
         "y_pred": F.col("last_y") + step, "model": F.lit(model)}).withColumnRenamed("y", "y_true")
 
 
@@ -365,7 +366,8 @@ def random_trials(n: int = 50, seed: int = 42) -> list[tuple[int, float, float]]
 
 def search(roles: DataFrame, features: DataFrame, trials: Sequence[tuple[int, float, float]],
            trials_per_task: int = 5) -> DataFrame:
-    """M13. Mean absolute validation error of every trial: (series_id, trial, alpha, l1, mae).
+    """M13. Mean absolute validation error of every trial: (series_id, trial, alpha, l1, mae,
+    converged).
 
     ``roles`` marks days as fit or validation (V8). Trials are dealt into small batches; a
     task fits one batch on one series' window, all hours at once.
@@ -383,19 +385,23 @@ def search(roles: DataFrame, features: DataFrame, trials: Sequence[tuple[int, fl
         sx = np.where(sx > 0, sx, 1.0)
         out = []
         for i, alpha, l1 in batches[int(pdf["batch"].iloc[0])]:
-            w, b = elastic_net((x - mx) / sx, y, alpha * y.std(), l1)
+            w, b, converged = elastic_net((x - mx) / sx, y, alpha * y.std(), l1)
             err = np.abs((xv - mx) / sx @ w + b - yv).mean()
-            out.append((pdf["series_id"].iloc[0], i, alpha, l1, float(err)))
-        return pd.DataFrame(out, columns=["series_id", "trial", "alpha", "l1", "mae"])
+            out.append((pdf["series_id"].iloc[0], i, alpha, l1, float(err), converged))
+        return pd.DataFrame(
+            out, columns=["series_id", "trial", "alpha", "l1", "mae", "converged"])
 
     return rows.groupBy("series_id", "batch").applyInPandas(
-        one_batch, "series_id string, trial int, alpha double, l1 double, mae double")
+        one_batch,
+        "series_id string, trial int, alpha double, l1 double, mae double, converged boolean")
 
 
 def best_trial(scores: DataFrame) -> DataFrame:
-    """M13. Smallest validation error per series; the earlier trial on a tie."""
+    """M13. Smallest validation error per series; the earlier trial on a tie. A trial whose
+    coefficients did not settle is taken only where none did, and says so."""
     return scores.groupBy("series_id").agg(
-        F.min_by(F.struct("trial", "alpha", "l1", "mae"), F.struct("mae", "trial")).alias("_t"),
+        F.min_by(F.struct("trial", "alpha", "l1", "mae", "converged"),
+                 F.struct(~F.col("converged"), "mae", "trial")).alias("_t"),
         F.count(F.lit(1)).alias("n_trials")).select("series_id", "_t.*", "n_trials")
 
 

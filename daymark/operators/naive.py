@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from daymark.functions.exprs import similar_day_lag
 from daymark.operators.features import (
     SERIES_DAY, build_features, calendar_lags, day_vectors, vector_mean)
-from daymark.operators.quality import CheckFailed, with_day_hour
+from daymark.operators.quality import CheckFailed, refuse_any, with_day_hour
 
 FORECAST_COLUMNS = ["series_id", "origin", "hour", "y_true", "y_pred", "model"]
 
@@ -89,9 +89,13 @@ def forecast_day(df: DataFrame, day: dt.date, strict: bool = True, model: str =
     recent = with_day_hour(df).filter(F.col("day").between(F.lit(first), F.lit(day)))
     features = build_features(recent.select(*df.columns), need_label=False).filter(
         F.col("day") == F.lit(day))
-    if strict and features.limit(1).count() == 0:
-        raise CheckFailed(f"{day} cannot be forecast: it needs 24 hours of exogenous data and "
-                          "seven complete days before it")
+    if strict:
+        seen = recent.select("series_id").distinct()
+        refuse_any(seen.join(features.select("series_id"), "series_id", "left_anti"),
+                   f"{day} cannot be forecast for every series: each needs 24 hours of exogenous "
+                   "data and seven complete days before it")
+        if features.limit(1).count() == 0:
+            raise CheckFailed(f"no series reaches {day}")
     lag = similar_day_lag("day")
     # Price blocks come first in x, in lag order 1, 2, 3, 7.
     start = F.when(lag == 1, 0).when(lag == 3, 48).otherwise(72)

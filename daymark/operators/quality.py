@@ -91,8 +91,12 @@ def resample_hourly(df: DataFrame, expected: DataFrame, value: str = "price") ->
 
 
 def sum_components(parts: DataFrame, n_components: int, component: str = "component") -> DataFrame:
-    """Q4. Sum of component series per timestamp; NULL when any component is missing."""
-    return parts.groupBy("series_id", "ts").agg(
+    """Q4. Sum of component series per timestamp; NULL when any component is missing.
+
+    A component that overlapping loads brought twice counts once, with its known value.
+    """
+    single = parts.groupBy("series_id", "ts", component).agg(F.max("value").alias("value"))
+    return single.groupBy("series_id", "ts").agg(
         F.when(F.count("value") == n_components, F.sum("value")).alias("value"))
 
 

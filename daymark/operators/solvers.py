@@ -88,12 +88,15 @@ def lasso_aic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
             best, best_w = aic, w.copy()
         if level <= floor or (enter < 0 and leave < 0):
             break
+    else:
+        raise ArithmeticError("the path did not reach its end")
     return best_w, my - float(mx @ best_w)
 
 
 def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float, l1: float, sweeps: int = 60
-                ) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinate descent for all target columns at once."""
+                ) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Coordinate descent for all target columns at once: coefficients, intercepts, and whether
+    the last sweep moved no coefficient by more than 1e-4 of the targets' scale."""
     n = len(x)
     mx, my = x.mean(axis=0), y.mean(axis=0)
     gram, corr = (x - mx).T @ (x - mx), (x - mx).T @ (y - my)
@@ -110,4 +113,4 @@ def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float, l1: float, sweeps: i
             w[j] = new
         if moved < 1e-7:
             break
-    return w, my - mx @ w
+    return w, my - mx @ w, moved <= 1e-4 * max(float(y.std()), 1e-12)

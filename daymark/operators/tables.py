@@ -14,23 +14,6 @@ from daymark.operators.scoring import all_metrics, daily_baseload
 TARGETS = ("hourly", "daily-direct", "daily-aggregated")
 METRICS = ["mae", "rmse", "smape", "rmae"]
 
-# Published accuracy of ten benchmark models on the EPEX-DE test period
-# (Lago et al. 2021, Applied Energy 293:116983, Tables 2 and 3), as
-# (model, rMAE, MAE, MAPE, sMAPE, RMSE).
-PRINTED = [
-    ("DNN 1", 0.407, 3.716, 77.145, 14.970, 6.796),
-    ("DNN 2", 0.422, 3.850, 137.449, 15.356, 7.304),
-    ("DNN 3", 0.406, 3.706, 100.214, 15.508, 6.271),
-    ("DNN 4", 0.394, 3.592, 90.578, 14.680, 6.080),
-    ("LEAR 56", 0.506, 4.619, 129.763, 17.600, 8.122),
-    ("LEAR 84", 0.499, 4.555, 133.580, 17.491, 7.923),
-    ("LEAR 1092", 0.450, 4.108, 128.295, 16.984, 6.996),
-    ("LEAR 1456", 0.451, 4.118, 124.191, 17.054, 6.987),
-    ("DNN Ensemble", 0.374, 3.413, 94.434, 14.078, 5.927),
-    ("LEAR Ensemble", 0.433, 3.955, 122.412, 15.747, 7.079),
-]
-PRINTED_SCHEMA = ("model string, rmae double, mae double, mape double, smape double, rmse double")
-
 
 def canonical_table(hourly: DataFrame, daily_direct: DataFrame, models: Sequence[str],
                     strict: bool = False) -> DataFrame:

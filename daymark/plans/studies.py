@@ -108,7 +108,7 @@ def live_hours(price: DataFrame, load: DataFrame, renewables: DataFrame, n_compo
         "value", "price"))
     schema = "production_type STRING, unix_seconds ARRAY<BIGINT>, forecast_values ARRAY<DOUBLE>"
     parts = flatten_payload(renewables, "body", "forecast_values", schema)
-    total = quality.sum_components(parts, n_components)
+    total = quality.sum_components(parts, n_components, "production_type")
     demand = flatten_payload(load, "body", "forecast_values", schema)
     hourly = lambda df, c: quality.resample_hourly(df, quality.observations_per_hour(df), c)
     return quality.align_sources(

@@ -1,4 +1,4 @@
-"""Session helpers: where shared intermediate tables may live, and size-checked broadcasting."""
+"""Session helpers: where shared intermediate tables may live."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a side may be broadcast. Callers count before they broadcast.
-BROADCAST_ROW_LIMIT = 100_000
 
 
 _local_roots: dict[str, str] = {}
@@ -45,8 +41,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after at most ``limit + 1`` rows were counted; otherwise unchanged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daymark.session import materialize
+
 FORECAST_SCHEMA = T.StructType([
     T.StructField("series_id", T.StringType()),
     T.StructField("origin", T.DateType()),
@@ -28,14 +31,27 @@ def load_long(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def write_forecasts(df: DataFrame, path: str) -> None:
-    """S5. Store forecasts by (model, origin).
+    """S5. Store forecasts by (model, origin), replacing the (series, model, origin) in ``df``.
 
-    Only the partitions present in ``df`` are replaced, so re-running an origin overwrites it
-    instead of appending a second copy. A partition holds all series of an origin: ``df`` must
-    bring every series it should keep (``plans.studies.walk_forward_run`` does).
+    A partition holds all series of an origin. Series of a touched partition that ``df`` does not
+    bring are read first and written back with it, so storing one series leaves the others. Each
+    partition is written by one task.
     """
+    columns = df.columns
+    try:
+        stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    out = df
+    if stored is not None:
+        parts = df.select("model", "origin").distinct()
+        others = (stored.join(parts, ["model", "origin"], "left_semi")
+                  .join(df.select(*ORIGIN_KEYS).distinct(), ORIGIN_KEYS, "left_anti"))
+        out = df.unionByName(materialize(others.select(*columns), "kept-series"))
     (
-        df.write.mode("overwrite")
+        out.repartition("model", "origin").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("model", "origin")
         .parquet(path)

@@ -75,8 +75,11 @@ def split_train_test(df: DataFrame, years_test: float) -> DataFrame:
 
 def flatten_payload(df: DataFrame, json_column: str, value_field: str = "price",
                     schema: str = PAYLOAD_SCHEMA) -> DataFrame:
-    """S3. Parallel arrays inside a JSON payload -> one row per point, epoch seconds -> time."""
-    parsed = df.withColumn("_p", F.from_json(json_column, schema))
+    """S3. Parallel arrays inside a JSON payload -> one row per point, epoch seconds -> time.
+
+    A NULL payload has no points; a malformed one fails the job instead of vanishing.
+    """
+    parsed = df.withColumn("_p", F.from_json(json_column, schema, {"mode": "FAILFAST"}))
     keep = [c for c in df.columns if c != json_column]
     extra = ["_p.production_type"] if "production_type" in schema else []
     points = parsed.select(

@@ -101,7 +101,7 @@ def test_weight_fit_refuses_leaks_nulls_and_thin_regimes(spark):
     with pytest.raises(CheckFailed, match="missing"):
         E.fit_weights(frame.withColumn("y_pred", F.when(F.col("hour") != 2, F.col("y_pred"))),
                       tuple(SPEC), strict=True)
-    with pytest.raises(CheckFailed, match="at least 20"):
+    with pytest.raises(CheckFailed, match="each regime needs 20"):
         E.fit_regime_weights(frame, tuple(SPEC), 60)
 
 

@@ -56,7 +56,7 @@ def test_repeated_hour_is_refused(spark):
 
 def test_unknown_feature_name_raises(spark):
     df = spark.createDataFrame([("price_D-1_h24",)], "f string")
-    with pytest.raises(Exception, match="unrecognised"):
+    with pytest.raises(Exception, match="no block generates"):
         df.select(X.feature_group("f")).collect()
 
 
