@@ -5,8 +5,8 @@ host the number of distinct documents that hold a line is counted; lines above t
 boilerplate and are removed, and a document that is depleted by their removal is rejected.
 
 Documents that are copies of one another must not turn their own content into boilerplate. So the
-count of distinct documents goes by content: documents that agree in the smallest hash of their
-five-word runs count as one. A line is above the limits if at least ``min_documents`` distinct
+count of distinct documents goes by content: documents that agree in the smallest hash of the
+five-word runs outside the line count as one. A line is above the limits if at least ``min_documents`` distinct
 documents of the host hold it, and if these are at least ``min_share`` of the rows that hold it;
 in a group of exact or near copies the share stays low.
 
@@ -81,28 +81,46 @@ def line_key(line: str) -> int:
                           signed=True)
 
 
-def content_key(words: list[str], width: int = CONTENT_RUN) -> int:
-    """Smallest hash over the runs of ``width`` words (all words where there are fewer)."""
+def run_hashes(words: list[str], width: int = CONTENT_RUN) -> np.ndarray:
+    """A hash of every run of ``width`` words."""
+    if len(words) < width:
+        return np.zeros(0, np.uint64)
     codes = {w: line_key(w) for w in set(words)}
     code = np.fromiter((codes[w] for w in words), np.int64, len(words)).view(np.uint64)
-    k = min(width, len(words))
-    if not k:
-        return 0
-    mix = np.zeros(len(words) - k + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            mix = (mix ^ code[i:len(code) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            mix ^= mix >> np.uint64(29)
-    return int(mix.min().view(np.int64))
+    mix = np.zeros(len(words) - width + 1, np.uint64)
+    for i in range(width):
+        mix = (mix ^ code[i:len(code) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        mix ^= mix >> np.uint64(29)
+    return mix
+
+
+def content_keys(words: list[str], lines: list[tuple[int, int]]) -> list[int]:
+    """For every line (first word, one past the last): the smallest hash over the runs of words
+    that lie outside it; 0 where there is none."""
+    runs = run_hashes(words)
+    if not len(runs):
+        return [0] * len(lines)
+    ahead = np.minimum.accumulate(runs)
+    behind = np.minimum.accumulate(runs[::-1])[::-1]
+    keys = []
+    for start, end in lines:
+        before = start - CONTENT_RUN  # the last run that ends before the line
+        sides = [ahead[before]] if before >= 0 else []
+        if end < len(runs):
+            sides.append(behind[end])
+        keys.append(int(min(sides).view(np.int64)) if sides else 0)
+    return keys
 
 
 def text_facts(text: str | None) -> dict:
-    """Base counts of one text, its content key and its distinct normalised lines with words."""
+    """Base counts of one text, and its distinct normalised lines with their words and the
+    content around them. A line that occurs again adds its words to the first."""
     text = text or ""
-    words = WORD.findall(text)
+    words: list[str] = []
     seen: set[str] = set()
     dup_lines = 0
     lines: dict[int, int] = {}
+    places: list[tuple[int, int]] = []
     for line in text.split("\n"):
         in_line = WORD.findall(line)
         if not in_line:
@@ -111,18 +129,21 @@ def text_facts(text: str | None) -> dict:
             dup_lines += 1
         seen.add(line)
         key = line_key(normal_line(line))
+        if key not in lines:
+            places.append((len(words), len(words) + len(in_line)))
         lines[key] = lines.get(key, 0) + len(in_line)
+        words += in_line
     return {
         "n_words": len(words), "word_chars": sum(map(len, words)),
         "n_symbols": len(_SYMBOL.findall(text)), "n_dup_lines": dup_lines,
         "n_repeat_words": repeated_words(words),
-        "content": content_key([w for w in WORD.findall(ascii_lower(text))]) if words else 0,
-        "line_keys": list(lines), "line_words": list(lines.values())}
+        "line_keys": list(lines), "line_words": list(lines.values()),
+        "line_content": content_keys(words, places)}
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FACTS = dict.fromkeys([*BASE, "content"], "bigint") | dict.fromkeys(
-    ["line_keys", "line_words"], "array<bigint>")
+FACTS = dict.fromkeys(BASE, "bigint") | dict.fromkeys(
+    ["line_keys", "line_words", "line_content"], "array<bigint>")
 
 
 def base_facts(docs: DataFrame, text_column: str) -> DataFrame:
@@ -165,10 +186,10 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def _verdict(facts: DataFrame, min_documents: int, min_share: float,
              max_removed: float) -> DataFrame:
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit(""))
-    lines = facts.select("row_key", host.alias("host"), "content",
-                         F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
-        "row_key", "host", "content", F.col("l.line_keys").alias("line"),
-        F.col("l.line_words").alias("words"))
+    lines = facts.select("row_key", host.alias("host"), F.explode(F.arrays_zip(
+        "line_keys", "line_words", "line_content")).alias("l")).select(
+        "row_key", "host", F.col("l.line_keys").alias("line"),
+        F.col("l.line_words").alias("words"), F.col("l.line_content").alias("content"))
     frequent = (frequent_lines(lines, min_documents, min_share).select("host", "line")
                 .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     removed = (
