@@ -39,7 +39,7 @@ MARK = "▁"
 #: Rounds of re-estimation.
 ROUNDS = 1
 #: Most frequent words that are shipped to tasks.
-SHIPPED = 150_000
+SHIPPED = 80_000
 STRENGTHS = (1e2, 1e3, 1e4, 3e4, 1e5, 3e5, 1e6, 3e6, 1e7, 3e7, 1e8)
 #: Share of the end mark in the lattice's part.
 END_SHARE = 0.01
