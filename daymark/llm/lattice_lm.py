@@ -40,6 +40,8 @@ MARK = "▁"
 ROUNDS = 1
 #: Most frequent words that are shipped to tasks.
 SHIPPED = 80_000
+#: Distinct words a task holds before it passes their counts on.
+HELD_WORDS = 150_000
 STRENGTHS = (1e2, 1e3, 1e4, 3e4, 1e5, 3e5, 1e6, 3e6, 1e7, 3e7, 1e8)
 #: Share of the end mark in the lattice's part.
 END_SHARE = 0.01
@@ -129,22 +131,33 @@ def tokens_of(text: str | None) -> list[str]:
     return WORD.findall(ascii_lower(text)) if text else []
 
 
+def token_bytes(text: str | None) -> list[bytes]:
+    """The words of ``tokens_of`` in UTF-8: bytes are folded and split at ASCII white space only."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 def count_words(docs: DataFrame, text_column: str, train: Column) -> DataFrame:
     """(word, n, c): occurrences in all documents and in the training ones."""
     source = docs.select(F.col(text_column).alias("text"), train.alias("train"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others, trained = Counter(), Counter()
+
+        def counts() -> pa.RecordBatch:
+            words = list(trained) + [w for w in others if w not in trained]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()),
+                 pa.array([trained[w] + others[w] for w in words], pa.int64()),
+                 pa.array([trained[w] for w in words], pa.int64())], names=["word", "n", "c"])
+
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                others, trained = Counter(), Counter()
-                part = batch.slice(at, 512)
-                for text, is_train in zip(part["text"].to_pylist(), part["train"].to_pylist()):
-                    (trained if is_train else others).update(tokens_of(text))
-                words = list(trained) + [w for w in others if w not in trained]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words, pa.string()),
-                     pa.array([trained[w] + others[w] for w in words], pa.int64()),
-                     pa.array([trained[w] for w in words], pa.int64())], names=["word", "n", "c"])
+            for text, is_train in zip(batch["text"].to_pylist(), batch["train"].to_pylist()):
+                (trained if is_train else others).update(token_bytes(text))
+                if len(trained) + len(others) >= HELD_WORDS:
+                    yield counts()
+                    trained.clear()
+                    others.clear()
+        yield counts()
 
     return source.mapInArrow(run, "word string, n bigint, c bigint").groupBy("word").agg(
         F.sum("n").alias("n"), F.sum("c").alias("c"))
@@ -232,7 +245,7 @@ def score(docs: DataFrame, vocabulary: str, train: Column, text_column: str = "t
 
     words = words.select("word", "n", "c", base_of(F.col("c")).alias("base"),
                          model_of(F.col("c"), F.col("lattice")).alias("model"))
-    top = {r[0]: (r[1], r[2], r[3]) for r in words.orderBy(F.col("n").desc(), "word").limit(
+    top = {r[0].encode("utf-8", "surrogatepass"): (r[1], r[2], r[3]) for r in words.orderBy(F.col("n").desc(), "word").limit(
         shipped_words).select("word", "c", "base", "model").collect()}
     held = spark.sparkContext.broadcast(pickle.dumps(top))
     end_base = math.log10((ends + 0.5) / base_total)
@@ -245,7 +258,7 @@ def score(docs: DataFrame, vocabulary: str, train: Column, text_column: str = "t
         def compute(texts):
             out = ([], [], [], [], [], [])
             for text in texts:
-                counts = Counter(tokens_of(text))
+                counts = Counter(token_bytes(text))
                 total, seen, base, model = 1, end_known, end_base, end_model
                 rare, times = [], []
                 for word, k in counts.items():
