@@ -136,7 +136,8 @@ def token_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def count_words(docs: DataFrame, text_column: str, train: Column) -> DataFrame:
+def count_words(docs: DataFrame, text_column: str, train: Column,
+                held_words: int = HELD_WORDS) -> DataFrame:
     """(word, n, c): occurrences in all documents and in the training ones."""
     source = docs.select(F.col(text_column).alias("text"), train.alias("train"))
 
@@ -153,7 +154,7 @@ def count_words(docs: DataFrame, text_column: str, train: Column) -> DataFrame:
         for batch in batches:
             for text, is_train in zip(batch["text"].to_pylist(), batch["train"].to_pylist()):
                 (trained if is_train else others).update(token_bytes(text))
-                if len(trained) + len(others) >= HELD_WORDS:
+                if len(trained) + len(others) >= held_words:
                     yield counts()
                     trained.clear()
                     others.clear()

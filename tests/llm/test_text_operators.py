@@ -457,5 +457,23 @@ def test_lm_scores_match_a_direct_sum(spark, tmp_path):
     assert a == sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in many)
 
 
+def test_word_counts_do_not_depend_on_what_a_task_holds(spark):
+    odd = "A b\x0bc\x1cd\xa0e \u00c9 f\u3000g\u0085h"
+    docs = spark.createDataFrame(
+        [(1, "x Y x\ny"), (2, None), (3, ""), (4, odd), (5, "x " * 3000), (6, "x Y x\ny")],
+        "doc_id bigint, text string")
+    train = F.col("doc_id") % 2 == 1
+    want = Counter(), Counter()
+    for r in docs.collect():
+        words = lattice_lm.tokens_of(r["text"])
+        assert [w.decode() for w in lattice_lm.token_bytes(r["text"])] == words
+        want[0].update(words)
+        want[1].update(words if r["doc_id"] % 2 else [])
+    for held in (1, 3, 1000):
+        found = lattice_lm.count_words(docs, "text", train, held).collect()
+        assert len(found) == len(want[0])
+        assert all((r["n"], r["c"]) == (want[0][r["word"]], want[1][r["word"]]) for r in found)
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
