@@ -1,7 +1,7 @@
 """Fitted forecasts as partitioned jobs.
 
-Work is split by (series, refit block), so one series spreads over as many tasks as it has
-refits, and a task never holds more than one training window plus one block.
+Work is split by (series, run of refit blocks), so one series spreads over as many tasks as it
+has runs, and a task never holds more than one training window plus one run.
 """
 
 from __future__ import annotations
@@ -32,76 +32,96 @@ DAILY = "series_id string, origin date, y_true double, y_pred double, model stri
 # ---- walk-forward -----------------------------------------------------------------------
 
 
-def block_rows(features: DataFrame, window: int, refit_every: int = 1,
-               first_origin: dt.date | None = None, last_origin: dt.date | None = None,
-               todo: DataFrame | None = None) -> DataFrame:
-    """Rows of each refit block: (series_id, block, role, day, x, y).
+def run_rows(features: DataFrame, window: int, refit_every: int = 1,
+             first_origin: dt.date | None = None, last_origin: dt.date | None = None,
+             todo: DataFrame | None = None, run_days: int | None = None) -> DataFrame:
+    """Rows of each run of refit blocks: (series_id, run, pos, block_pos, own, open, day, x, y).
 
-    Block ``b`` refits on the ``window`` rows before its first origin and forecasts the next
-    ``refit_every`` rows. Which blocks a row trains is arithmetic on its position, so rows are
-    exploded and grouped; nothing is range-joined. With ``todo`` (series_id, origin) only the
-    blocks that still hold one of those origins are kept, so a resumed run fits nothing twice.
+    A block is ``refit_every`` calendar days counted from the first origin; ``block_pos`` is the
+    position of its first day. A run holds the blocks that start within ``run_days`` positions
+    and gets their days (``own``) and the ``window`` days before them once, however many blocks
+    those days train. A day is sent about ``1 + window / run_days`` times: under twice where
+    ``run_days`` is the window, its default. Fewer days a run spread one series over more tasks.
+    With ``todo`` (series_id, origin) only runs that still hold such an origin are kept, and
+    ``open`` marks these origins.
     """
     validate_range(first_origin, last_origin)
-    pos = positions(features)
-    if first_origin is None:
-        ranked = pos.withColumn("_start", F.lit(window).cast("long"))
-    else:
-        begin = pos.filter(F.col("day") >= F.lit(first_origin)).groupBy("series_id").agg(
-            F.greatest(F.min("pos"), F.lit(window)).alias("_start"))
-        ranked = pos.join(begin, "series_id")
-    last = ranked
+    stride = max(run_days or window, refit_every)
+    stride = -(-stride // refit_every) * refit_every
+    ranked = positions(features)
+    usable = F.col("pos") >= window
+    if first_origin is not None:
+        usable = usable & (F.col("day") >= F.lit(first_origin))
+    series = Window.partitionBy("series_id")
+    ranked = ranked.withColumn("_first", F.min(F.when(usable, F.struct("pos", "day"))).over(series))
+    ranked = ranked.filter("_first IS NOT NULL").select(
+        *SERIES_DAY, (F.col("pos") - F.col("_first.pos")).alias("pos"),
+        F.when(usable, F.floor(F.datediff("day", "_first.day") / refit_every)).alias("_block"))
     if last_origin is not None:
-        last = last.filter(F.col("day") <= F.lit(last_origin))
-    ends = last.groupBy("series_id").agg(F.max("pos").alias("_end"))
-    ranked = ranked.join(ends, "series_id")
-    p, n = F.col("pos") - F.col("_start"), refit_every
-    top = F.floor((F.col("_end") - F.col("_start")) / n)
-    # Trained by blocks b with b*n - window <= p < b*n; tested by the block that contains p.
-    low = F.greatest(F.floor(p / n) + 1, F.lit(0))
-    high = F.least(F.floor((p + window) / n), top)
-    train = F.when((high >= low), F.sequence(low, high))
-    test = F.when((p >= 0) & (F.col("pos") <= F.col("_end")), F.floor(p / n))
-    jobs = ranked.filter(top >= 0).select(
-        *SERIES_DAY,
-        F.explode(F.concat(
-            F.transform(F.coalesce(train, F.array().cast("array<bigint>")),
-                        lambda b: F.struct(b.alias("block"), F.lit("train").alias("role"))),
-            F.when(test.isNotNull(), F.array(F.struct(test.alias("block"), F.lit("test").alias("role"))))
-            .otherwise(F.expr("cast(array() as array<struct<block:bigint,role:string>>)")),
-        )).alias("_j"))
-    jobs = jobs.select(*SERIES_DAY, "_j.block", "_j.role")
-    if todo is not None:
-        wanted = todo.select("series_id", F.col("origin").alias("day"))
-        open_blocks = jobs.filter("role = 'test'").join(wanted, SERIES_DAY, "left_semi").select(
-            "series_id", "block").distinct()
-        jobs = jobs.join(open_blocks, ["series_id", "block"], "left_semi")
-    return jobs.join(
+        ranked = ranked.filter(F.col("day") <= F.lit(last_origin))
+    placed = ranked.withColumn("block_pos", F.when(F.col("_block").isNotNull(), F.min("pos").over(
+        Window.partitionBy("series_id", "_block"))))
+    home = F.floor(F.col("block_pos") / stride)
+    if todo is None:
+        placed = placed.withColumn("open", F.col("block_pos").isNotNull())
+    else:
+        wanted = todo.select("series_id", F.col("origin").alias("day"), F.lit(True).alias("_open"))
+        placed = placed.join(wanted.distinct(), SERIES_DAY, "left").withColumn(
+            "open", F.col("_open").isNotNull() & F.col("block_pos").isNotNull())
+    # A day may train any run that starts within the next window, and the run it lies in.
+    low, high = F.floor(F.col("pos") / stride), F.floor((F.col("pos") + window) / stride)
+    reach = F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))
+    runs = F.array_distinct(F.when(home.isNull(), reach).otherwise(
+        F.concat(F.array(home), reach)))
+    placed = placed.select(
+        *SERIES_DAY, "pos", "block_pos", "open", home.alias("_home"),
+        F.explode(F.when(F.col("pos") >= -window, runs)).alias("run")).withColumn(
+        "own", F.coalesce(F.col("_home") == F.col("run"), F.lit(False)))
+    needed = placed.filter("own AND open").select("series_id", "run").distinct()
+    return placed.drop("_home").join(needed, ["series_id", "run"], "left_semi").join(
         features.select(*SERIES_DAY, "x", "y"), SERIES_DAY)
 
 
+def run_blocks(rows: DataFrame, window: int, one_block: Callable[[pd.DataFrame, pd.DataFrame],
+               pd.DataFrame], schema: str) -> DataFrame:
+    """``one_block(train, test)`` of every open block, run by run. An incomplete window is an
+    error."""
+
+    def one_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        done = [pd.DataFrame()]
+        for first, test in pdf[pdf["own"]].groupby("block_pos"):
+            if not test["open"].any():
+                continue
+            train = pdf[(pdf["pos"] >= first - window) & (pdf["pos"] < first)]
+            if len(train) != window:
+                raise ValueError(f"a block has {len(train)} training days instead of {window}")
+            done.append(one_block(train, test))
+        return pd.concat(done[1:] or done, ignore_index=True)
+
+    return rows.groupBy("series_id", "run").applyInPandas(one_run, schema)
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float)
+
+
 def run_walk_forward(features: DataFrame, fit_predict: FitPredict, model: str, window: int,
                      refit_every: int = 1, first_origin: dt.date | None = None,
                      last_origin: dt.date | None = None, daily: bool = False,
-                     todo: DataFrame | None = None) -> DataFrame:
+                     todo: DataFrame | None = None, run_days: int | None = None) -> DataFrame:
     """M9. Fit on every block's window, forecast its days, emit the long frame.
 
     ``fit_predict(x_train, y_train, x_test)`` gets plain arrays; ``y`` has 24 columns, or one
-    for the daily route. Without origins the result is empty with the right schema. A window
-    that is not complete is refused.
+    for the daily route. Without origins the result is empty with the right schema.
     """
-    rows = block_rows(features, window, refit_every, first_origin, last_origin, todo)
+    rows = run_rows(features, window, refit_every, first_origin, last_origin, todo, run_days)
     if daily:
         rows = rows.withColumn("y", F.array(vector_mean("y")))
 
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        if len(train) != window:
-            raise ValueError(f"a block has {len(train)} training days instead of {window}")
-        stack = lambda col, part: np.array(part[col].tolist(), dtype=float)
-        truth = stack("y", test)
-        pred = fit_predict(stack("x", train), stack("y", train), stack("x", test))
+    def one_block(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+        truth = _stack(test["y"])
+        pred = fit_predict(_stack(train["x"]), _stack(train["y"]), _stack(test["x"]))
         width = truth.shape[1]
         out = pd.DataFrame({
             "series_id": np.repeat(test["series_id"].to_numpy(), width),
@@ -111,7 +131,7 @@ def run_walk_forward(features: DataFrame, fit_predict: FitPredict, model: str, w
             "model": model})
         return out.drop(columns="hour") if daily else out
 
-    out = rows.groupBy("series_id", "block").applyInPandas(one_block, DAILY if daily else LONG)
+    out = run_blocks(rows, window, one_block, DAILY if daily else LONG)
     return out if todo is None else out.join(
         todo.select("series_id", "origin"), ["series_id", "origin"], "left_semi")
 

@@ -31,16 +31,67 @@ def test_lasso_knot_meets_the_optimality_conditions_and_beats_a_grid():
         lasso_aic(x[:20], y[:20])
 
 
+def _seen(spark, feats, window, every, **more):
+    """Block -> (training days, test days), as the fits get them."""
+
+    def spans(train, test):
+        import pandas as pd
+        return pd.DataFrame({"train": [train["day"].tolist()], "test": [test["day"].tolist()]})
+
+    rows = M.run_rows(feats, window, every, **more)
+    got = M.run_blocks(rows, window, spans, "train array<date>, test array<date>").collect()
+    return rows, sorted((r["train"], r["test"]) for r in got)
+
+
 def test_walk_forward_blocks_see_exactly_their_window(spark):
     feats = X.build_features(encoded(spark, 40)).cache()
-    seen = M.block_rows(feats, 10, 4).groupBy("block", "role").agg(
-        F.count(F.lit(1)).alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi")).collect()
-    got = {(r["block"], r["role"]): r for r in seen}
     first = (DAY0 + dt.timedelta(days=7)).date()
-    for b in range(6):
-        t = got[b, "train"]
-        assert t["n"] == 10 and t["lo"] == first + dt.timedelta(days=4 * b)
-        assert got[b, "test"]["lo"] == t["hi"] + dt.timedelta(days=1)
+    for run_days in (None, 4, 7, 12, 100):
+        _, got = _seen(spark, feats, 10, 4, run_days=run_days)
+        assert len(got) == 6
+        for b, (train, test) in enumerate(got):
+            assert train == [first + dt.timedelta(days=4 * b + i) for i in range(10)]
+            assert test[0] == train[-1] + dt.timedelta(days=1)
+            assert len(test) == min(4, 33 - 10 - 4 * b)
+
+
+def test_a_training_day_is_sent_less_than_twice(spark):
+    feats = X.build_features(encoded(spark, 120)).cache()
+    for every in (1, 3, 7):
+        rows, got = _seen(spark, feats, 20, every)
+        assert rows.count() < 2 * feats.count()
+        assert sum(len(test) for _, test in got) == feats.count() - 20
+
+
+def test_blocks_are_calendar_days_and_windows_count_present_days(spark):
+    feats = X.build_features(encoded(spark, 60))
+    lost = [(DAY0 + dt.timedelta(days=n)).date() for n in (25, 26, 27, 28, 40)]
+    feats = feats.filter(~F.col("day").isin(lost)).cache()
+    days = sorted(r["day"] for r in feats.select("day").collect())
+    for run_days in (None, 5):
+        _, got = _seen(spark, feats, 10, 5, run_days=run_days)
+        blocks = {}
+        for i, day in enumerate(days[10:], 10):
+            blocks.setdefault((day - days[10]).days // 5, []).append(i)
+        assert got == sorted(([days[j] for j in range(b[0] - 10, b[0])], [days[j] for j in b])
+                             for b in blocks.values())
+
+
+def test_open_origins_alone_are_fitted_again(spark):
+    feats = X.build_features(encoded(spark, 60)).cache()
+    wanted = [(DAY0 + dt.timedelta(days=n)).date() for n in (30, 31, 55)]
+    todo = feats.filter(F.col("day").isin(wanted)).select("series_id", F.col("day").alias("origin"))
+    out = M.run_walk_forward(feats, M.window_mean, "m", 10, 1, todo=todo)
+    full = M.run_walk_forward(feats, M.window_mean, "m", 10, 1)
+    pick = lambda f: sorted((r["origin"], r["hour"], r["y_pred"]) for r in f.collect())
+    assert pick(out) == pick(full.filter(F.col("origin").isin(wanted))) and out.count() == 72
+    _, got = _seen(spark, feats, 10, 1, todo=todo)
+    assert [test for _, test in got] == [[d] for d in wanted]
+
+
+def test_walk_forward_over_absent_and_bounded_origins(spark):
+    feats = X.build_features(encoded(spark, 40)).cache()
+    first = (DAY0 + dt.timedelta(days=7)).date()
     out = M.run_walk_forward(feats, M.window_mean, "mean", 10, 4)
     assert out.count() == 24 * (33 - 10)
     empty = M.run_walk_forward(feats, M.window_mean, "mean", 100)
