@@ -50,17 +50,18 @@ def _slot_features(spark, d):
     return materialize(X.build_features(series.delivery_slots(spark, d)), "features")
 
 
-_FIRST = dt.date(1999, 1, 1)
+#: One series, spread over about eight tasks.
+RUN_DAYS = 182
 
 
 @query("m3_lasso_hourly", FORECAST)
 def _(spark, d):
-    return M.fit_lasso_aic(_slot_features(spark, d), 728, 364, first_origin=_FIRST)
+    return M.fit_lasso_aic(_slot_features(spark, d), 1092, 182, run_days=RUN_DAYS)
 
 
 @query("m4_lasso_daily", DAILY)
 def _(spark, d):
-    return M.fit_lasso_aic_daily(_slot_features(spark, d), 728, 28, first_origin=_FIRST)
+    return M.fit_lasso_aic_daily(_slot_features(spark, d), 1092, 7, run_days=RUN_DAYS)
 
 
 @query("m5_seasonal_arx", FORECAST)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -141,24 +142,94 @@ def window_mean(x: np.ndarray, y: np.ndarray, x_new: np.ndarray) -> np.ndarray:
     return np.tile(y.mean(axis=0), (len(x_new), 1))
 
 
-def lasso_recipe(x: np.ndarray, y: np.ndarray, x_new: np.ndarray) -> np.ndarray:
+@dataclass
+class LassoFit:
+    """Lasso of one window: scaling of inputs and targets, and weights of every target."""
+
+    x_centre: np.ndarray
+    x_width: np.ndarray
+    y_centre: np.ndarray
+    y_width: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
+    inputs_mean: np.ndarray
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """Scaled inputs; the weekday flags stay as they are."""
+        n = len(self.x_centre)
+        return np.hstack([np.arcsinh((x[:, :n] - self.x_centre) / self.x_width), x[:, n:]])
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.sinh(self.inputs(x) @ self.weights + self.bias) * self.y_width + self.y_centre
+
+
+def fit_lasso(x: np.ndarray, y: np.ndarray) -> LassoFit:
     """asinh-median scaling of targets and all inputs but the weekday flags, then a lasso with
     its penalty chosen by AIC, independently per target column."""
-    sx = slice(0, x.shape[1] - 7)
-    mx, dx = centre_scale(x[:, sx])
+    mx, dx = centre_scale(x[:, :x.shape[1] - 7])
     my, dy = centre_scale(y)
+    fit = LassoFit(mx, dx, my, dy, np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1]),
+                   np.zeros(x.shape[1]))
+    xs, ys = fit.inputs(x), np.arcsinh((y - my) / dy)
+    for j in range(y.shape[1]):
+        fit.weights[:, j], fit.bias[j] = lasso_aic(xs, ys[:, j])
+    fit.inputs_mean = xs.mean(axis=0)
+    return fit
 
-    def scaled(a: np.ndarray) -> np.ndarray:
-        out = a.copy()
-        out[:, sx] = np.arcsinh((a[:, sx] - mx) / dx)
-        return out
 
-    xs, xn, ys = scaled(x), scaled(x_new), np.arcsinh((y - my) / dy)
-    out = np.empty((len(x_new), y.shape[1]))
-    for j in range(y.shape[1]):
-        w, b = lasso_aic(xs, ys[:, j])
-        out[:, j] = np.sinh(xn @ w + b) * dy[j] + my[j]
-    return out
+def lasso_recipe(x: np.ndarray, y: np.ndarray, x_new: np.ndarray) -> np.ndarray:
+    return fit_lasso(x, y).predict(x_new)
+
+
+COEFFICIENTS = ("series_id string, target string, hour int, feature string, coef double, "
+                "mean double, expected double, x_centre double, x_width double, "
+                "y_centre double, y_width double")
+
+
+def lasso_coefficients(features: DataFrame, names: Sequence[str], window: int,
+                       targets_per_task: int = 25) -> DataFrame:
+    """M3/M4 for explanation: the models of each series' last window, one row per feature.
+
+    ``coef``, ``mean`` and ``expected`` are on the scaled side, where the model is additive;
+    a forecast is ``sinh(expected + sum of attributions) * y_width + y_centre``. An input is
+    ``asinh((x - x_centre) / x_width)``, or ``x`` where these are null. Fewer targets a task
+    spread one series over more tasks, each of which gets the window.
+    """
+    names = list(names)
+    parts = -(-25 // targets_per_task)
+    rows = final_window(features, window).select(
+        *SERIES_DAY, "x", F.concat("y", F.array(vector_mean("y"))).alias("y"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        low = int(pdf["part"].iloc[0]) * targets_per_task
+        at = list(range(low, min(low + targets_per_task, 25)))
+        fit = fit_lasso(_stack(pdf["x"]), _stack(pdf["y"])[:, at])
+        expected = fit.bias + fit.inputs_mean @ fit.weights
+        flags = [None] * (len(names) - len(fit.x_centre))
+        return pd.concat([pd.DataFrame({
+            "series_id": pdf["series_id"].iloc[0], "target": "hourly" if t < 24 else "daily",
+            "hour": pd.array([t if t < 24 else None] * len(names), "Int32"), "feature": names,
+            "coef": fit.weights[:, j], "mean": fit.inputs_mean, "expected": expected[j],
+            "x_centre": [*fit.x_centre, *flags], "x_width": [*fit.x_width, *flags],
+            "y_centre": fit.y_centre[j], "y_width": fit.y_width[j]})
+            for j, t in enumerate(at)], ignore_index=True)
+
+    return rows.groupBy("series_id", "part").applyInPandas(one_part, COEFFICIENTS)
+
+
+def lasso_inputs(features: DataFrame, names: Sequence[str], coefs: DataFrame) -> DataFrame:
+    """(series_id, day, feature, value): inputs as the models of ``lasso_coefficients`` see them."""
+    scales = coefs.groupBy("series_id", "feature").agg(
+        F.first("x_centre").alias("_m"), F.first("x_width").alias("_d"))
+    pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"),
+                         F.col("x").alias("value"))
+    long = features.select(*SERIES_DAY, F.inline(pairs).alias("feature", "_x"))
+    return long.join(scales, ["series_id", "feature"]).select(
+        *SERIES_DAY, "feature",
+        F.when(F.col("_d").isNull(), F.col("_x"))
+        .otherwise(F.asinh((F.col("_x") - F.col("_m")) / F.col("_d"))).alias("value"))
 
 
 def fit_lasso_aic(features: DataFrame, window: int, refit_every: int = 1, model: str = "lasso",

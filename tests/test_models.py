@@ -139,6 +139,28 @@ def test_lasso_recipe_beats_the_window_mean(spark):
     assert mae(lasso) < 0.8 * mae(mean)
 
 
+def test_lasso_coefficients_attribute_its_forecasts(spark):
+    names = X.feature_names()
+    feats = X.build_features(wavy(spark, 310)).cache()
+    days = sorted(r["day"] for r in feats.select("day").collect())
+    past, live = feats.filter(F.col("day") < days[-5]), feats.filter(F.col("day") >= days[-5])
+    coefs = M.lasso_coefficients(past, names, 290, targets_per_task=7).cache()
+    assert coefs.count() == 25 * len(names)
+    out = A.attribute_linear(M.lasso_inputs(live, names, coefs), coefs)
+    sums = out.groupBy("target", "hour", "day").agg(
+        (F.sum("value") + F.first("expected")).alias("z"))
+    level = coefs.select("target", "hour", "y_centre", "y_width").distinct()
+    got = sums.join(level, (sums.target == level.target) & sums.hour.eqNullSafe(level.hour)).select(
+        "day", F.coalesce(sums.hour, F.lit(24)).alias("h"),
+        (F.sinh("z") * F.col("y_width") + F.col("y_centre")).alias("p"))
+    got = {(r["day"], r["h"]): r["p"] for r in got.collect()}
+    arr = lambda rows, c: np.array([r[c] for r in rows], float)
+    train, test = past.orderBy("day").collect()[-290:], live.orderBy("day").collect()
+    y = arr(train, "y")
+    want = M.lasso_recipe(arr(train, "x"), np.column_stack([y, y.mean(axis=1)]), arr(test, "x"))
+    assert np.allclose([[got[r["day"], h] for h in range(25)] for r in test], want)
+
+
 def test_search_is_seeded_and_picks_the_smallest_error(spark):
     feats = X.build_features(wavy(spark, 60)).cache()
     roles = V.tuning_window(feats, 10, 30)
