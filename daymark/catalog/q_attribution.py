@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from daymark.catalog import prelude as P
 from daymark.catalog.prelude import with_ctes
-from daymark.catalog.q_models import TREES, _split_features
+from daymark.catalog.q_models import TREES, _slot_features, _split_features
 from daymark.catalog.registry import query
 from daymark.functions.exprs import HOURS
 from daymark.operators import attribution as A
 from daymark.operators import features as X
 from daymark.operators import models as M
+from daymark.operators import splits as V
 from daymark.session import materialize
 
 KINDS = {"price_D-1": ("price", 1), "price_D-7": ("price", 7), "exog_1_D0": ("exog_1", 0),
@@ -141,6 +142,19 @@ def _(spark, d):
     return A.group_importance(_attr(spark, d))
 
 
+@query("i4_lasso_group_importance", "series_id, target, hour:i, family, importance:6, position:i")
+def _(spark, d):
+    # Models of the window that ends a year before the last day explain that year.
+    names = X.feature_names()
+    feats = _slot_features(spark, d)
+    year = V.tuning_window(feats, 364, 1092)
+    past = feats.join(year.filter("role <> 'validation'"), ["series_id", "day"], "left_semi")
+    live = feats.join(year.filter("role = 'validation'"), ["series_id", "day"], "left_semi")
+    coefs = materialize(M.lasso_coefficients(past, names, 1092, targets_per_task=4), "coefs")
+    attr = A.attribute_linear(M.lasso_inputs(live, names, coefs), coefs)
+    return A.group_importance(attr)
+
+
 @query("i5_family_by_hour", "series_id, family, " + ", ".join(f"{h}:6" for h in HOURS), _sql(
     "SELECT series_id, family, " + ", ".join(
         f'sum(CASE WHEN hour = {h} THEN importance END) AS "{h}"' for h in HOURS)
