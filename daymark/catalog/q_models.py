@@ -92,6 +92,12 @@ def _(spark, d):
     return M.score_gbt_daily(M.fit_gbt_daily(train, TREES), live)
 
 
+@query("m8_gbt_daily_walk_forward", DAILY)
+def _(spark, d):
+    return M.gbt_walk_forward(_slot_features(spark, d), 1092, 364, {"maxIter": 20, "maxDepth": 4},
+                              daily=True)
+
+
 @query("m9_walk_forward", FORECAST, with_ctes("slots", """
 SELECT t.series_id, t.day AS origin, t.hour, t.price AS y_true, w.m AS y_pred, 'window-mean' AS model
 FROM (SELECT *, (p - 1092) // 28 AS block FROM pos WHERE p >= 1092) t

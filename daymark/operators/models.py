@@ -24,6 +24,7 @@ from daymark.functions.exprs import HOURS
 from daymark.operators.features import SERIES_DAY, calendar_lags, day_vectors, vector_mean
 from daymark.operators.solvers import centre_scale, elastic_net, lasso_aic
 from daymark.operators.splits import positions, validate_range
+from daymark.session import shared_path
 
 FitPredict = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 LONG = "series_id string, origin date, hour int, y_true double, y_pred double, model string"
@@ -400,6 +401,40 @@ def score_gbt_daily(fitted: GBTRegressionModel, features: DataFrame, model: str
                        F.col("prediction").alias("y_pred"), F.lit(model).alias("model"))
 
 
+def gbt_walk_forward(features: DataFrame, window: int, refit_every: int,
+                     params: dict | None = None, daily: bool = False,
+                     first_origin: dt.date | None = None, last_origin: dt.date | None = None,
+                     model: str = "gbt") -> DataFrame:
+    """M7/M8 refitted through the calendar: every ``refit_every`` days on the ``window`` calendar
+    days before, over the days of all series passed in.
+
+    One distributed fit per block and target; a block's forecasts are stored before the next
+    one is fitted. The first origin is ``window`` days after the first day, or later.
+    """
+    validate_range(first_origin, last_origin)
+    spark = features.sparkSession
+    low, high = features.agg(F.min("day"), F.max("day")).first()
+    root = shared_path(spark, "gbt-blocks")
+    start = low and max(low + dt.timedelta(days=window), first_origin or low)
+    end = high and min(high, last_origin or high)
+    fitted = 0
+    while start is not None and start <= end:
+        stop = min(start + dt.timedelta(days=refit_every - 1), end)
+        train = features.filter((F.col("day") < F.lit(start)) & (
+            F.col("day") >= F.lit(start - dt.timedelta(days=window))))
+        test = features.filter(F.col("day").between(F.lit(start), F.lit(stop)))
+        if not test.isEmpty() and not train.isEmpty():
+            scored = (score_gbt_daily(fit_gbt_daily(train, params), test, model) if daily
+                      else score_gbt(fit_gbt(train, params), test, model))
+            scored.write.mode("overwrite").parquet(f"{root}/block={fitted}")
+            fitted += 1
+        start = stop + dt.timedelta(days=1)
+    schema = DAILY if daily else LONG
+    if not fitted:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{root}/block={i}" for i in range(fitted)])
+
+
 # ---- freezing ---------------------------------------------------------------------------
 
 

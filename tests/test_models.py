@@ -161,6 +161,24 @@ def test_lasso_coefficients_attribute_its_forecasts(spark):
     assert np.allclose([[got[r["day"], h] for h in range(25)] for r in test], want)
 
 
+def test_trees_are_refitted_on_earlier_days_only(spark):
+    days = lambda n: (DAY0 + dt.timedelta(days=n)).date()
+    feats = X.build_features(wavy(spark, 40)).cache()
+    trees = {"maxIter": 2, "maxDepth": 2}
+    out = M.gbt_walk_forward(feats, 20, 7, trees, daily=True).collect()
+    assert sorted(r["origin"] for r in out) == [days(n) for n in range(27, 40)]
+    # The second block starts on day 34: later prices change no forecast up to its first day's.
+    late = F.col("day") >= F.lit(days(34))
+    moved = feats.withColumn("y", F.when(late, F.transform("y", lambda v: v * 3)).otherwise(F.col("y")))
+    again = M.gbt_walk_forward(moved, 20, 7, trees, daily=True).collect()
+    pick = lambda rows: {r["origin"]: r["y_pred"] for r in rows}
+    assert pick(out) == pick(again)
+    block = M.fit_gbt_daily(feats.filter(F.col("day").between(days(14), days(33))), trees)
+    want = pick(M.score_gbt_daily(block, feats.filter(late)).collect())
+    assert {k: v for k, v in pick(out).items() if k >= days(34)} == want
+    assert M.gbt_walk_forward(feats, 100, 7, trees, daily=True).count() == 0
+
+
 def test_search_is_seeded_and_picks_the_smallest_error(spark):
     feats = X.build_features(wavy(spark, 60)).cache()
     roles = V.tuning_window(feats, 10, 30)
