@@ -61,9 +61,10 @@ def _(spark, d):
 
 @query("v3_assert_before", "series_id, validation_end:d, test_start:d, ordered:b",
        with_ctes("turnover", """
-SELECT series_id, max(day) FILTER (day < DATE '2000-01-01') AS validation_end,
-       min(day) FILTER (day >= DATE '2000-01-01') AS test_start, TRUE AS ordered
-FROM turnover GROUP BY 1"""))
+SELECT *, coalesce(validation_end < test_start, FALSE) AS ordered FROM (
+  SELECT series_id, max(day) FILTER (day < DATE '2000-01-01') AS validation_end,
+         min(day) FILTER (day >= DATE '2000-01-01') AS test_start
+  FROM turnover GROUP BY 1)"""))
 def _(spark, d):
     days = _days(spark, d)
     return S.order_report(days.filter(F.col("day") < F.lit(BOUNDARY)),
@@ -78,8 +79,9 @@ def _(spark, d):
 
 
 @query("v5_interpretation_window", "series_id, day:d, n_days:i", with_ctes("turnover", """
-SELECT series_id, day, 1092 AS n_days FROM turnover WHERE day < DATE '2000-01-01'
-QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY day DESC) <= 1092"""))
+SELECT series_id, day, count(*) OVER (PARTITION BY series_id) AS n_days FROM (
+  SELECT series_id, day FROM turnover WHERE day < DATE '2000-01-01'
+  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY day DESC) <= 1092)"""))
 def _(spark, d):
     return S.interpretation_window(_days(spark, d), BOUNDARY, WINDOW)
 
@@ -87,10 +89,11 @@ def _(spark, d):
 @query("v6_assert_disjoint",
        "series_id, shared_days:i, train_end:d, first_explained:d, disjoint:b",
        with_ctes("turnover", """
-SELECT series_id, count(*) FILTER (day BETWEEN DATE '1999-12-20' AND DATE '1999-12-31') AS shared_days,
-  max(day) FILTER (day < DATE '2000-01-01') AS train_end,
-  min(day) FILTER (day >= DATE '1999-12-20') AS first_explained, FALSE AS disjoint
-FROM turnover GROUP BY 1"""))
+SELECT *, shared_days = 0 AND train_end < first_explained AS disjoint FROM (
+  SELECT series_id, count(*) FILTER (day BETWEEN DATE '1999-12-20' AND DATE '1999-12-31') AS shared_days,
+    max(day) FILTER (day < DATE '2000-01-01') AS train_end,
+    min(day) FILTER (day >= DATE '1999-12-20') AS first_explained
+  FROM turnover GROUP BY 1)"""))
 def _(spark, d):
     days = _days(spark, d)
     return S.overlap_report(days.filter(F.col("day") < F.lit(BOUNDARY)),
@@ -113,9 +116,10 @@ def _(spark, d):
 
 @query("v9_assert_ood", "series_id, live_start:d, frozen_on:d, out_of_sample:b",
        with_ctes("by_type", """
-SELECT series_id, min(day) FILTER (day >= DATE '2024-01-20') AS live_start,
-       max(day) FILTER (day < DATE '2024-01-20') AS frozen_on, TRUE AS out_of_sample
-FROM by_type GROUP BY 1"""))
+SELECT *, live_start > frozen_on AS out_of_sample FROM (
+  SELECT series_id, min(day) FILTER (day >= DATE '2024-01-20') AS live_start,
+         max(day) FILTER (day < DATE '2024-01-20') AS frozen_on
+  FROM by_type GROUP BY 1)"""))
 def _(spark, d):
     hourly = series.hourly_by_type(spark, d)
     cut = F.lit(dt.date(2024, 1, 20))
