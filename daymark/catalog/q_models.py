@@ -115,9 +115,13 @@ def _(spark, d):
 
 @query("m10_freeze", """series_id, frozen_on:d, train_start:d, n_train_days:i, window_days:i,
        price_mean:6, price_std:5""", with_ctes("by_type", """
-SELECT series_id, max(day) AS frozen_on, max(day) - 6 AS train_start, 7 AS n_train_days, 7 AS window_days,
-       avg(price) AS price_mean, stddev_samp(price) AS price_std
-FROM by_type WHERE day < DATE '2024-01-20' GROUP BY 1"""))
+SELECT p.*, frozen_on, train_start, n_train_days, 7 AS window_days
+FROM (SELECT series_id, avg(price) AS price_mean, stddev_samp(price) AS price_std
+      FROM by_type WHERE day < DATE '2024-01-20' GROUP BY 1) p
+JOIN (SELECT series_id, max(day) AS frozen_on, min(day) AS train_start, count(*) AS n_train_days FROM (
+        SELECT series_id, day FROM by_type WHERE day < DATE '2024-01-20' GROUP BY 1, 2
+        QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY day DESC) <= 7)
+      GROUP BY 1) w USING (series_id)"""))
 def _(spark, d):
     train, _ = _split_features(spark, d)
     path = shared_path(spark, "frozen")
