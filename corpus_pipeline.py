@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daymark.llm import decontaminate, line_rules, mixing, shards, simhash
+from daymark.llm import decontaminate, line_rules, mixing, near_text, shards
 from daymark.llm.words import table
 from daymark.session import materialize
 
@@ -21,8 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays, the one with the smallest id: five-word
+    shingles, Jaccard similarity of 0.8 or more."""
+    return near_text.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from daymark.llm import (
-    components, decontaminate, html_text, lattice_lm, line_rules, mixing, pii, shards, simhash,
-    toxicity, url_filter)
+    components, decontaminate, html_text, lattice_lm, line_rules, mixing, near_text, pii, shards,
+    simhash, toxicity, url_filter)
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -112,6 +112,55 @@ def test_chains_are_one_component(spark):
         spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def plain_shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def test_pipeline_drops_copies_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((10 * i, " ".join(words), "en", "s", 1))
+        for k, changed in enumerate((1, 2, 3, 12)):  # 12 are too many
+            other = list(words)
+            for at in range(changed):
+                other[7 + 15 * at] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * i + 1 + k, " ".join(other), "en", "s", 1))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(
+        spark, frame(spark, rows), "").collect()}
+    sets = {d: plain_shingles(t) for d, t, *_ in rows}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2)
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert any(abs(a - b) == 3 for a, b in near)
+    want = {min(c) for c in [[d for d, r in plain_components(near, sets).items() if r == root]
+                             for root in sets] if c}
+    assert kept == want
+
+
+@pytest.mark.parametrize("tile", [16, 100_000])
+def test_wide_links_match_brute_force(spark, tile):
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 1 << 63, 2).astype(np.uint64)
+    fps = [rng.integers(0, 1 << 63, 2).astype(np.uint64) for _ in range(100)]
+    for _ in range(60):
+        flips = np.zeros(2, np.uint64)
+        for b in rng.choice(128, size=rng.integers(0, 9), replace=False):
+            flips[b >> 6] ^= np.uint64(1) << np.uint64(b & 63)
+        fps.append(centre ^ flips)
+    rows = [(i, *f.view(np.int64).tolist()) for i, f in enumerate(fps)]
+    links = near_text.candidate_links(spark.createDataFrame(
+        rows, "node bigint, fp0 bigint, fp1 bigint"), radius=16, tile=tile, sample=1)
+    found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    apart = [[sum(bin(int(x)).count("1") for x in a ^ b) for b in fps] for a in fps]
+    near = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if apart[i][j] <= 16]
+    want = plain_components(near, range(len(fps)))
+    assert {n: found.get(n, n) for n in want} == want
+
+
 # ---- line rules ---------------------------------------------------------------------------
 
 
