@@ -4,14 +4,14 @@ Lines are normalised (A-Z folded, digits to 0, white space to one space) and has
 host the number of distinct documents that hold a line is counted; lines above the limits are
 boilerplate and are removed, and a document that is depleted by their removal is rejected.
 
-Documents that are copies of one another must not turn their own content into boilerplate. So the
-count of distinct documents goes by content: documents that agree in the smallest hash of the
-five-word runs outside the line count as one. A line is above the limits if at least ``min_documents`` distinct
-documents of the host hold it, and if these are at least ``min_share`` of the rows that hold it;
-in a group of exact or near copies the share stays low.
+Documents that are copies of one another must not turn their own content into boilerplate, so the
+count goes by whole-text content: documents with the same normalised lines in the same order count
+once. A line is boilerplate if at least ``min_documents`` such contents of the host hold it; how
+many rows hold it besides does not matter, so copies neither make nor shield a boilerplate line.
+Texts that differ anywhere are documents of their own.
 
 Hot lines and hosts: pre-aggregated on (host, line, content), then on (host, line); the few lines
-above the limits meet the documents' lines again under a salted key.
+above the limit meet the documents' lines again under a salted key.
 
 Defined results: null text has no words and fails the base rules; a null host is a host of its
 own; repeated rows are judged each; empty input gives no rows.
@@ -33,11 +33,8 @@ MIN_WORDS = 20
 #: Percent of words in repeated windows above which a text fails.
 MAX_REPEATED = 30
 REPEAT_WINDOW = 8
-CONTENT_RUN = 5
-#: A boilerplate line stands in at least so many distinct documents of a host,
+#: A boilerplate line stands in at least so many distinct documents of a host.
 MIN_DOCUMENTS = 10
-#: and these are at least this share of the rows that hold it.
-MIN_SHARE = 0.5
 #: A depleted document has lost more than this share of its words.
 MAX_REMOVED = 0.5
 SALTS = 16
@@ -81,46 +78,15 @@ def line_key(line: str) -> int:
                           signed=True)
 
 
-def run_hashes(words: list[str], width: int = CONTENT_RUN) -> np.ndarray:
-    """A hash of every run of ``width`` words."""
-    if len(words) < width:
-        return np.zeros(0, np.uint64)
-    codes = {w: line_key(w) for w in set(words)}
-    code = np.fromiter((codes[w] for w in words), np.int64, len(words)).view(np.uint64)
-    mix = np.zeros(len(words) - width + 1, np.uint64)
-    for i in range(width):
-        mix = (mix ^ code[i:len(code) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        mix ^= mix >> np.uint64(29)
-    return mix
-
-
-def content_keys(words: list[str], lines: list[tuple[int, int]]) -> list[int]:
-    """For every line (first word, one past the last): the smallest hash over the runs of words
-    that lie outside it; 0 where there is none."""
-    runs = run_hashes(words)
-    if not len(runs):
-        return [0] * len(lines)
-    ahead = np.minimum.accumulate(runs)
-    behind = np.minimum.accumulate(runs[::-1])[::-1]
-    keys = []
-    for start, end in lines:
-        before = start - CONTENT_RUN  # the last run that ends before the line
-        sides = [ahead[before]] if before >= 0 else []
-        if end < len(runs):
-            sides.append(behind[end])
-        keys.append(int(min(sides).view(np.int64)) if sides else 0)
-    return keys
-
-
 def text_facts(text: str | None) -> dict:
-    """Base counts of one text, and its distinct normalised lines with their words and the
-    content around them. A line that occurs again adds its words to the first."""
+    """Base counts of one text, and its distinct normalised lines with their words, and
+    a key of its content. A line that occurs again adds its words to the first."""
     text = text or ""
     words: list[str] = []
     seen: set[str] = set()
     dup_lines = 0
     lines: dict[int, int] = {}
-    places: list[tuple[int, int]] = []
+    order: list[int] = []
     for line in text.split("\n"):
         in_line = WORD.findall(line)
         if not in_line:
@@ -129,8 +95,7 @@ def text_facts(text: str | None) -> dict:
             dup_lines += 1
         seen.add(line)
         key = line_key(normal_line(line))
-        if key not in lines:
-            places.append((len(words), len(words) + len(in_line)))
+        order.append(key)
         lines[key] = lines.get(key, 0) + len(in_line)
         words += in_line
     return {
@@ -138,12 +103,12 @@ def text_facts(text: str | None) -> dict:
         "n_symbols": len(_SYMBOL.findall(text)), "n_dup_lines": dup_lines,
         "n_repeat_words": repeated_words(words),
         "line_keys": list(lines), "line_words": list(lines.values()),
-        "line_content": content_keys(words, places)}
+        "content": line_key(",".join(map(str, order)))}
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FACTS = dict.fromkeys(BASE, "bigint") | dict.fromkeys(
-    ["line_keys", "line_words", "line_content"], "array<bigint>")
+FACTS = dict.fromkeys([*BASE, "content"], "bigint") | dict.fromkeys(
+    ["line_keys", "line_words"], "array<bigint>")
 
 
 def base_facts(docs: DataFrame, text_column: str) -> DataFrame:
@@ -158,19 +123,17 @@ def base_facts(docs: DataFrame, text_column: str) -> DataFrame:
     return add_columns(docs, [text_column], FACTS, start, drop=[text_column])
 
 
-def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS,
-                   min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, line) above the limits, from ``lines`` (host, line, content)."""
+def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(host, line) above the limit, from ``lines`` (host, line, content)."""
     return (
-        lines.groupBy("host", "line", "content").agg(F.count("*").alias("n"))
-        .groupBy("host", "line").agg(F.count("*").alias("documents"), F.sum("n").alias("holding"))
-        .filter((F.col("documents") >= min_documents)
-                & (F.col("documents") >= min_share * F.col("holding"))))
+        lines.select("host", "line", "content").distinct()
+        .groupBy("host", "line").agg(F.count("*").alias("documents"))
+        .filter(F.col("documents") >= min_documents))
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
           host_column: str = "source", min_documents: int = MIN_DOCUMENTS,
-          min_share: float = MIN_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+          max_removed: float = MAX_REMOVED) -> DataFrame:
     """One row per row of ``docs``: row_key, doc_id, host, the base counts, n_removed_words,
     base_failed and kept. ``row_key`` tells repeated rows apart."""
     slim = docs.select(F.monotonically_increasing_id().alias("row_key"),
@@ -179,18 +142,17 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                        F.col(text_column).alias("body"))
     facts = materialize(base_facts(slim, "body"), "line-facts")
     kind = docs.schema[id_column].dataType
-    return _verdict(facts, min_documents, min_share, max_removed).withColumn(
+    return _verdict(facts, min_documents, max_removed).withColumn(
         "doc_id", F.col("doc_id").cast(kind))
 
 
-def _verdict(facts: DataFrame, min_documents: int, min_share: float,
-             max_removed: float) -> DataFrame:
+def _verdict(facts: DataFrame, min_documents: int, max_removed: float) -> DataFrame:
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit(""))
-    lines = facts.select("row_key", host.alias("host"), F.explode(F.arrays_zip(
-        "line_keys", "line_words", "line_content")).alias("l")).select(
-        "row_key", "host", F.col("l.line_keys").alias("line"),
-        F.col("l.line_words").alias("words"), F.col("l.line_content").alias("content"))
-    frequent = (frequent_lines(lines, min_documents, min_share).select("host", "line")
+    lines = facts.select("row_key", host.alias("host"), "content", F.explode(F.arrays_zip(
+        "line_keys", "line_words")).alias("l")).select(
+        "row_key", "host", "content", F.col("l.line_keys").alias("line"),
+        F.col("l.line_words").alias("words"))
+    frequent = (frequent_lines(lines, min_documents).select("host", "line")
                 .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     removed = (
         lines.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
@@ -208,7 +170,7 @@ def _verdict(facts: DataFrame, min_documents: int, min_share: float,
 
 
 def keep_good(docs: DataFrame, text_column: str = "text", host_column: str = "source",
-              min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE,
+              min_documents: int = MIN_DOCUMENTS,
               max_removed: float = MAX_REMOVED) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns.
 
@@ -221,6 +183,6 @@ def keep_good(docs: DataFrame, text_column: str = "text", host_column: str = "so
     slim = inner.select(F.monotonically_increasing_id().alias("row_key"),
                         digest.alias("doc_id"), host.alias("host"), text.alias("body"))
     facts = materialize(base_facts(slim, "body"), "line-facts")
-    good = (_verdict(facts, min_documents, min_share, max_removed).filter("kept")
+    good = (_verdict(facts, min_documents, max_removed).filter("kept")
             .select("doc_id").distinct())
     return unmasked(inner.join(good, digest == F.col("doc_id"), "left_semi"), docs)

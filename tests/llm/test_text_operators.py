@@ -203,6 +203,20 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert out.columns[-2:] == ["row_key", "host"]
 
 
+def test_pages_of_boilerplate_are_no_copies_of_each_other(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    line, header, footer, notice = (fresh(30) for _ in range(4))
+    rows = [(i, f"{line}\n{fresh(3)}", "en", "a", 1) for i in range(500)]
+    rows += [(1000 + i, f"{header}\n{fresh(20)}\n{footer}", "en", "b", 1) for i in range(500)]
+    copy = f"{fresh(20)}\n{notice}"  # a group of copies does not shield the notice
+    rows += [(2000 + i, copy, "en", "c", 1) for i in range(300)]
+    rows += [(3000 + i, f"{fresh(20)}\n{notice}", "en", "c", 1) for i in range(100)]
+    rows += [(4000 + i, fresh(25) + "\n" + line, "en", "d", 1) for i in range(9)]
+    got = {r["doc_id"]: r["kept"] for r in line_rules.judge(frame(spark, rows)).collect()}
+    assert {d for d, kept in got.items() if kept} == set(range(4000, 4009))
+
+
 # ---- decontamination ----------------------------------------------------------------------
 
 
