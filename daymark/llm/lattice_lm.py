@@ -5,8 +5,8 @@ mark, may be cut into pieces in many ways; the forward recursion in log space su
 all segmentations, which gives the word's marginal probability. No piece crosses a word mark, so a
 document's marginal is the product over its words.
 
-The file ranks its pieces; the ranks give the start weights, and a round of expectation
-maximisation over the training words, a Spark job over all of them, fits the weights. The
+The file ranks its pieces; the ranks give the start weights, and rounds of expectation
+maximisation over the training words, each a Spark job over all of them, fit the weights. The
 pieces themselves stay as they are. Characters no piece covers take a fixed small probability.
 
 A word's final probability draws on both what was counted and the lattice:
@@ -37,7 +37,7 @@ from daymark.session import materialize
 
 MARK = "▁"
 #: Rounds of re-estimation.
-ROUNDS = 1
+ROUNDS = 2
 #: Most frequent words that are shipped to tasks.
 SHIPPED = 80_000
 #: Distinct words a task holds before it passes their counts on.

@@ -520,6 +520,17 @@ def test_lm_scores_match_a_direct_sum(spark, tmp_path):
     assert a == sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in many)
 
 
+def test_default_fit_has_two_rounds(spark):
+    weights = {"▁a": -1.0, "b": -1.5, "▁ab": -2.5, "▁": -3.0, "a": -2.0}
+    words = spark.createDataFrame([("ab", 3, 2), ("abb", 1, 1), ("ba", 2, 0)],
+                                  "word string, n bigint, c bigint")
+    once = lattice_lm.fit_pieces(words, weights, 1)
+    twice = lattice_lm.fit_pieces(words, once, 1)
+    got = lattice_lm.fit_pieces(words, weights)
+    assert all(abs(got[p] - twice[p]) < 1e-9 for p in weights)
+    assert any(abs(got[p] - once[p]) > 1e-3 for p in weights)
+
+
 def test_word_counts_do_not_depend_on_what_a_task_holds(spark):
     odd = "A b\x0bc\x1cd\xa0e \u00c9 f\u3000g\u0085h"
     docs = spark.createDataFrame(
