@@ -13,6 +13,8 @@ from daymark.llm.words import table
 from daymark.session import materialize
 
 SHARD_BYTES = 1 << 20
+#: Share of the tokens that the mixture keeps, whatever the rarest cell weighs.
+MIX_RATE = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the tempered shares of source, language and topic."""
-    return mixing.sample_mixed(docs)
+    return mixing.sample_mixed(docs, rate=MIX_RATE)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,15 @@ may be many, languages and topics are few: the table of tokens by source, one co
 language and topic, is written once, and a sweep is one aggregation over it that returns the
 sums by language and topic under the current factors; source factors stay expressions of those.
 
-Documents are then sampled with the probability ``weight / largest weight``, so expected tokens
-of the sample have exactly the fitted shares. The draw is a hash of the id: the same document gets
-the same draw in every run.
+Documents are then sampled. Without a ``rate`` the probability is ``weight / largest weight``:
+expected tokens of the sample have exactly the fitted shares, but the rarest cell sets its size.
+With a ``rate`` the expected tokens of the sample are that share of all tokens, whatever cells
+there are: probabilities are ``scale * weight`` clipped at 1, a cell that is clipped is kept
+whole, and the scale is solved so that the others fill the rate in their fitted proportions. The
+draw is a hash of the id: the same document gets the same draw in every run.
+
+With over ``MAX_PAIRS`` pairs of language and topic, factors are kept in tables and each margin is
+a join and an aggregation; the fit is the same.
 
 Targets: a tempered share ``share ** temperature`` (rescaled to one) for every margin, or a given
 dictionary for languages and topics. Values a given dictionary does not name get weight zero.
@@ -31,7 +37,7 @@ from daymark.session import materialize
 TEMPERATURE = 0.85
 SWEEPS = 25
 TOLERANCE = 1e-10
-#: Languages times topics that one row of the source table may hold.
+#: Languages times topics that one row of the source table may hold; beyond, factors are tables.
 MAX_PAIRS = 4096
 #: Words and the text patterns of the topics, first match first.
 TOPICS = (("table", r" \| "), ("code", r'token = "'), ("notice", r"(?i)licen[sc]e|copyright"))
@@ -75,7 +81,8 @@ def fit_factors(cells: DataFrame, lang_target: Mapping[str, float] | None = None
     pairs = [(r[0], r[1], float(r[2])) for r in
              cells.groupBy("lang", "topic").agg(F.sum("tokens")).limit(MAX_PAIRS + 1).collect()]
     if len(pairs) > MAX_PAIRS:
-        raise ValueError(f"over {MAX_PAIRS} pairs of language and topic")
+        return _fit_tables(cells, {"lang": lang_target, "topic": topic_target}, temperature,
+                           sweeps, tolerance)
     if not pairs:
         return cells.select("source", "lang", "topic", F.lit(1.0).alias("weight"))
     pairs.sort()
@@ -130,11 +137,89 @@ def fit_factors(cells: DataFrame, lang_target: Mapping[str, float] | None = None
         .filter("c.tokens > 0").select("source", "c.lang", "c.topic", "c.weight"))
 
 
+def _fit_tables(cells: DataFrame, given: Mapping[str, Mapping[str, float] | None],
+                temperature: float, sweeps: int, tolerance: float) -> DataFrame:
+    """``fit_factors`` for any number of languages and topics: targets and factors are tables."""
+    spark = cells.sparkSession
+    cells = materialize(cells.select("source", "lang", "topic",
+                                     F.col("tokens").cast("double").alias("tokens")), "mix-cells")
+    total = cells.agg(F.sum("tokens")).first()[0]
+
+    def wanted(margin: str) -> DataFrame:
+        held = cells.groupBy(margin).agg(F.sum("tokens").alias("t"))
+        if given.get(margin):
+            named = spark.createDataFrame(list(given[margin].items()), f"{margin} string, w double")
+            return held.join(named, margin, "left").select(
+                margin, F.coalesce("w", F.lit(0.0)).alias("want"))
+        power = F.pow(F.col("t") / total, temperature)
+        norm = held.agg(F.sum(power)).first()[0]
+        return held.select(margin, (power / norm).alias("want"))
+
+    target = {m: materialize(wanted(m), f"want-{m}") for m in ("source", "lang", "topic")}
+    factor = {m: target[m].select(m, F.lit(1.0).alias(f"f_{m}")) for m in ("lang", "topic")}
+
+    def refit(margin: str) -> tuple[DataFrame, float]:
+        """The factors of a margin that meet its targets under the other factors, and how far it
+        was off."""
+        frame, product = cells, F.col("tokens")
+        for m in factor:
+            if m != margin:
+                frame = frame.join(factor[m], m)
+                product = product * F.col(f"f_{m}")
+        sums = frame.groupBy(margin).agg(F.sum(product).alias("have")).join(target[margin], margin)
+        if margin in factor:
+            sums = sums.join(factor[margin].withColumnRenamed(f"f_{margin}", "old"), margin)
+        else:
+            sums = sums.withColumn("old", F.lit(0.0))
+        new = materialize(sums.select(
+            margin, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(
+                F.lit(0.0)).alias(f"f_{margin}"),
+            F.abs(F.col("have") * F.col("old") - F.col("want")).alias("off")), f"factor-{margin}")
+        return new.drop("off"), new.agg(F.max("off")).first()[0]
+
+    for _ in range(sweeps):
+        factor["source"], _ = refit("source")
+        factor["lang"], first = refit("lang")
+        factor["topic"], second = refit("topic")
+        if max(first, second) < tolerance:
+            break
+    factor["source"], _ = refit("source")
+    frame, product = cells, F.lit(float(total))
+    for m in factor:
+        frame = frame.join(factor[m], m)
+        product = product * F.col(f"f_{m}")
+    return frame.select("source", "lang", "topic", product.alias("weight"))
+
+
+def scale_for(weights: DataFrame, rate: float) -> float:
+    """The scale at which ``sum(tokens * min(1, scale * weight))`` is ``rate`` of all tokens, for
+    ``weights`` (weight, tokens)."""
+    if not 0 < rate <= 1:
+        raise ValueError("the rate is a share of all tokens, above 0 and up to 1")
+    total, top, least = weights.agg(
+        F.sum("tokens"), F.max("weight"),
+        F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
+    if not total or not top:
+        return 1.0
+    low, high = 0.0, 1.0 / least
+    # Thirty-two scales a pass over the cells; each pass narrows the range by as much.
+    for _ in range(10):
+        tries = [low + (high - low) * i / 32 for i in range(1, 33)]
+        sums = weights.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * s))
+                             for s in tries]).first()
+        over = next((i for i, v in enumerate(sums) if v >= rate * total), 31)
+        low, high = (tries[over - 1] if over else low), tries[over]
+        if high - low <= 1e-12 * high:
+            break
+    return high
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         source_column: str = "source", lang_column: str = "lang", topic: Column | None = None,
-        **targets) -> DataFrame:
+        rate: float | None = None, **targets) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, lang, topic, n_tokens, weight, probability
-    and sampled. ``topic`` is an expression over ``docs``, by default ``topic_of`` the text."""
+    and sampled. ``rate`` is the share of tokens to keep; without it the largest weight decides.
+    ``topic`` is an expression over ``docs``, by default ``topic_of`` the text."""
     facts = materialize(docs.select(
         F.col(id_column).alias("doc_id"),
         F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"),
@@ -142,26 +227,40 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         F.coalesce(topic if topic is not None else topic_of(F.col(text_column)),
                    F.lit("")).alias("topic"),
         token_count(F.col(text_column)).cast("bigint").alias("n_tokens")), "mix-facts")
-    return _probabilities(facts, targets)
+    return _probabilities(facts, targets, rate)
 
 
-def _probabilities(facts: DataFrame, targets: Mapping) -> DataFrame:
-    cells = facts.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
-    weights = materialize(fit_factors(cells, **targets), "mix-weights")
+def _weights(cells: DataFrame, targets: Mapping, rate: float | None) -> tuple[DataFrame, float, float]:
+    """The cells' weights, the weight of cells without tokens and the weight from which on a
+    document is kept for sure."""
+    if rate is None:
+        weights = materialize(fit_factors(cells, **targets), "mix-weights")
+        top = float(weights.agg(F.max("weight")).first()[0] or 1.0)
+        return weights, top, top
+    cells = materialize(cells, "mix-cells")
+    weights = materialize(fit_factors(cells, **targets).join(
+        cells, ["source", "lang", "topic"]), "mix-weights")
+    sure = 1.0 / scale_for(weights, rate)
     top = weights.agg(F.max("weight")).first()[0] or 1.0
+    return weights.drop("tokens"), max(float(top), sure), sure
+
+
+def _probabilities(facts: DataFrame, targets: Mapping, rate: float | None = None) -> DataFrame:
+    cells = facts.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
+    weights, top, sure = _weights(cells, targets, rate)
     salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
     return (
         facts.withColumn("salt", salt)
         .join(salted, ["source", "lang", "topic", "salt"], "left").drop("salt")
-        .withColumn("weight", F.coalesce("weight", F.lit(float(top))))
-        .withColumn("probability", F.col("weight") / float(top))
+        .withColumn("weight", F.coalesce("weight", F.lit(top)))
+        .withColumn("probability", F.least(F.col("weight") / sure, F.lit(1.0)))
         .withColumn("sampled", unit_draw(F.col("doc_id")) < F.col("probability")))
 
 
 def sample_mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                  source_column: str = "source", lang_column: str = "lang",
-                 **targets) -> DataFrame:
+                 rate: float | None = None, **targets) -> DataFrame:
     """The sampled rows of ``docs``, with their own columns.
 
     A probability belongs to (source, language, topic), so rows look theirs up in the small table
@@ -175,12 +274,11 @@ def sample_mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         "topic": topic_of(F.col(at[text_column]))})
     cells = (marked.withColumn("n_tokens", token_count(F.col(at[text_column])).cast("bigint"))
              .groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")))
-    weights = materialize(fit_factors(cells, **targets), "mix-weights")
-    top = weights.agg(F.max("weight")).first()[0] or 1.0
+    weights, top, sure = _weights(cells, targets, rate)
     key = F.col(at[id_column])
     salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     drawn = (
         marked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(16)).cast("int"))
         .join(salted, ["source", "lang", "topic", "salt"], "left")
-        .filter(unit_draw(key) < F.coalesce("weight", F.lit(float(top))) / float(top)))
+        .filter(unit_draw(key) < F.coalesce("weight", F.lit(top)) / sure))
     return unmasked(drawn, docs)

@@ -313,6 +313,37 @@ def test_mixing_takes_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_a_stray_row_does_not_set_the_sample(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * 50, "en" if i % 3 else "de", f"s{i % 7 % 3}", 1) for i in range(2000)]
+    stray = [*rows, (5000, "w", None, None, 1)]
+    for data in (rows, stray):
+        got = mixing.mix(frame(spark, data), rate=0.6).collect()
+        tokens = sum(r["n_tokens"] for r in got)
+        kept = sum(r["n_tokens"] * r["probability"] for r in got)
+        assert abs(kept - 0.6 * tokens) < 1e-6 * tokens
+        assert all(0 <= r["probability"] <= 1 for r in got)
+        ids = Counter(r["doc_id"] for r in got if r["sampled"])
+        kept = mixing.sample_mixed(frame(spark, data), rate=0.6)
+        assert Counter(r["doc_id"] for r in kept.collect()) == ids
+    left = corpus_pipeline.mixture(spark, frame(spark, stray), "").count()
+    assert abs(left / len(stray) - corpus_pipeline.MIX_RATE) < 0.05
+
+
+def test_many_pairs_fit_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    cells = [(f"s{s}", f"l{k}", t, rng.randrange(1, 500)) for s in range(3) for k in range(4)
+             for t in ("a", "b") if rng.random() < 0.9]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
+    weight = lambda found: {tuple(r)[:3]: r["weight"] for r in found.collect()}
+    want = weight(mixing.fit_factors(table, sweeps=3))
+    monkeypatch.setattr(mixing, "MAX_PAIRS", 5)
+    got = weight(mixing.fit_factors(table, sweeps=3))
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 * want[k] for k in want)
+
+
 # ---- toxicity -----------------------------------------------------------------------------
 
 
