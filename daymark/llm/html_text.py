@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one for each block of the page. A line's length is its text outside
 links. Lengths are summed over sliding windows of lines; where a window rises above the threshold
-is a surge point, where it falls back is a dive point, and the text between them is the body.
+is a surge point, where it falls back is a dive point, and all text from the first surge point to
+the last dive point and its window is the body.
 
 Elements that never belong to an article (menus, headers, footers, asides, forms, scripts and what
 class, id or role call an advert, notice, sidebar or comment) are left out beforehand, so they add
@@ -26,16 +27,21 @@ from daymark.llm.words import add_columns
 WINDOW = 3
 #: Characters in a window that make a surge.
 SURGE = 60
-#: A body part is kept if it has this share of the largest part's characters.
+#: A further ``article`` or ``main`` is kept if it has this share of the largest one's characters.
 PART_SHARE = 0.3
+#: An element named like furniture that holds this share of the page's text is none.
+BULK_SHARE = 0.7
 
 _DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style|noscript|template|svg|math|head|title)"
-    r"(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|math|title)(?=[\s/>])[^>]*>.*?</\2\s*>"
+    r"|<head(?=[\s/>])[^>]*>.*?(?:</head\s*>|(?=<(?:body|article|main|header|nav|div|section|p|h[1-6]"
+    r"|ul|ol|table|form|footer|aside)(?=[\s/>]))|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-_NAMING = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
-                     re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAMES = frozenset(("class", "id", "role", "aria-label"))
+_ATTRIBUTE = re.compile(
+    r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset(
@@ -58,32 +64,70 @@ _PIECES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _attributes(attributes: str) -> list[tuple[str, str]]:
+    return [(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), ""))
+            for m in _ATTRIBUTE.finditer(attributes)]
+
+
 def is_furniture(attributes: str) -> bool:
-    if not attributes:
-        return False
-    for m in _NAMING.finditer(attributes):
-        value = next(v for v in (*m.groups(), "") if v is not None)
-        if FURNITURE.intersection(_PIECES.findall(_CAMEL.sub(" ", value).lower())):
-            return True
-    return _HIDDEN.search(attributes) is not None
+    """Whether class, id, role or label hold a word for furniture."""
+    return bool(attributes) and any(
+        name in _NAMES and FURNITURE.intersection(_PIECES.findall(_CAMEL.sub(" ", value).lower()))
+        for name, value in _attributes(attributes))
+
+
+def is_hidden(attributes: str) -> bool:
+    """Whether the element has the attribute ``hidden``, or is not displayed or read out."""
+    return bool(attributes) and any(
+        (name == "hidden" and value.lower() != "until-found")
+        or (name == "aria-hidden" and value.strip().lower() == "true")
+        or (name == "style" and _UNSEEN.search(value) is not None)
+        for name, value in _attributes(attributes))
 
 
 def page_lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, number of the body element or 0) of every block."""
+    """(text, characters outside links, number of the body element or 0) of every block.
+
+    An element named like furniture goes unless it is ``article`` or ``main``, holds one, or, on a
+    page without either, holds the bulk of the text itself.
+    """
     page = _DROPPED.sub(" ", page)
-    lines: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, inside furniture, body element
+    lines, named, holding = _blocks(page)
+    total = sum(line[1] for line in lines)
+    own = [0] * len(named)
+    for line in lines:
+        for k in line[3]:
+            own[k] += line[1]
+    bodies = any(line[2] for line in lines)
+    # Innermost first: an element is judged by what its own furniture leaves of it.
+    gone = [False] * len(named)
+    for k in range(len(named) - 1, -1, -1):
+        gone[k] = k not in holding
+        if gone[k] and not bodies and own[k] and own[k] >= BULK_SHARE * total:
+            left = sum(line[1] for line in lines if k in line[3] and not any(
+                gone[j] for j in line[3] if j > k))
+            gone[k] = left < BULK_SHARE * total
+    return [line[:3] for line in lines if not any(gone[k] for k in line[3])]
+
+
+def _blocks(page: str) -> tuple[list[tuple[str, int, int, tuple]], list[tuple], set[int]]:
+    """The blocks with the furniture-named elements around them; those around each such element;
+    and the ones that hold an ``article`` or ``main``."""
+    lines: list[tuple[str, int, int, tuple]] = []
+    named: list[tuple] = []
+    holding: set[int] = set()
+    stack: list[tuple[str, bool, int, tuple]] = []  # name, left out, body element, named around
     parts: list[str] = []
     linked = 0
     bodies = 0
-    skip, body, links = False, 0, 0
+    skip, body, links, around = False, 0, 0, ()
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), body))
+                lines.append((text, max(0, len(text) - linked), body, around))
             parts, linked = [], 0
 
     def text_of(piece: str):
@@ -94,8 +138,8 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                 linked += len(piece.strip())
 
     def settle():
-        nonlocal skip, body, links
-        skip, body = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        nonlocal skip, body, links, around
+        skip, body, around = stack[-1][1:] if stack else (False, 0, ())
         links = sum(1 for s in stack if s[0] == "a")
 
     at = 0
@@ -133,22 +177,25 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
                 if stack[k][0] in ("ul", "ol"):
                     break
         settle()
-        inside = skip or name in NOISE or (name not in ("html", "body")
-                                           and is_furniture(attributes))
+        inside = skip or name in NOISE or is_hidden(attributes)
         if name in BODY and not inside:
             bodies += 1
-            stack.append((name, inside, body or bodies))
-        else:
-            stack.append((name, inside, body))
-        skip, body = stack[-1][1], stack[-1][2]
+            body = body or bodies
+            holding.update(around)
+        elif not inside and name not in ("html", "body") and is_furniture(attributes):
+            flush()
+            named.append(around)
+            around = (*around, len(named) - 1)
+        stack.append((name, inside, body, around))
+        skip = inside
         links += name == "a"
     text_of(page[at:])
     flush()
-    return lines
+    return lines, named, holding
 
 
 def body_range(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """Line ranges [start, end) between surge and dive points, the largest and those near it."""
+    """The line range [start, end) from the first surge to the last dive point."""
     n = len(lengths)
     if not n:
         return []
@@ -164,8 +211,7 @@ def body_range(lengths: list[int], window: int = WINDOW, surge: int = SURGE) ->
     if not parts:
         best = max(range(n), key=lambda i: sums[i])
         return [(best, min(n, best + window))] if sums[best] else []
-    weight = [sum(lengths[a:b]) for a, b in parts]
-    return [p for p, w in zip(parts, weight) if w >= PART_SHARE * max(weight)]
+    return [(parts[0][0], parts[-1][1])]
 
 
 def main_text(page: str | None) -> str:
@@ -179,6 +225,10 @@ def main_text(page: str | None) -> str:
     for start, end in kept:
         while start < end and not lengths[start]:
             start += 1
+        # The short paragraphs that end the body are in the window of its dive point.
+        last = min(len(lines), end + WINDOW)
+        while end < last and lengths[end]:
+            end += 1
         chosen.update(range(start, end))
     holders: dict[int, int] = {}
     for i in chosen:

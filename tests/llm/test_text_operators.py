@@ -430,6 +430,25 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div style='overflow:hidden'><p>{LONG}</p></div>", LONG),
+    (f"<div data-x='hidden' class='is-hidden-not'><p>{LONG}</p></div>", LONG),
+    (f"<div hidden>{LONG} no</div><div style='color:red; display: none'>{LONG} no</div><p>{LONG}",
+     LONG),
+    (f"<div class='content with-sidebar'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+     f"<div class=sidebar>{LONG}</div>", f"{LONG}\n{LONG}\n{LONG}"),
+    (f"<div class='no-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<article class='share'><p>{LONG}</p></article>", LONG),
+    (f"<div id='share-article'><p>{LONG}</p></div>", LONG),
+    (f"<html><head><meta charset=u><body><p>{LONG}", LONG),
+    (f"<svg><template><p>{LONG}</p>", LONG),
+    (f"<p>{LONG * 5}</p><p>a.</p><p>b.</p><p>c.</p><p>{LONG}</p><p>Last.</p>",
+     f"{LONG * 5}\na.\nb.\nc.\n{LONG}\nLast."),
+])
+def test_ordinary_pages_keep_their_text(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_extract_counts_code_points(spark):
     pages = spark.createDataFrame([(1, "u", f"<article><p>é{LONG}"), (2, None, None)],
                                   "page_id bigint, url string, html string")
