@@ -502,6 +502,28 @@ def test_base_spans_match_plain_patterns(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_obfuscated_items_are_added(spark):
+    rng = random.Random(17)
+    digit = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    rows = []
+    for i in range(900):
+        name = "".join(rng.choice("abcdefgh") for _ in range(6))
+        rows.append((i, f"please write to {name}@host{i % 50}.com soon, tel +1 {digit(3)} {digit(3)} "
+                        f"{digit(4)} today. your order {digit(11)} and x{digit(12)}y are late"))
+    loose = [(5000, "please write to someone (at) host (dot) com soon", "email"),
+             (5001, "or write to other[at]host[dot]org today", "email"),
+             (5002, "ring tel 1 212 555 0100 today", "phone")]
+    rows += [row[:2] for row in loose]
+    rows.append((6000, "your order 21255501001 is late"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.find_pii(docs).select(
+        "doc_id", pii.listing(F.col("base")).alias("base"),
+        pii.listing(F.col("spans")).alias("all")).filter("doc_id >= 5000").collect()}
+    for key, _, kind in loose:
+        assert got[key]["base"] == "" and got[key]["all"].startswith(kind + ":"), got[key]
+    assert got[6000]["all"] == ""
+
+
 def test_threshold_needs_precision_and_cases():
     assert pii._threshold([(99, 200, 200), (80, 100, 99), (50, 100, 10)]) == 0.8
     assert pii._threshold([(99, 10, 10)]) is None
