@@ -8,8 +8,8 @@ Features: length, depth, digit ratio, character entropy, number of parameters, a
 statistics: the share of blocked URLs among the labelled ones with the same last host label, and
 with the same file ending. Everything runs as DataFrame operations; the trees are Spark ML's.
 
-Training uses about ``MAX_LABELLED`` labelled URLs at most, chosen by a hash, and the statistics
-of the ``MAX_SUFFIXES`` most frequent suffixes; others get the overall share.
+The trees are fitted on about ``MAX_LABELLED`` labelled URLs at most, chosen by a hash. The suffix
+statistics count all labelled URLs and all their suffixes; others get the overall share.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and is
 judged by its features; where the labelled URLs are missing or all of one verdict, that verdict
@@ -26,8 +26,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daymark.session import materialize
+
 MAX_LABELLED = 20_000
-MAX_SUFFIXES = 1000
+SALTS = 16
 TREES = 20
 DEPTH = 4
 
@@ -78,6 +80,16 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), add)
 
 
+def top_of(host: Column) -> Column:
+    """The last host label."""
+    return F.element_at(F.split(host, r"\."), -1)
+
+
+def ending_of(path: Column) -> Column:
+    """The file ending, empty where there is none."""
+    return F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})/?$", 1)
+
+
 FEATURES = ["f_length", "f_host_length", "f_depth", "f_digits", "f_entropy", "f_parameters",
             "f_labels", "f_dashes", "f_top_share", "f_ending_share"]
 
@@ -97,24 +109,25 @@ def lexical(frame: DataFrame) -> DataFrame:
         "f_entropy": entropy(url),
         "f_parameters": count("&") + count("="),
         "f_labels": count(".", F.col("host")), "f_dashes": count("-"),
-        "top": F.element_at(F.split("host", r"\."), -1),
-        "ending": F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})/?$", 1)})
+        "top": top_of(F.col("host")), "ending": ending_of(F.col("path"))})
 
 
 def suffix_shares(labelled: DataFrame, column: str, prior: float) -> DataFrame:
     """(column, share) of blocked URLs, drawn towards the overall share for rare suffixes."""
     return (
         labelled.groupBy(column).agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
-        .orderBy(F.col("n").desc(), column).limit(MAX_SUFFIXES)
         .select(column, ((F.col("b") + 5 * prior) / (F.col("n") + 5)).alias(f"f_{column}_share")))
 
 
 def with_shares(frame: DataFrame, shares: dict[str, DataFrame], prior: float) -> DataFrame:
+    """``frame`` with the shares of its suffixes; keys are salted, as one suffix may have most
+    rows."""
+    frame = frame.withColumn("salt", F.pmod(F.xxhash64("url_text"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     for column, known in shares.items():
-        # At most MAX_SUFFIXES rows.
-        frame = frame.join(F.broadcast(known), column, "left").withColumn(
+        frame = frame.join(known.select("*", salts), [column, "salt"], "left").withColumn(
             f"f_{column}_share", F.coalesce(f"f_{column}_share", F.lit(prior)))
-    return frame
+    return frame.drop("salt")
 
 
 @dataclass
@@ -146,7 +159,10 @@ def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> UrlModel:
     sample = labelled.filter(
         F.pmod(F.xxhash64("url_text", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = lexical(sample).persist()
-    shares = {c: suffix_shares(sample, c, prior) for c in ("top", "ending")}
+    suffixes = labelled.select("blocked", top_of(F.col("host")).alias("top"),
+                               ending_of(F.col("path")).alias("ending"))
+    shares = {c: materialize(suffix_shares(suffixes, c, prior), f"shares-{c}")
+              for c in ("top", "ending")}
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
         with_shares(sample, shares, prior)).select("features", F.col("blocked").cast("double"))
     if ready.select("blocked").distinct().count() < 2:
@@ -154,10 +170,8 @@ def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> UrlModel:
         return UrlModel(None, {}, float(round(prior)))
     trees = GBTClassifier(labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, maxBins=32,
                           seed=1).fit(ready)
-    fixed = {c: sample.sparkSession.createDataFrame(
-        [tuple(r) for r in s.collect()], s.schema) for c, s in shares.items()}
     sample.unpersist()
-    return UrlModel(trees, fixed, prior)
+    return UrlModel(trees, shares, prior)
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url_column: str = "url") -> DataFrame:

@@ -415,6 +415,18 @@ def test_trees_learn_lexical_looks(spark):
 LONG = "A longer paragraph that has a good many words in it, so that it makes a surge."
 
 
+def test_suffix_shares_count_all_labelled_urls(spark):
+    rows = [(f"http://a.com/x{i}.e{i % 1500}", "a.com", f"/x{i}.e{i % 1500}", i % 2)
+            for i in range(6000)]
+    rows += [(f"http://a.com/y{i}.zzz", "a.com", f"/y{i}.zzz", 1) for i in range(3)]
+    labelled = spark.createDataFrame(
+        rows, "url_text string, host string, path string, blocked int")
+    model = url_filter.train(labelled, limit=300)
+    shares = {r["ending"]: r["f_ending_share"] for r in model.shares["ending"].collect()}
+    assert len(shares) == 1501
+    assert abs(shares["zzz"] - (3 + 5 * model.prior) / 8) < 1e-12
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("<script>x</script>", ""),
     (f"<nav><li><a href=x>Home</a></nav><div class='ad'>{LONG}</div><article><h1>T &amp; t</h1>"
