@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.llm import (
-    decontaminate, html_text, lattice_lm, line_rules, mixing, pii, shards, simhash, sql,
-    toxicity, url_filter)
+    byte_bpe, decontaminate, drift_clusters, html_text, lattice_lm, line_rules, mixing, pii,
+    prefix_trie, shards, simhash, sql, toxicity, url_filter)
 from daymark.llm.words import crc_remainder, table
 
 SHARD_BYTES = 1 << 20
 #: The tokenizer file of the language model; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The ranks file of the byte-level tokenizer, in the installed collection of tokenizers.
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SCALE = 16, 3, 64
 RULES = [
     url_filter.Rule("allow", "com/"), url_filter.Rule("block", "example.com/en/"),
     url_filter.Rule("allow", "www.example.com/en/"), url_filter.Rule("block", "net/es/"),
@@ -95,6 +98,33 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tok = byte_bpe.load(public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.decode(byte_bpe.encode(docs, tok), tok)
+    return out.select(
+        "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256)
+        .alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drift_clusters.cluster(
+        table(spark, sf_dir, "embeddings"), k=CLUSTERS, rounds=CLUSTER_ROUNDS, scale=CLUSTER_SCALE)
+    return out.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+        .alias("centroid_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.sequences(turns)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,5 +142,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, sql.mixing()),
     "op9_lm_scoring": (op9_lm_scoring, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, sql.DECONTAMINATION),
+    "op11_byte_bpe": (op11_byte_bpe, None),
+    "op12_centroid_clusters": (
+        op12_centroid_clusters, sql.clusters(CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SCALE)),
+    "op13_conversation_trie": (op13_conversation_trie, sql.PREFIX_TRIE),
     "pipeline": (pipeline, None),
 }

@@ -121,3 +121,96 @@ SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.n_tokens AS BIGINT) AS n_toke
 FROM docs d LEFT JOIN fitted f USING (source, lang, topic)
 CROSS JOIN (SELECT coalesce(max(weight), 1.0) AS top FROM fitted) m
 """
+
+
+def clusters(k: int, rounds: int, scale: int, dimensions: int = 64) -> str:
+    """The rounds written out one after another over all pairs of vector and centroid."""
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(
+    embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (
+    SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM v
+    ORDER BY h, q LIMIT {k}))"""]
+
+    def nearest(centroids: str) -> str:
+        return f"""
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.r, m.c, list_sum(list_transform(list_zip(v.q, m.q),
+           lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM v CROSS JOIN {centroids} m) GROUP BY r"""
+
+    for i in range(rounds):
+        parts.append(f"""
+a{i} AS MATERIALIZED ({nearest(f"c{i}")}
+), m{i} AS MATERIALIZED (
+  SELECT c, list(x ORDER BY p) AS q FROM (
+    SELECT c, p, (s - ((s % n) + n) % n) // n AS x FROM (
+      SELECT a.c, p, sum(v.q[p]) AS s, count(*) AS n
+      FROM a{i} a JOIN v USING (r), range(1, {dimensions + 1}) AS g(p) GROUP BY 1, 2))
+  GROUP BY c
+), c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)""")
+    parts.append(f"""
+last AS MATERIALIZED ({nearest(f"c{rounds}")})""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT v.vec_id, CAST(l.c AS INTEGER) AS cluster, CAST(l.d AS BIGINT) AS distance,
+       CAST(sum(l.d) OVER (PARTITION BY l.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(l.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM last l JOIN v USING (r) JOIN c{rounds} c ON c.c = l.c
+"""
+
+
+#: crc32 of a short ASCII text, byte by byte over its table of 256 remainders.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(1, len({0}) + 1), lambda i: ascii(({0})[i])::BIGINT)),
+    lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS remainders
+), turns AS (
+  SELECT conv_id, turn, md5(strlen(r) || ':' || r || x) AS k,
+         len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x
+        FROM conversations WHERE conv_id IS NOT NULL)
+), own AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, k) AS ts
+  FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT own.*, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own, crc
+), rebuilt AS MATERIALIZED (
+  SELECT a.conv_id, list_concat(coalesce(b.ts, [])[1:a.h], a.ts[a.h + 1:]) AS ts
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.base
+), members AS MATERIALIZED (
+  SELECT conv_id, len(ts) AS n, d, list_transform(ts[1:d], lambda t: t.k) AS node,
+         list_transform(ts[1:d - 1], lambda t: t.k) AS up, coalesce(ts[d].w, 0) AS w
+  FROM rebuilt, unnest(range(len(ts) + 1)) AS g(d)
+), nodes AS MATERIALIZED (
+  SELECT node, d AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+         any_value(w) AS w,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                  FILTER (n = d), '') AS ends
+  FROM members GROUP BY node, d
+), kids AS MATERIALIZED (
+  SELECT up AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT top, sum(extra) AS saved_tokens, sum(leaf) AS n_leaves FROM (
+    SELECT x.node[1:a] AS top, (x.n_convs - 1) * x.w AS extra,
+           CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf
+    FROM nodes x LEFT JOIN kids k ON k.node = x.node, unnest(range(x.depth + 1)) AS g(a))
+  GROUP BY top
+)
+SELECT n.conv_id, n.depth, CASE WHEN n.depth > 0 THEN p.conv_id END AS parent_conv_id, n.n_convs,
+       coalesce(k.n, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN below b ON b.top = n.node LEFT JOIN kids k ON k.node = n.node
+LEFT JOIN nodes p ON p.node = n.up AND p.depth = n.depth - 1
+"""
