@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -37,11 +38,11 @@ from pyspark.sql import types as T
 BITS = 21
 WALL = (1 << BITS) - 1
 #: Text bytes of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Distinct words a task remembers between chunks.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 #: Symbols laid out for one replay; a longer word is replayed alone.
-REPLAY_SYMBOLS = 1 << 21
+REPLAY_SYMBOLS = 1 << 20
 #: From this many places on, the places of a merge are treated as arrays.
 MANY_PLACES = 40
 
@@ -272,12 +273,12 @@ class Encoder:
         return ids, np.diff(ends[bounds])
 
 
-def _slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    """(start, number) of runs of texts of about ``limit`` characters."""
+def _slices(sizes: list[int | None], limit: int) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of texts of about ``limit`` bytes."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "") + 1
-        if size >= limit or i + 1 == len(texts):
+    for i, more in enumerate(sizes):
+        size += (more or 0) + 1
+        if size >= limit or i + 1 == len(sizes):
             yield start, i + 1 - start
             start, size = i + 1, 0
 
@@ -292,9 +293,9 @@ def encode(docs: DataFrame, tok: Tokenizer, text_column: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shipped.value)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start, n in _slices(texts, CHUNK_BYTES):
-                ids, counts = encoder.encode(texts[start:start + n])
+            texts = batch.column(0)
+            for start, n in _slices(pc.binary_length(texts).to_pylist(), CHUNK_BYTES):
+                ids, counts = encoder.encode(texts.slice(start, n).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
