@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from daymark.catalog import prelude as P
 from daymark.catalog.prelude import with_ctes
-from daymark.catalog.q_models import TREES, _slot_features, _split_features
+from daymark.catalog.q_models import _WINDOW_SQL, TREES, YEAR, _last_year, _slot_features
 from daymark.catalog.registry import query
 from daymark.functions.exprs import HOURS
 from daymark.operators import attribution as A
+from daymark.operators import boosting as B
 from daymark.operators import features as X
 from daymark.operators import models as M
 from daymark.operators import splits as V
@@ -124,8 +125,25 @@ def _(spark, d):
 @query("i2_attribute_trees",
        "series_id, target, hour:i, day:d, feature, value:6, feature_value:6, expected:6")
 def _(spark, d):
-    train, live = _split_features(spark, d)
-    return A.attribute_trees(M.fit_gbt(train, TREES), live, X.feature_names())
+    _, train, live = _last_year(spark, d)
+    models = materialize(B.fit_gbt(train, TREES), "trees")
+    return B.attribute_trees(models, live, X.feature_names())
+
+
+@query("i2_additivity", "series_id, target, hour:i, n_features:i, n_days:i, max_gap:6", with_ctes("slots", f"""
+SELECT series_id, target, hour, {len(X.feature_names())} AS n_features,
+       (SELECT count(*) FROM ranked WHERE r <= {YEAR}) AS n_days, 0.0 AS max_gap FROM arms""", _WINDOW_SQL))
+def _(spark, d):
+    _, train, live = _last_year(spark, d)
+    models = materialize(B.fit_gbt(train, TREES), "trees")
+    attr = materialize(B.attribute_trees(models, live, X.feature_names()), "attributions")
+    pred = B.score_gbt(models, live).select(
+        *A.MODEL, F.col("origin").alias("day"), F.col("y_pred").alias("prediction"))
+    gaps, wide = A.additivity(attr, pred), attr.groupBy(*A.MODEL).agg(
+        F.count_distinct("feature").alias("n_features"))
+    same = ((gaps["series_id"] == wide["series_id"]) & (gaps["target"] == wide["target"])
+            & gaps["hour"].eqNullSafe(wide["hour"]))
+    return gaps.join(wide, same).select(*[gaps[c] for c in gaps.columns], "n_features")
 
 
 @query("i3_mean_abs", "series_id, target, hour:i, feature, importance:6",

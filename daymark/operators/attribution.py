@@ -1,4 +1,4 @@
-"""Attribution tables.
+"""Attribution tables (I1, I3-I11); those of trees come from ``boosting.attribute_trees``.
 
 Attributions are long: (series_id, target, hour, day, feature, value, feature_value,
 expected). ``target`` is ``hourly`` or ``daily``; ``hour`` is NULL on the daily arm.
@@ -6,23 +6,14 @@ expected). ``target`` is ``hourly`` or ``daily``; ``hour`` is NULL on the daily
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-
-import numpy as np
-import pandas as pd
-from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions.exprs import HOURS
 from daymark.operators.features import GROUP_ORDER, feature_group
 from daymark.operators.quality import refuse_any
-from daymark.session import shared_path
 
 MODEL = ["series_id", "target", "hour"]
-ATTRIBUTION = ("series_id string, target string, hour int, day date, feature string, "
-               "value double, feature_value double, expected double")
 
 
 def attribute_linear(long: DataFrame, coefs: DataFrame) -> DataFrame:
@@ -41,118 +32,6 @@ def attribute_linear(long: DataFrame, coefs: DataFrame) -> DataFrame:
         "feature_value", "expected")
 
 
-# ---- trees ------------------------------------------------------------------------------
-
-#: Node rows a broadcast closure may hold; beyond it the model is too large to ship with tasks.
-NODE_LIMIT = 2_000_000
-
-
-def tree_nodes(models: Mapping[int, GBTRegressionModel]) -> DataFrame:
-    """Node table of fitted models, read from Spark's own model files: (key, tree, node fields)."""
-    spark = SparkSession.active()
-    root = shared_path(spark, "trees")
-    with ThreadPoolExecutor(8) as pool:
-        list(pool.map(lambda k: models[k].write().save(f"{root}/key={k}"), models))
-    raw = spark.read.option("basePath", root).parquet(*[f"{root}/key={k}/data" for k in models])
-    node = lambda field: F.col(f"nodeData.{field}")
-    return raw.select(
-        "key", F.col("treeID").alias("tree"), node("id").alias("id"),
-        node("prediction").alias("prediction"), node("rawCount").alias("cover"),
-        node("leftChild").alias("left"), node("rightChild").alias("right"),
-        node("split.featureIndex").alias("split_feature"),
-        F.get(node("split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"))
-
-
-def leaf_paths(nodes: pd.DataFrame, weights: Sequence[float]) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """Per leaf: weighted value and, per distinct feature on its path, (feature, low, high,
-    share of training rows that pass all its splits). The path holds for low < x <= high."""
-    leaves = []
-    for number, tree in nodes.groupby("tree"):
-        rows = {r.id: r for r in tree.itertuples()}
-        stack = [(0, {})]
-        while stack:
-            i, path = stack.pop()
-            r = rows[i]
-            if r.left < 0:
-                leaves.append((r.prediction * weights[number],
-                               [(f, lo, hi, z) for f, (lo, hi, z) in path.items()]))
-                continue
-            lo, hi, z = path.get(r.split_feature, (-np.inf, np.inf, 1.0))
-            for child, a, b in ((r.left, lo, min(hi, r.threshold)),
-                                (r.right, max(lo, r.threshold), hi)):
-                share = z * rows[child].cover / r.cover
-                stack.append((child, {**path, r.split_feature: (a, b, share)}))
-    return leaves
-
-
-def shapley(leaves: Sequence, x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Exact path-dependent Shapley values of a sum of trees for the rows of ``x``.
-
-    A leaf is a product game: a known feature counts 1 or 0, an unknown one its training
-    share. Its Shapley values weight, for every coalition size, the product polynomial of the
-    other features.
-    """
-    values, expected = np.zeros_like(x), 0.0
-    for leaf, path in leaves:
-        d = len(path)
-        share = np.array([z for *_, z in path])
-        expected += leaf * float(np.prod(share))
-        if d == 0:
-            continue
-        hit = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in path], 1).astype(float)
-        weight = np.ones(d)  # k! (d-k-1)! / d! for coalition size k
-        weight[0] = 1.0 / d
-        for k in range(1, d):
-            weight[k] = weight[k - 1] * k / (d - k)
-        for i, (f, *_) in enumerate(path):
-            poly = np.zeros((len(x), d))
-            poly[:, 0] = 1.0
-            for j in range(d):
-                if j != i:
-                    shifted = np.zeros_like(poly)
-                    shifted[:, 1:] = poly[:, :-1] * hit[:, [j]]
-                    poly = poly * share[j] + shifted
-            values[:, f] += leaf * (hit[:, i] - share[i]) * (poly @ weight)
-    return values, expected
-
-
-def attribute_trees(models: Mapping[int, GBTRegressionModel], features: DataFrame,
-                    names: Sequence[str], target: str = "hourly") -> DataFrame:
-    """I2. Exact tree attributions as a batch scoring job.
-
-    ``models`` maps an hour (or -1 for the daily arm) to a boosted-tree model. The node table
-    is counted before it is shipped to the tasks. Features no tree splits on are exactly zero
-    on every day and are left out.
-    """
-    nodes = tree_nodes(models)
-    if nodes.limit(NODE_LIMIT + 1).count() > NODE_LIMIT:
-        raise ValueError("the models hold more nodes than may be shipped with every task")
-    table = nodes.toPandas()
-    paths = {int(k): leaf_paths(g, models[int(k)].treeWeights) for k, g in table.groupby("key")}
-    used = {k: sorted({f for _, p in leaves for f, *_ in p}) for k, leaves in paths.items()}
-    names = list(names)
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), len(names))
-            for key, leaves in paths.items():
-                cols = used[key]
-                if not cols or not len(pdf):
-                    continue
-                values, expected = shapley(leaves, x)
-                out = pd.DataFrame({
-                    "series_id": np.repeat(pdf["series_id"].to_numpy(), len(cols)),
-                    "target": target, "hour": key,
-                    "day": np.repeat(pdf["day"].to_numpy(), len(cols)),
-                    "feature": np.tile([names[c] for c in cols], len(pdf)),
-                    "value": values[:, cols].ravel(), "feature_value": x[:, cols].ravel(),
-                    "expected": expected})
-                yield out
-
-    out = features.select("series_id", "day", "x").mapInPandas(explain, ATTRIBUTION)
-    return out.withColumn("hour", F.when(F.col("hour") >= 0, F.col("hour")))
-
-
 # ---- summaries --------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Fitted forecasts as partitioned jobs.
+"""Fitted forecasts as partitioned jobs (M3-M6, M9, M13); boosted trees are in ``boosting``.
 
 Work is split by (series, run of refit blocks), so one series spreads over as many tasks as it
 has runs, and a task never holds more than one training window plus one run.
@@ -8,23 +8,17 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daymark.functions.exprs import HOURS
 from daymark.operators.features import SERIES_DAY, calendar_lags, day_vectors, vector_mean
 from daymark.operators.solvers import centre_scale, elastic_net, lasso_aic
 from daymark.operators.splits import positions, validate_range
-from daymark.session import shared_path
 
 FitPredict = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 LONG = "series_id string, origin date, hour int, y_true double, y_pred double, model string"
@@ -342,100 +336,7 @@ def fit_seasonal_arx_daily(df: DataFrame, window: int = 1092, refit_every: int =
     return out.select("series_id", "origin", "y_true", "y_pred", "model")
 
 
-# ---- boosted trees (Spark ML) -----------------------------------------------------------
-
-
-def gbt_rows(features: DataFrame, daily: bool = False) -> DataFrame:
-    """(series_id, day, features VECTOR, y ARRAY) for Spark ML."""
-    y = F.array(vector_mean("y")) if daily else F.col("y")
-    return features.select(*SERIES_DAY, array_to_vector("x").alias("features"), y.alias("y"))
-
-
-def _gbt(params: dict) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol="label", lossType="absolute", seed=42,
-                        **params)
-
-
-def fit_gbt(train: DataFrame, params: dict | None = None, threads: int = 8
-            ) -> dict[int, GBTRegressionModel]:
-    """M7. 24 independent boosted-tree regressors on absolute loss, one per hour.
-
-    Each fit is a distributed Spark ML job over the days of all series passed in; filter to
-    one series for a per-series model. Fits are submitted from a few driver threads so their
-    short jobs overlap.
-    """
-    rows = gbt_rows(train).persist()
-    try:
-        with ThreadPoolExecutor(threads) as pool:
-            fits = pool.map(
-                lambda h: _gbt(params or {}).fit(rows.withColumn("label", F.get("y", F.lit(h)))),
-                HOURS)
-            return dict(zip(HOURS, fits))
-    finally:
-        rows.unpersist()
-
-
-def fit_gbt_daily(train: DataFrame, params: dict | None = None) -> GBTRegressionModel:
-    """M8. One regressor on the baseload."""
-    rows = gbt_rows(train, daily=True)
-    return _gbt(params or {}).fit(rows.withColumn("label", F.get("y", F.lit(0))))
-
-
-def score_gbt(models: dict[int, GBTRegressionModel], features: DataFrame, model: str = "gbt"
-              ) -> DataFrame:
-    """Forecasts of all hours: 24 prediction columns side by side, then one explode."""
-    rows = gbt_rows(features)
-    for h, m in models.items():
-        rows = m.copy().setPredictionCol(f"_p{h}").transform(rows)
-    cells = F.array(*[F.struct(F.lit(h).alias("hour"), F.get("y", F.lit(h)).alias("y_true"),
-                               F.col(f"_p{h}").alias("y_pred")) for h in models])
-    return rows.select("series_id", F.col("day").alias("origin"), F.inline(cells)).withColumn(
-        "model", F.lit(model))
-
-
-def score_gbt_daily(fitted: GBTRegressionModel, features: DataFrame, model: str = "gbt"
-                    ) -> DataFrame:
-    rows = fitted.transform(gbt_rows(features, daily=True))
-    return rows.select("series_id", F.col("day").alias("origin"),
-                       F.get("y", F.lit(0)).alias("y_true"),
-                       F.col("prediction").alias("y_pred"), F.lit(model).alias("model"))
-
-
-def gbt_walk_forward(features: DataFrame, window: int, refit_every: int,
-                     params: dict | None = None, daily: bool = False,
-                     first_origin: dt.date | None = None, last_origin: dt.date | None = None,
-                     model: str = "gbt") -> DataFrame:
-    """M7/M8 refitted through the calendar: every ``refit_every`` days on the ``window`` calendar
-    days before, over the days of all series passed in.
-
-    One distributed fit per block and target; a block's forecasts are stored before the next
-    one is fitted. The first origin is ``window`` days after the first day, or later.
-    """
-    validate_range(first_origin, last_origin)
-    spark = features.sparkSession
-    low, high = features.agg(F.min("day"), F.max("day")).first()
-    root = shared_path(spark, "gbt-blocks")
-    start = low and max(low + dt.timedelta(days=window), first_origin or low)
-    end = high and min(high, last_origin or high)
-    fitted = 0
-    while start is not None and start <= end:
-        stop = min(start + dt.timedelta(days=refit_every - 1), end)
-        train = features.filter((F.col("day") < F.lit(start)) & (
-            F.col("day") >= F.lit(start - dt.timedelta(days=window))))
-        test = features.filter(F.col("day").between(F.lit(start), F.lit(stop)))
-        if not test.isEmpty() and not train.isEmpty():
-            scored = (score_gbt_daily(fit_gbt_daily(train, params), test, model) if daily
-                      else score_gbt(fit_gbt(train, params), test, model))
-            scored.write.mode("overwrite").parquet(f"{root}/block={fitted}")
-            fitted += 1
-        start = stop + dt.timedelta(days=1)
-    schema = DAILY if daily else LONG
-    if not fitted:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{root}/block={i}" for i in range(fitted)])
-
-
-# ---- freezing ---------------------------------------------------------------------------
+# ---- windows --------------------------------------------------------------------------
 
 
 def final_window(features: DataFrame, window: int) -> DataFrame:
@@ -446,40 +347,6 @@ def final_window(features: DataFrame, window: int) -> DataFrame:
     return features.join(keep.select(*SERIES_DAY), SERIES_DAY)
 
 
-def frozen_metadata(features: DataFrame, prices: DataFrame, window: int) -> DataFrame:
-    """M10. One row per series: training span and the price level up to its end."""
-    span = final_window(features, window).groupBy("series_id").agg(
-        F.max("day").alias("frozen_on"), F.min("day").alias("train_start"),
-        F.count(F.lit(1)).alias("n_train_days"))
-    known = prices.join(span.select("series_id", "frozen_on"), "series_id").filter(
-        F.to_date("ts") <= F.col("frozen_on"))
-    level = known.groupBy("series_id").agg(
-        F.avg("price").alias("price_mean"), F.stddev_samp("price").alias("price_std"))
-    return span.join(level, "series_id").withColumn("window_days", F.lit(window))
-
-
-def freeze(features: DataFrame, prices: DataFrame, window: int, path: str,
-           params: dict | None = None) -> None:
-    """M10. Fit on the final window and store the models with their metadata."""
-    train = final_window(features, window)
-    fitted = fit_gbt(train, params)
-    with ThreadPoolExecutor(8) as pool:
-        list(pool.map(lambda h: PipelineModel([fitted[h]]).write().overwrite().save(
-            f"{path}/hour={h:02d}"), HOURS))
-    frozen_metadata(features, prices, window).write.mode("overwrite").parquet(f"{path}/metadata")
-
-
-def load_frozen(path: str) -> dict[int, GBTRegressionModel]:
-    with ThreadPoolExecutor(8) as pool:
-        loaded = pool.map(lambda h: PipelineModel.load(f"{path}/hour={h:02d}").stages[0], HOURS)
-        return dict(zip(HOURS, loaded))
-
-
-def score_frozen(path: str, live: DataFrame, model: str = "gbt") -> DataFrame:
-    """M11. Score every live day with the stored models; nothing is refitted."""
-    return score_gbt(load_frozen(path), live, model)
-
-
 # ---- parameter search -------------------------------------------------------------------
 
 

@@ -78,13 +78,8 @@ def naive_dow_daily(df: DataFrame, model: str = "naive") -> DataFrame:
     ).filter("y_true is not null and y_pred is not null")
 
 
-def forecast_day(df: DataFrame, day: dt.date, strict: bool = True, model: str = "naive"
-                 ) -> DataFrame:
-    """M12. Forecast one day from features only; its own price may be unknown.
-
-    Only the eight days that can matter are read. The actual price is attached afterwards
-    with a left join and never influences the forecast.
-    """
+def day_inputs(df: DataFrame, day: dt.date, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(features of ``day`` without its labels, hours of the eight days that can matter)."""
     first = day - dt.timedelta(days=7)
     recent = with_day_hour(df).filter(F.col("day").between(F.lit(first), F.lit(day)))
     features = build_features(recent.select(*df.columns), need_label=False).filter(
@@ -96,12 +91,28 @@ def forecast_day(df: DataFrame, day: dt.date, strict: bool = True, model: str =
                    "data and seven complete days before it")
         if features.limit(1).count() == 0:
             raise CheckFailed(f"no series reaches {day}")
+    return features, recent
+
+
+def with_actuals(hours: DataFrame, recent: DataFrame, model: str) -> DataFrame:
+    """(series_id, day, hour, y_pred) as a long frame; the actual price is attached afterwards and
+    never influences the forecast."""
+    actual = recent.select("series_id", "day", "hour", F.col("price").alias("y_true"))
+    return hours.join(actual, ["series_id", "day", "hour"], "left").select(
+        "series_id", F.col("day").alias("origin"), "hour", "y_true", "y_pred",
+        F.lit(model).alias("model"))
+
+
+def forecast_day(df: DataFrame, day: dt.date, strict: bool = True, model: str = "naive"
+                 ) -> DataFrame:
+    """M12. Forecast one day from features only; its own price may be unknown.
+
+    Only the eight days that can matter are read.
+    """
+    features, recent = day_inputs(df, day, strict)
     lag = similar_day_lag("day")
     # Price blocks come first in x, in lag order 1, 2, 3, 7.
     start = F.when(lag == 1, 0).when(lag == 3, 48).otherwise(72)
     hours = features.select(
         *SERIES_DAY, F.posexplode(F.slice("x", start + 1, F.lit(24))).alias("hour", "y_pred"))
-    actual = recent.select("series_id", "day", "hour", F.col("price").alias("y_true"))
-    return hours.join(actual, ["series_id", "day", "hour"], "left").select(
-        "series_id", F.col("day").alias("origin"), "hour", "y_true", "y_pred",
-        F.lit(model).alias("model"))
+    return with_actuals(hours, recent, model)

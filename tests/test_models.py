@@ -6,10 +6,12 @@ from conftest import DAY0, encoded, wavy
 from pyspark.sql import functions as F
 
 from daymark.operators import attribution as A
+from daymark.operators import boosting as B
 from daymark.operators import features as X
 from daymark.operators import models as M
 from daymark.operators import splits as V
 from daymark.operators.solvers import elastic_net, lasso_aic
+from daymark.operators.trees import Cuts, Paths, TreeParams, fit_boosted
 
 
 def test_lasso_knot_meets_the_optimality_conditions_and_beats_a_grid():
@@ -161,22 +163,136 @@ def test_lasso_coefficients_attribute_its_forecasts(spark):
     assert np.allclose([[got[r["day"], h] for h in range(25)] for r in test], want)
 
 
+SMALL = TreeParams(trees=4, depth=2, rate=0.5, bins=8, min_leaf=3)
+
+
 def test_trees_are_refitted_on_earlier_days_only(spark):
     days = lambda n: (DAY0 + dt.timedelta(days=n)).date()
     feats = X.build_features(wavy(spark, 40)).cache()
-    trees = {"maxIter": 2, "maxDepth": 2}
-    out = M.gbt_walk_forward(feats, 20, 7, trees, daily=True).collect()
-    assert sorted(r["origin"] for r in out) == [days(n) for n in range(27, 40)]
-    # The second block starts on day 34: later prices change no forecast up to its first day's.
-    late = F.col("day") >= F.lit(days(34))
-    moved = feats.withColumn("y", F.when(late, F.transform("y", lambda v: v * 3)).otherwise(F.col("y")))
-    again = M.gbt_walk_forward(moved, 20, 7, trees, daily=True).collect()
-    pick = lambda rows: {r["origin"]: r["y_pred"] for r in rows}
-    assert pick(out) == pick(again)
-    block = M.fit_gbt_daily(feats.filter(F.col("day").between(days(14), days(33))), trees)
-    want = pick(M.score_gbt_daily(block, feats.filter(late)).collect())
-    assert {k: v for k, v in pick(out).items() if k >= days(34)} == want
-    assert M.gbt_walk_forward(feats, 100, 7, trees, daily=True).count() == 0
+    pick = lambda rows: {(r["origin"], r["hour"] if "hour" in r else 0): r["y_pred"] for r in rows}
+    for daily in (True, False):
+        walk = lambda f: B.gbt_walk_forward(f, 20, 7, SMALL, daily=daily, run_days=7).collect()
+        out = walk(feats)
+        assert sorted({r["origin"] for r in out}) == [days(n) for n in range(27, 40)]
+        assert len(out) == 13 * (1 if daily else 24)
+        # The second block starts on day 34: later prices change no forecast up to its first day's.
+        late = F.col("day") >= F.lit(days(34))
+        moved = feats.withColumn("y", F.when(late, F.transform("y", lambda v: v * 3)).otherwise(F.col("y")))
+        assert pick(out) == pick(walk(moved))
+        block = B.fit_gbt(feats.filter(F.col("day").between(days(14), days(33))), SMALL)
+        want = pick(B.arm_forecasts(B.score_gbt(block, feats.filter(late)), daily).collect())
+        got = {k: v for k, v in pick(out).items() if k[0] >= days(34)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert B.gbt_walk_forward(feats, 100, 7, SMALL, daily=True).count() == 0
+
+
+def plain_trees(x, y, p):
+    """One target, node by node: every split tried in turn, medians of the residuals."""
+    edges = []
+    for f in range(x.shape[1]):
+        seen = np.unique(x[:, f])
+        cut = seen[:-1]
+        if len(seen) > p.bins:
+            ranked = np.sort(x[:, f])
+            cut = np.unique([ranked[i * (len(x) - 1) // p.bins] for i in range(1, p.bins)])
+            cut = cut[cut < seen[-1]]
+        edges += [(f, c) for c in cut]
+    left, losses = y - np.median(y), []
+    for _ in range(p.trees):
+        parts = [np.arange(len(y))]
+        for _ in range(p.depth):
+            grown = []
+            for rows in parts:
+                s = np.sign(left[rows])
+                best, chosen = s.sum() ** 2 / max(len(rows), 1) + 1e-6, None
+                for f, c in edges:
+                    go = x[rows, f] <= c
+                    if go.sum() < p.min_leaf or (~go).sum() < p.min_leaf:
+                        continue
+                    gain = s[go].sum() ** 2 / go.sum() + s[~go].sum() ** 2 / (~go).sum()
+                    if gain > best + 1e-9:
+                        best, chosen = gain, go
+                grown += [rows] if chosen is None else [rows[chosen], rows[~chosen]]
+            parts = grown
+        for rows in parts:
+            if len(rows):
+                left[rows] -= p.rate * np.median(left[rows])
+        losses.append(np.abs(left).sum())
+    return left, losses
+
+
+@pytest.mark.parametrize("n", [70, 200])
+def test_trees_equal_a_plain_fit(n):
+    rng = np.random.default_rng(n)
+    x = np.column_stack([rng.normal(size=(n, 3)), rng.integers(0, 3, n), np.zeros(n)])
+    y = np.column_stack([np.round(3 * x[:, 0] + x[:, 3] + rng.normal(0, 0.3, n), 1),
+                         np.abs(x[:, 1]), np.full(n, 2.0)])
+    p = TreeParams(trees=6, depth=3, rate=0.5, bins=10, min_leaf=5)
+    seen = []
+    fit = fit_boosted(Cuts(x, p.bins), y, p, lambda t, left: seen.append(np.abs(left).sum(axis=0)))
+    for j in range(3):
+        left, losses = plain_trees(x, y[:, j], p)
+        np.testing.assert_allclose([s[j] for s in seen], losses, atol=1e-9)
+        np.testing.assert_allclose(y[:, j] - fit.predict(x)[:, j], left, atol=1e-9)
+        assert all(a >= b - 1e-9 for a, b in zip(losses, losses[1:]))
+    assert (fit.cover.sum(axis=2) == n).all()
+    with pytest.raises(ValueError):
+        TreeParams(trees=0)
+
+
+def test_inputs_without_a_split_leave_the_median():
+    x, y = np.ones((30, 4)), np.arange(30.0)[:, None]
+    fit = fit_boosted(Cuts(x, 8), y, SMALL)
+    assert np.allclose(fit.predict(x), 14.5) and (fit.feature == -1).all()
+
+
+def test_each_series_has_trees_of_its_own(spark):
+    a, b = wavy(spark, 40), wavy(spark, 40, seed=5, series="b")
+    both = X.build_features(a.unionByName(b)).cache()
+    alone = X.build_features(b).cache()
+    pick = lambda f: sorted((r["target"], r["hour"] or 0, r["base"], r["value"])
+                            for r in f.filter("series_id = 'b'").collect())
+    assert pick(B.fit_gbt(both, SMALL)) == pick(B.fit_gbt(alone, SMALL, targets_per_task=25))
+    report = B.fit_certificate(B.fit_gbt(both, SMALL).cache(), both).collect()
+    assert len(report) == 50
+    assert all((r["loss_rises"], r["wrong_leaves"], r["lost_rows"]) == (0, 0, 0)
+               and r["n_trees"] == 4 and r["base_gap"] < 1e-9 for r in report)
+    broken = B.fit_gbt(both, SMALL).withColumn("value", F.transform("value", lambda v: v - 9))
+    assert all(r["wrong_leaves"] and r["loss_rises"] for r in B.fit_certificate(broken, both).collect())
+
+
+def test_tree_search_picks_a_trial_and_refits_it(spark):
+    feats = X.build_features(wavy(spark, 60).unionByName(wavy(spark, 60, seed=9, series="b"))).cache()
+    roles = V.tuning_window(feats, 10, 30)
+    trials = B.tree_trials(4, trees=(2, 6))
+    assert trials == B.tree_trials(4, trees=(2, 6))
+    scores = B.search_trees(roles, feats, trials, trials_per_task=2).cache()
+    best = {r["series_id"]: r for r in B.best_trees(scores).collect()}
+    table = scores.toPandas()
+    for series, rows in table.groupby("series_id"):
+        assert len(rows) == 4 and best[series]["n_trials"] == 4
+        assert best[series]["trial"] == rows.sort_values(["mae", "trial"])["trial"].iloc[0]
+    tuned = B.gbt_walk_forward(feats, 30, 7, B.best_trees(scores), daily=True)
+    p = best["b"]
+    own = TreeParams(p["trees"], p["depth"], p["rate"], p["bins"], p["min_leaf"])
+    alone = B.gbt_walk_forward(feats.filter("series_id = 'b'"), 30, 7, own, daily=True)
+    got = tuned.filter("series_id = 'b'")
+    assert got.count() == alone.count() > 0 and got.exceptAll(alone).count() == 0
+    assert tuned.select("series_id").distinct().count() == 2
+
+
+def test_a_live_day_is_forecast_by_stored_trees(spark):
+    df = wavy(spark, 40)
+    feats = X.build_features(df).cache()
+    day = (DAY0 + dt.timedelta(days=39)).date()
+    models = B.fit_gbt(feats.filter(F.col("day") < F.lit(day)), SMALL).cache()
+    known = B.forecast_day_fitted(models, df, day).orderBy("hour").collect()
+    hidden = df.withColumn("price", F.when(F.to_date("ts") < F.lit(day), F.col("price")))
+    blind = B.forecast_day_fitted(models, hidden, day).orderBy("hour").collect()
+    assert [r["y_pred"] for r in known] == [r["y_pred"] for r in blind]
+    assert len(blind) == 24 and all(r["y_true"] is None for r in blind)
+    want = B.arm_forecasts(B.score_gbt(models, feats.filter(F.col("day") == F.lit(day)))).orderBy("hour")
+    assert [r["y_pred"] for r in blind] == [r["y_pred"] for r in want.collect()]
 
 
 def test_search_is_seeded_and_picks_the_smallest_error(spark):
@@ -189,17 +305,19 @@ def test_search_is_seeded_and_picks_the_smallest_error(spark):
     assert len(scores) == 6 and best["trial"] == scores.loc[scores["mae"].idxmin(), "trial"]
 
 
-def _brute(leaves, x, n):
+def _brute(paths, x, n):
     """Shapley values by enumerating every coalition of the features of one row."""
     from itertools import combinations
     from math import factorial
 
     def value(known):
         out = 0.0
-        for leaf, path in leaves:
+        for feature, low, high, share, leaf in zip(
+                paths.feature, paths.low, paths.high, paths.share, paths.value):
             p = leaf
-            for f, lo, hi, z in path:
-                p *= float(lo < x[f] <= hi) if f in known else z
+            for f, lo, hi, z in zip(feature, low, high, share):
+                if f >= 0:
+                    p *= float(lo < x[f] <= hi) if f in known else z
             out += p
         return out
 
@@ -213,19 +331,20 @@ def _brute(leaves, x, n):
     return phi, value(set())
 
 
-def test_tree_attributions_equal_all_coalitions():
-    import pandas as pd
-    nodes = pd.DataFrame(
-        [(0, 0, 0.0, 100, 1, 2, 0, 0.5), (0, 1, 0.0, 60, 3, 4, 1, 0.2), (0, 2, 0.0, 40, 5, 6, 0, 0.8),
-         (0, 3, 1.0, 20, -1, -1, -1, None), (0, 4, -2.0, 40, -1, -1, -1, None),
-         (0, 5, 0.0, 30, 7, 8, 2, 0.4), (0, 6, 5.0, 10, -1, -1, -1, None),
-         (0, 7, 3.0, 12, -1, -1, -1, None), (0, 8, 0.5, 18, -1, -1, -1, None)],
-        columns=["tree", "id", "prediction", "cover", "left", "right", "split_feature", "threshold"])
-    leaves = A.leaf_paths(nodes, [0.5])
-    x = np.random.default_rng(0).uniform(0, 1, (20, 4))
-    values, expected = A.shapley(leaves, x)
-    for row, v in zip(x, values):
-        phi, base = _brute(leaves, row, 4)
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_tree_attributions_equal_all_coalitions(depth):
+    rng = np.random.default_rng(depth)
+    x = rng.uniform(0, 1, (150, 4))
+    y = (x[:, 0] * x[:, 1] + (x[:, 2] > 0.5) + rng.normal(0, 0.05, 150))[:, None]
+    fit = fit_boosted(Cuts(x, 6), y, TreeParams(3, depth, 0.5, 6, 4))
+    paths = Paths.of(fit, 0)
+    values, expected = paths.attributions(x)
+    np.testing.assert_allclose(values.sum(axis=1) + expected + fit.base[0],
+                               fit.predict(x)[:, 0], atol=1e-9)
+    # Cover shares make the expected value the mean over the training rows.
+    assert expected + fit.base[0] == pytest.approx(fit.predict(x).mean())
+    for row, v in zip(x[:12], values):
+        phi, base = _brute(paths, row, 4)
         np.testing.assert_allclose(v, phi, atol=1e-12)
         assert base == pytest.approx(expected)
 
@@ -235,21 +354,18 @@ def test_tree_models_freeze_score_and_explain(spark, tmp_path):
     feats = X.build_features(df).cache()
     cut = F.lit((DAY0 + dt.timedelta(days=33)).date())
     train, live = feats.filter(F.col("day") < cut), feats.filter(F.col("day") >= cut)
-    params = {"maxIter": 2, "maxDepth": 2}
     path = str(tmp_path / "frozen")
-    M.freeze(train, df, 20, path, params)
+    B.freeze(train, df, 20, path, SMALL)
     meta = spark.read.parquet(f"{path}/metadata").collect()[0]
     assert meta["n_train_days"] == 20 and meta["frozen_on"] < live.agg(F.min("day")).collect()[0][0]
-    scored = M.score_frozen(path, live)
-    assert scored.count() == 24 * live.count()
-    models = M.load_frozen(path)
-    some = {h: models[h] for h in (3, 19)}
-    attr = A.attribute_trees(some, live, X.feature_names())
-    pred = M.score_gbt(some, live).select(
-        "series_id", F.lit("hourly").alias("target"), "hour", F.col("origin").alias("day"),
+    assert B.score_frozen(path, live).count() == 24 * live.count()
+    assert B.score_frozen(path, live, daily=True).count() == live.count()
+    models = B.load_frozen(spark, path)
+    attr = B.attribute_trees(models, live, X.feature_names(), run_days=3).cache()
+    assert attr.count() == 25 * live.count() * len(X.feature_names())
+    pred = B.score_gbt(models, live).select(
+        "series_id", "target", "hour", F.col("origin").alias("day"),
         F.col("y_pred").alias("prediction"))
     A.require_additive(attr, pred)
-    assert A.additivity(attr, pred).count() == 2
+    assert A.additivity(attr, pred).count() == 25
     assert A.conservation(attr).filter("abs(grouped - ungrouped) > 1e-9").count() == 0
-    daily = M.fit_gbt_daily(train, params)
-    assert M.score_gbt_daily(daily, live).count() == live.count()
