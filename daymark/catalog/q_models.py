@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from daymark.catalog import prelude as P
 from daymark.catalog.prelude import with_ctes
 from daymark.catalog.registry import query
+from daymark.operators import arma as R
 from daymark.operators import boosting as B
 from daymark.operators import features as X
 from daymark.operators import models as M
@@ -79,6 +80,35 @@ def _(spark, d):
     return M.fit_seasonal_arx_daily(series.delivery_slots(spark, d), 1092, 7)
 
 
+@query("m5_seasonal_arma", FORECAST)
+def _(spark, d):
+    return R.fit_seasonal_arma(series.delivery_slots(spark, d), WINDOW, WEEK)
+
+
+@query("m6_seasonal_arma_daily", DAILY)
+def _(spark, d):
+    return R.fit_seasonal_arma(series.delivery_slots(spark, d), WINDOW, WEEK, daily=True)
+
+
+#: Blocks start every seven days from the first; a window needs 16 known days before its own.
+_ARMA_SQL = f"""
+SELECT 'slots' AS series_id, CAST(day AS DATE) AS block_start, {WINDOW} AS n_days, 0.0 AS normal_gap
+FROM (SELECT DISTINCT day, date_diff('day', (SELECT min(day) FROM slots), day) AS n FROM slots)
+WHERE n % {WEEK} = 0 AND n >= {WINDOW + R.REACH}"""
+
+
+@query("m5_arma_normal_equations", "series_id, block_start:d, n_days:i, normal_gap:6",
+       with_ctes("slots", _ARMA_SQL))
+def _(spark, d):
+    return R.arma_certificate(series.delivery_slots(spark, d), WINDOW, WEEK)
+
+
+@query("m6_arma_normal_equations", "series_id, block_start:d, n_days:i, normal_gap:6",
+       with_ctes("slots", _ARMA_SQL))
+def _(spark, d):
+    return R.arma_certificate(series.delivery_slots(spark, d), WINDOW, WEEK, daily=True)
+
+
 def _last_year(spark, d):
     """(features, the training window before the last year, the last year)."""
     feats = _slot_features(spark, d)

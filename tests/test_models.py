@@ -5,6 +5,7 @@ import pytest
 from conftest import DAY0, encoded, wavy
 from pyspark.sql import functions as F
 
+from daymark.operators import arma as R
 from daymark.operators import attribution as A
 from daymark.operators import boosting as B
 from daymark.operators import features as X
@@ -131,6 +132,60 @@ def test_arx_equals_least_squares_on_the_same_rows(spark):
     np.testing.assert_allclose(got["y_pred"], want, atol=1e-6)
 
 
+def test_moving_average_terms_are_recovered():
+    rng = np.random.default_rng(11)
+    n = 40_000
+    dx, e = rng.normal(size=(n, 1, 2)), rng.normal(size=n)
+    want = [0.4, 0.2, 1.5, -0.7, -0.5, 0.3]
+    dy = np.zeros(n)
+    for t in range(7, n):
+        dy[t] = (want[0] * dy[t - 1] + want[1] * dy[t - 7] + dx[t, 0] @ want[2:4] + e[t]
+                 + want[4] * e[t - 1] + want[5] * e[t - 7])
+    dy = dy[:, None]
+    long_in = R.long_inputs(dy, dx)
+    rows = np.arange(100, n)
+    fit = R.fit_arma(dy, dx, long_in, rows)
+    np.testing.assert_allclose(fit.short[0, :4], want[:4], atol=0.02)
+    np.testing.assert_allclose(fit.short[0, 4:], want[4:], atol=0.02)
+    assert R.normal_gap(dy, dx, long_in, rows, fit).max() < 1e-9
+    fit.short[0, 4] += 0.1
+    assert R.normal_gap(dy, dx, long_in, rows, fit).max() > 1e-3
+
+
+def test_arma_equals_two_regressions_and_forecasts_unknown_days(spark):
+    df = wavy(spark, 130)
+    last = (DAY0 + dt.timedelta(days=129)).date()
+    gap = (DAY0 + dt.timedelta(days=120)).date()
+    df = df.filter(F.to_date("ts") != F.lit(gap)).withColumn(
+        "price", F.when(F.to_date("ts") < F.lit(last), F.col("price")))
+    for run_days in (7, 28, 500):
+        got = R.fit_seasonal_arma(df, 60, 7, daily=True, run_days=run_days).orderBy("origin").toPandas()
+        if run_days == 7:
+            want = got
+        assert got["origin"].tolist() == want["origin"].tolist()
+        np.testing.assert_allclose(got["y_pred"], want["y_pred"], atol=1e-8)
+    assert got["origin"].iloc[-1] == last and np.isnan(got["y_true"].iloc[-1])
+    assert gap not in set(got["origin"])
+    hourly = R.fit_seasonal_arma(df, 60, 7)
+    assert hourly.filter(F.col("origin") == F.lit(last)).count() == 24
+    # The first block by hand: two least-squares fits on the 45 days before it.
+    pdf = wavy(spark, 130).toPandas()
+    y, a, b = pdf.groupby(pdf["ts"].dt.date)[["price", "exog_1", "exog_2"]].mean().to_numpy().T
+    d = lambda v: np.concatenate([[np.nan], np.diff(v)])
+    dy, da, db = d(y), d(a), d(b)
+    start = 84  # the first multiple of seven with 60 usable days before it
+    t = np.arange(start - 60, start)
+    inputs = lambda t: np.column_stack([dy[t - k] for k in range(1, 16)] + [
+        x[t - k] for k in range(16) for x in (da, db)])
+    phi = np.linalg.lstsq(inputs(t), dy[t], rcond=None)[0]
+    left = lambda t: dy[t] - inputs(t) @ phi
+    short = lambda t: np.column_stack([dy[t - 1], dy[t - 7], da[t], db[t], left(t - 1), left(t - 7)])
+    beta = np.linalg.lstsq(short(t), dy[t], rcond=None)[0]
+    days = np.arange(start, start + 7)
+    np.testing.assert_allclose(want["y_pred"][:7], y[days - 1] + short(days) @ beta, atol=1e-6)
+    assert want["origin"].iloc[0] == (DAY0 + dt.timedelta(days=start)).date()
+
+
 def test_lasso_recipe_beats_the_window_mean(spark):
     # 320 days: more training rows than features.
     feats = X.build_features(wavy(spark, 320)).cache()
