@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from daymark.catalog import prelude as P
 from daymark.catalog.prelude import with_ctes
 from daymark.catalog.registry import query
 from daymark.operators import ensemble as E
+from daymark.operators.naive import lookup_forecasts, same_hour, same_hour_mean
+from daymark.session import materialize
 from daymark.sources import series
 
 TRIO = ("lag1", "lag7", "mean3")
@@ -51,13 +55,30 @@ def _(spark, d):
     return E.combine_by_regime(_trio(P.members(spark, d)), BY_REGIME, P.STRESS, "regime")
 
 
+REFINE = (4, 2, 1)
+
+
+def simplex_grid(n: int, step: int = 10) -> list[tuple[int, ...]]:
+    """All weight vectors in multiples of ``step`` hundredths that sum to 100."""
+    units = 100 // step
+    return [tuple(step * u for u in (*head, units - sum(head)))
+            for head in itertools.product(range(units + 1), repeat=n - 1) if sum(head) <= units]
+
+
+def simplex_moves(n: int, step: int, reach: int = 2) -> list[tuple[int, ...]]:
+    """All moves of up to ``reach`` steps per weight that keep the sum."""
+    return [tuple(step * m for m in move)
+            for move in itertools.product(range(-reach, reach + 1), repeat=n) if sum(move) == 0]
+
+
 def search_sql(cells: str, keys: str, n: int) -> str:
-    """The coarse-to-fine search as CTEs over ``cells(keys, y, p0..)``; the last one is ``best``."""
+    """A search in hundredths, coarse to fine, as CTEs over ``cells(keys, y, p0..)``; the last one
+    is ``best``. Its error is that of the fitted weights to far below a hundredth."""
     ws = [f"w{i}" for i in range(n)]
     mix = " + ".join(f"{{w{i}}} * c.p{i}" for i in range(n))
     out, prev = [], None
-    for r, step in enumerate((None, *E.REFINE)):
-        rows = E.simplex_grid(n) if step is None else E.simplex_moves(n, step)
+    for r, step in enumerate((None, *REFINE)):
+        rows = simplex_grid(n) if step is None else simplex_moves(n, step)
         values = ", ".join(f"({i}, {', '.join(map(str, row))})" for i, row in enumerate(rows))
         out.append(f"o{r}(idx, {', '.join(ws)}) AS (VALUES {values})")
         w = {f"w{i}": f"o.w{i}" if prev is None else f"(b.w{i} + o.w{i})" for i in range(n)}
@@ -67,16 +88,27 @@ def search_sql(cells: str, keys: str, n: int) -> str:
         out.append(f"""s{r} AS (SELECT {keys}, idx, {', '.join(ws)}, round(avg(abs(y - m / 100)), 9) AS mae, count(*) AS n_cells
   FROM (SELECT {keys}, o.idx, {shown}, c.y, {mix.format(**w)} AS m
         FROM {cells} c {join} JOIN o{r} o ON TRUE WHERE {ok}) GROUP BY ALL)""")
-        prev = "best" if r == len(E.REFINE) else f"b{r}"
+        prev = "best" if r == len(REFINE) else f"b{r}"
         out.append(f"{prev} AS (SELECT * EXCLUDE (idx) FROM s{r} QUALIFY row_number() OVER "
                    f"(PARTITION BY {keys} ORDER BY mae, idx) = 1)")
     return ",\n".join(out)
 
 
-def _long_weights(keys):
-    return " UNION ALL ".join(
-        f"SELECT {keys}, '{m}' AS model, w{i} / 100.0 AS weight, mae, n_cells FROM best"
-        for i, m in enumerate(TRIO))
+#: What a weight fit is compared by: its error, to the digit that a search in hundredths settles,
+#: and that the certificate holds.
+_FITTED = "mae:1, n_cells:i, n_models:i, weight_sum:6, legal:b, closed:b"
+
+
+def _fitted(weights, *keys):
+    return weights.groupBy(*keys).agg(
+        F.first("mae").alias("mae"), F.first("n_cells").alias("n_cells"),
+        F.count("*").alias("n_models"), F.sum("weight").alias("weight_sum"),
+        (F.min("weight") >= 0).alias("legal"),
+        (F.first("mae") - F.first("bound") <= E.GAP * F.first("mae")).alias("closed"))
+
+
+def _fitted_sql(keys):
+    return f"SELECT {keys}, mae, n_cells, 3 AS n_models, 1.0 AS weight_sum, TRUE AS legal, TRUE AS closed FROM best"
 
 
 def _cells(source, keys, where, join=""):
@@ -94,19 +126,45 @@ def _validation(frame):
         F.lit(P.SLOT_VALIDATION), F.date_sub(F.lit(P.SLOT_TEST), 1)))
 
 
-@query("e4_fit_weights", "series_id, model, weight:2, mae:6, n_cells:i", with_ctes(
-    "slot_members", _long_weights("series_id"),
+@query("e4_fit_weights", "series_id, " + _FITTED, with_ctes(
+    "slot_members", _fitted_sql("series_id"),
     _cells("slot_members", "series_id", _VALIDATION) + ",\n" + search_sql("cells", "series_id", 3)))
 def _(spark, d):
-    return E.fit_weights(_validation(P.slot_members(spark, d)), TRIO)
+    return _fitted(E.fit_weights(_validation(P.slot_members(spark, d)), TRIO), "series_id")
 
 
-@query("e4_fit_weights_by_type", "series_id, model, weight:2, mae:6, n_cells:i", with_ctes(
-    "members", _long_weights("series_id"),
+@query("e4_fit_weights_by_type", "series_id, " + _FITTED, with_ctes(
+    "members", _fitted_sql("series_id"),
     _cells("members", "series_id", "origin < DATE '2024-01-20'")
     + ",\n" + search_sql("cells", "series_id", 3)))
 def _(spark, d):
-    return E.fit_weights(P.members(spark, d).filter(F.col("origin") < F.lit(P.TEST_START)), TRIO)
+    early = P.members(spark, d).filter(F.col("origin") < F.lit(P.TEST_START))
+    return _fitted(E.fit_weights(early, TRIO), "series_id")
+
+
+_RULES = {**{f"lag{k}": (k,) for k in range(1, 8)}, "mean2": (1, 2), "mean3": (1, 2, 3), "week": (1, 7)}
+
+
+@query("e4_ten_members", "series_id, n_models:i, n_cells:i, weight_sum:6, best_single:6, legal:b, closed:b, better:b",
+       with_ctes("slots", """
+SELECT series_id, 10 AS n_models, min(n) AS n_cells, 1.0 AS weight_sum, min(e) AS best_single,
+       TRUE AS legal, TRUE AS closed, TRUE AS better
+FROM (SELECT series_id, model, count(*) AS n, avg(abs(y - p)) AS e FROM (
+        SELECT a.series_id, a.day, a.hour, m.model, any_value(a.price) AS y, avg(b.price) AS p
+        FROM slots a JOIN rules m ON TRUE JOIN slots b ON b.day = a.day - m.lag AND b.hour = a.hour
+        WHERE a.day BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' GROUP BY 1, 2, 3, 4)
+      GROUP BY 1, 2) GROUP BY 1""", "rules(model, lag) AS (VALUES " + ", ".join(
+          f"('{m}', {k})" for m, ks in _RULES.items() for k in ks) + ")"))
+def _(spark, d):
+    rules = {m: same_hour(ks[0]) if len(ks) == 1 else same_hour_mean(ks) for m, ks in _RULES.items()}
+    frame = materialize(_validation(lookup_forecasts(
+        series.delivery_slots(spark, d), rules, tuple(range(1, 8)))), "ten")
+    fit = E.fit_weights(frame, list(rules))
+    single = frame.groupBy("series_id", "model").agg(
+        F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("e")).groupBy("series_id").agg(
+        F.min("e").alias("best_single"))
+    return _fitted(fit, "series_id").join(single, "series_id").withColumn(
+        "better", F.col("mae") < F.col("best_single"))
 
 
 # Threshold from the training years only; k by the validation-only rule.
@@ -138,15 +196,16 @@ val_labels AS (
   LEFT JOIN peaks p ON p.series_id = a.series_id AND p.origin = a.origin - 1)"""
 
 
-@query("e5_fit_regime_weights", "series_id, regime, model, weight:2, mae:6, n_cells:i", with_ctes(
-    "slot_members", _long_weights("series_id, regime"), ",".join([
+@query("e5_fit_regime_weights", "series_id, regime, " + _FITTED, with_ctes(
+    "slot_members", _fitted_sql("series_id, regime"), ",".join([
         THRESHOLD_SQL, _LABELLED,
         _cells("slot_members", "series_id, regime", _VALIDATION,
                "JOIN val_labels USING (series_id, origin)"),
         search_sql("cells", "series_id, regime", 3)])))
 def _(spark, d):
     frame = P.slot_members(spark, d)
-    return E.fit_regime_weights(_validation(frame), TRIO, slot_threshold(spark, d, frame))
+    fit = E.fit_regime_weights(_validation(frame), TRIO, slot_threshold(spark, d, frame))
+    return _fitted(fit, "series_id", "regime")
 
 
 @query("e6_regime_threshold",

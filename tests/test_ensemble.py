@@ -93,6 +93,39 @@ def test_weights_match_an_exhaustive_search(spark):
     assert got["mae"].iloc[0] <= min(singles) + 1e-12
 
 
+def test_weights_close_their_gap_for_any_number_of_members(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 10):
+        spec = {f"m{i}": (float(rng.normal(0, 4)), float(rng.uniform(1, 6))) for i in range(n)}
+        frame, truth = members_frame(spark, spec, days=25, seed=n)
+        got = E.fit_weights(frame, list(spec)).collect()
+        mae, bound = got[0]["mae"], got[0]["bound"]
+        assert len(got) == n and 0 <= mae - bound <= 1e-4 * mae
+        pdf = frame.toPandas().pivot_table(index=["origin", "hour"], columns="model", values="y_pred")
+        p, y = pdf[list(spec)].to_numpy(), truth.ravel()
+        error = lambda w: np.abs(y - p @ w).mean()
+        assert error([r["weight"] for r in sorted(got, key=lambda r: int(r["model"][1:]))]
+                     ) == pytest.approx(mae)
+        # No weights, drawn at random or at a corner, get below the bound.
+        draws = np.vstack([rng.dirichlet(np.full(n, 0.5), 400), np.eye(n)])
+        assert min(error(w) for w in draws) >= bound - 1e-9
+
+
+def test_weights_with_kinks_perfect_members_and_series_of_their_own(spark):
+    rows = []
+    for s, (a, b) in {"x": (0.0, 9.0), "y": (-2.0, 1.0)}.items():
+        for d in range(6):
+            for h in range(24):
+                y = float((d * 7 + h) % 5)
+                rows += [(s, (DAY0 + dt.timedelta(days=d)).date(), h, y, y + a, "a"),
+                         (s, (DAY0 + dt.timedelta(days=d)).date(), h, y, y + b, "b")]
+    frame = spark.createDataFrame(rows + [("x", DAY0.date(), 30, None, 1.0, "a")], LONG)
+    got = {(r["series_id"], r["model"]): r for r in E.fit_weights(frame, ("a", "b")).collect()}
+    assert got["x", "a"]["weight"] == pytest.approx(1, abs=1e-3)
+    assert got["x", "a"]["n_cells"] == 144 and got["x", "a"]["mae"] < 0.01
+    assert got["y", "a"]["weight"] == pytest.approx(1 / 3, abs=1e-3)
+
+
 def test_weight_fit_refuses_leaks_nulls_and_thin_regimes(spark):
     frame, _ = members_frame(spark, SPEC, days=10)
     test = frame.select("series_id", F.date_add("origin", 5).alias("day"))
