@@ -59,7 +59,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_remainder(F.col("doc_id"), 5) == 1
     out = lattice_lm.score(docs, VOCABULARY, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
-                      "train_tokens", "base_score", "score")
+                      "train_tokens", "base_score", "score", "blend")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

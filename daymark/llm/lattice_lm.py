@@ -6,12 +6,14 @@ all segmentations, which gives the word's marginal probability. No piece crosses
 document's marginal is the product over its words.
 
 The file ranks its pieces; the ranks give the start weights, and rounds of expectation
-maximisation over the training words, each a Spark job over all of them, fit the weights. The
-pieces themselves stay as they are. Characters no piece covers take a fixed small probability.
+maximisation over the training words, each a Spark job over all of them, fit the weights to their
+counts. The pieces themselves stay as they are. Characters no piece covers take a fixed small probability.
 
-A word's final probability draws on both what was counted and the lattice:
-``(count + strength * lattice) / (tokens + strength)``. The strength is the one of a fixed grid
-that predicts the training words best when each leaves itself out.
+A document's ``score`` is its marginal: the sum over its words of the log of the lattice's
+probability, each times the chance that the document goes on, and the chance of its end. A second
+column, ``blend``, also draws on what was counted: a word has
+``(count + strength * lattice) / (tokens + strength)``, where the strength is the one of a fixed
+grid that predicts the training words best when each leaves itself out.
 
 Counts are pre-aggregated in each task. A bounded number of the most frequent words travels to the
 tasks that read the documents; all other words of a document meet their counts in a join, which
@@ -43,8 +45,6 @@ SHIPPED = 80_000
 #: Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 150_000
 STRENGTHS = (1e2, 1e3, 1e4, 3e4, 1e5, 3e5, 1e6, 3e6, 1e7, 3e7, 1e8)
-#: Share of the end mark in the lattice's part.
-END_SHARE = 0.01
 #: Log probability of a character that no piece covers.
 UNKNOWN = -25.0
 LOG10 = math.log(10.0)
@@ -69,59 +69,81 @@ def load_pieces(path: str) -> dict[str, float]:
 
 
 class Lattice:
-    """Forward and backward sums over all segmentations of a word."""
+    """Forward and backward sums over all segmentations of a word.
+
+    What leads up to a place depends only on the characters before it, so the sums of the last
+    word are kept for the beginning it shares with the next one: words come in sorted order.
+    """
 
     def __init__(self, weights: dict[str, float]):
         # Every beginning of a piece has an entry, None where it is no piece itself: a start
         # position is left as soon as no piece can go on.
         self.entries: dict[str, float | None] = {
             p[:k]: None for p in weights for k in range(1, len(p))} | weights
-
-    def edges(self, word: str) -> list[list[tuple[int, str | None, float]]]:
-        """For every end position: (start, piece, log weight) of the pieces that end there."""
-        entries, n = self.entries, len(word)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
+        self.word = ""
+        #: By end position: starts that a piece may still go on from; (start, piece, log weight)
+        #: of the pieces that end there; log of the summed weights of all segmentations.
+        self.open: list[list[int]] = [[]]
+        self.into: list[list[tuple[int, str | None, float]]] = [[]]
+        self.sums: list[float] = [0.0]
+
+    def advance(self, word: str) -> None:
+        """Bring the sums to the end of ``word``."""
+        last, same = self.word, 0
+        for a, b in zip(last, word):
+            if a != b:
+                break
+            same += 1
+        del self.open[same + 1:], self.into[same + 1:], self.sums[same + 1:]
+        self.word = word
+        entries, exp, log, sums = self.entries, math.exp, math.log, self.sums
+        starts = self.open[same]
+        for j in range(same + 1, len(word) + 1):
+            going, here, single = [], [], False
+            for i in (*starts, j - 1):
                 piece = word[i:j]
                 if piece not in entries:
-                    break
+                    continue
+                going.append(i)
                 w = entries[piece]
                 if w is not None:
-                    into[j].append((i, piece, w))
-                    single = single or j == i + 1
+                    here.append((i, piece, w))
+                    single = i == j - 1
             if not single:
-                into[i + 1].append((i, None, UNKNOWN))
-        return into
-
-    def forward(self, into: list) -> list[float]:
-        exp, log = math.exp, math.log
-        sums = [0.0] * len(into)
-        for j in range(1, len(into)):
-            here = into[j]
+                here.append((j - 1, None, UNKNOWN))
             if len(here) == 1:
-                sums[j] = sums[here[0][0]] + here[0][2]
-                continue
-            terms = [sums[i] + w for i, _, w in here]
-            top = max(terms)
-            sums[j] = top + log(sum([exp(t - top) for t in terms]))
-        return sums
+                sums.append(sums[here[0][0]] + here[0][2])
+            else:
+                terms = [sums[i] + w for i, _, w in here]
+                top = max(terms)
+                sums.append(top + log(sum([exp(t - top) for t in terms])))
+            self.open.append(going)
+            self.into.append(here)
+            starts = going
 
     def log_prob(self, word: str) -> float:
-        return self.forward(self.edges(MARK + word))[-1]
+        self.advance(MARK + word)
+        return self.sums[-1]
 
     def expected(self, word: str, count: float, into_counts: dict) -> None:
         """Add the expected uses of each piece in ``count`` copies of the word."""
-        into = self.edges(MARK + word)
-        ahead = self.forward(into)
+        self.advance(MARK + word)
+        into, ahead, exp = self.into, self.sums, math.exp
         share = [0.0] * len(into)
         share[-1] = count
         for j in range(len(into) - 1, 0, -1):
-            if share[j] <= 0:
+            held = share[j]
+            if held <= 0:
                 continue
-            for i, piece, w in into[j]:
-                use = share[j] * math.exp(ahead[i] + w - ahead[j])
+            edges = into[j]
+            if len(edges) == 1:
+                i, piece, _ = edges[0]
+                share[i] += held
+                if piece is not None:
+                    into_counts[piece] += held
+                continue
+            for i, piece, w in edges:
+                use = held * exp(ahead[i] + w - ahead[j])
                 share[i] += use
                 if piece is not None:
                     into_counts[piece] += use
@@ -166,12 +188,9 @@ def count_words(docs: DataFrame, text_column: str, train: Column,
 
 def fit_pieces(words: DataFrame, weights: dict[str, float], rounds: int = ROUNDS
                ) -> dict[str, float]:
-    """Piece weights after ``rounds`` of expectation maximisation over the training words.
-
-    Each distinct word counts once: the lattice stands in for words that were seldom or never
-    met, and frequent words have their counts.
-    """
-    trained = words.filter("c > 0").select("word")
+    """Piece weights after ``rounds`` of expectation maximisation over the training words, each as
+    often as it was met. Words in sorted order share the sums of their common beginnings."""
+    trained = words.filter("c > 0").select("word", "c")
     for _ in range(rounds):
         shipped = words.sparkSession.sparkContext.broadcast(pickle.dumps(weights))
 
@@ -179,8 +198,8 @@ def fit_pieces(words: DataFrame, weights: dict[str, float], rounds: int = ROUNDS
             lattice = Lattice(pickle.loads(shipped.value))
             uses: dict[str, float] = defaultdict(float)
             for batch in batches:
-                for word in batch["word"].to_pylist():
-                    lattice.expected(word, 1.0, uses)
+                for word, c in zip(batch["word"].to_pylist(), batch["c"].to_pylist()):
+                    lattice.expected(word, float(c), uses)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())],
                 names=["piece", "uses"])
@@ -206,9 +225,9 @@ def word_table(words: DataFrame, weights: dict[str, float]) -> DataFrame:
     return add_columns(words, ["word"], {"lattice": "double"}, start)
 
 
-def best_strength(words: DataFrame, n_tokens: int) -> float:
+def best_strength(words: DataFrame, n_tokens: int, end_share: float) -> float:
     """The strength under which training words, each left out in turn, are most probable."""
-    prior = F.pow(F.lit(10.0), F.col("lattice")) * (1 - END_SHARE)
+    prior = F.pow(F.lit(10.0), F.col("lattice")) * (1 - end_share)
     sums = words.filter("c > 0").agg(*[
         F.sum(F.col("c") * F.log10((F.col("c") - 1 + s * prior + 1e-300)
                                    / (n_tokens - 1 + s))) for s in STRENGTHS]).first()
@@ -218,49 +237,53 @@ def best_strength(words: DataFrame, n_tokens: int) -> float:
 
 def score(docs: DataFrame, vocabulary: str, train: Column, text_column: str = "text",
           shipped_words: int = SHIPPED, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` without the text, with n_tokens, n_known, train_tokens, base_score and score.
+    """``docs`` without the text, with n_tokens, n_known, train_tokens, base_score, score, blend.
 
     ``vocabulary`` is the path of the tokenizer file, ``train`` marks the rows to learn from.
     Columns of ``docs`` under the result's names are replaced.
     """
     spark = docs.sparkSession
-    counted = materialize(count_words(docs, text_column, train), "word-counts")
+    counted = materialize(count_words(docs, text_column, train).orderBy("word"), "word-counts")
     weights = fit_pieces(counted, load_pieces(vocabulary), rounds)
     words = materialize(word_table(counted, weights), "word-lattice")
     facts = words.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0))).first()
     ends = docs.filter(train).count()
     n_tokens = int(facts[0] or 0) + ends
     distinct = int(facts[1] or 0) + (ends > 0)
-    strength = best_strength(words, n_tokens) if n_tokens > 1 else STRENGTHS[0]
+    end_share = (ends + 0.5) / (n_tokens + 1)
+    strength = best_strength(words, n_tokens, end_share) if n_tokens > 1 else STRENGTHS[0]
     base_total = n_tokens + 0.5 * (distinct + 1)
 
     def base_of(c: Column) -> Column:
         return F.log10((c + 0.5) / base_total)
 
-    def model_of(c: Column, lattice: Column) -> Column:
+    def blend_of(c: Column, lattice: Column) -> Column:
         # far below the smallest double the lattice's log is used directly
-        prior = F.pow(F.lit(10.0), lattice) * (strength * (1 - END_SHARE))
-        direct = lattice + math.log10(strength * (1 - END_SHARE))
+        prior = F.pow(F.lit(10.0), lattice) * (strength * (1 - end_share))
+        direct = lattice + math.log10(strength * (1 - end_share))
         return F.when((c == 0) & (lattice < -290), direct).otherwise(
             F.log10(c + prior)) - math.log10(n_tokens + strength)
 
     words = words.select("word", "n", "c", base_of(F.col("c")).alias("base"),
-                         model_of(F.col("c"), F.col("lattice")).alias("model"))
-    top = {r[0].encode("utf-8", "surrogatepass"): (r[1], r[2], r[3]) for r in words.orderBy(F.col("n").desc(), "word").limit(
-        shipped_words).select("word", "c", "base", "model").collect()}
+                         (F.col("lattice") + math.log10(1 - end_share)).alias("model"),
+                         blend_of(F.col("c"), F.col("lattice")).alias("blend"))
+    top = {r[0].encode("utf-8", "surrogatepass"): tuple(r[1:]) for r in words.orderBy(
+        F.col("n").desc(), "word").limit(shipped_words).select(
+        "word", "c", "base", "model", "blend").collect()}
     held = spark.sparkContext.broadcast(pickle.dumps(top))
     end_base = math.log10((ends + 0.5) / base_total)
-    end_model = math.log10((ends + strength * END_SHARE) / (n_tokens + strength))
+    end_model = math.log10(end_share)
+    end_blend = math.log10((ends + strength * end_share) / (n_tokens + strength))
     end_known = int(ends > 0)
 
     def start():
         known = pickle.loads(held.value)
 
         def compute(texts):
-            out = ([], [], [], [], [], [])
+            out = ([], [], [], [], [], [], [])
             for text in texts:
                 counts = Counter(token_bytes(text))
-                total, seen, base, model = 1, end_known, end_base, end_model
+                total, seen, base, model, blend = 1, end_known, end_base, end_model, end_blend
                 rare, times = [], []
                 for word, k in counts.items():
                     total += k
@@ -272,43 +295,46 @@ def score(docs: DataFrame, vocabulary: str, train: Column, text_column: str = "t
                     seen += k if fact[0] else 0
                     base += k * fact[1]
                     model += k * fact[2]
-                for column, value in zip(out, (total, seen, base, model, rare, times)):
+                    blend += k * fact[3]
+                for column, value in zip(out, (total, seen, base, model, blend, rare, times)):
                     column.append(value)
             return out
 
         return compute
 
-    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "blend"]
     own = [c for c in docs.columns if c != text_column and c not in made]
     inner = docs.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(own)],
                         F.col(text_column).alias("body"))
     read = add_columns(inner, ["body"], {
         "n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double",
-        "rare": "array<string>", "times": "array<bigint>"}, start, drop=["body"]).withColumn(
+        "blend": "double", "rare": "array<string>", "times": "array<bigint>"}, start, drop=["body"]).withColumn(
         "row_key", F.monotonically_increasing_id())
     # One row for each rare word; the first also carries what the frequent words gave. Rows
     # without rare words get a key of their own, so they do not meet in one task.
     spread = read.select(
         "row_key", *[f"d{i}" for i in range(len(own))], "n_tokens", "n_known", "base_score",
-        "score", F.posexplode_outer(F.arrays_zip("rare", "times")).alias("pos", "r"))
+        "score", "blend", F.posexplode_outer(F.arrays_zip("rare", "times")).alias("pos", "r"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     spread = spread.select(
         "row_key", F.when(first, F.struct(
             F.lit(1).alias("one"), *[f"d{i}" for i in range(len(own))],
-            "n_tokens", "n_known", "base_score", "score")).alias("head"),
+            "n_tokens", "n_known", "base_score", "score", "blend")).alias("head"),
         F.coalesce("r.rare", F.concat(F.lit(" "), "row_key")).alias("word"),
         F.coalesce("r.times", F.lit(0)).alias("k"))
-    joined = spread.join(words.select("word", "c", "base", "model"), "word", "left")
+    joined = spread.join(words.select("word", "c", "base", "model", "blend"), "word", "left")
     k = F.col("k")
     summed = joined.groupBy("row_key").agg(
         F.max("head").alias("head"),
         F.sum(F.when(F.col("c") > 0, k).otherwise(0)).alias("known"),
         F.coalesce(F.sum(k * F.col("base")), F.lit(0.0)).alias("base"),
-        F.coalesce(F.sum(k * F.col("model")), F.lit(0.0)).alias("model"))
+        F.coalesce(F.sum(k * F.col("model")), F.lit(0.0)).alias("model"),
+        F.coalesce(F.sum(k * F.col("blend")), F.lit(0.0)).alias("blend"))
     return summed.select(
         *[F.col(f"head.d{i}").alias(c) for i, c in enumerate(own)],
         F.col("head.n_tokens").alias("n_tokens"),
         (F.col("head.n_known") + F.col("known")).alias("n_known"),
         F.lit(n_tokens).cast("bigint").alias("train_tokens"),
         (F.col("head.base_score") + F.col("base")).alias("base_score"),
-        (F.col("head.score") + F.col("model")).alias("score"))
+        (F.col("head.score") + F.col("model")).alias("score"),
+        (F.col("head.blend") + F.col("blend")).alias("blend"))
