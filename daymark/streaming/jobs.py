@@ -6,9 +6,13 @@ Rows later than the watermark are dropped here and picked up by the batch merge
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from daymark.functions.exprs import unix_micros_ntz
 from daymark.operators.ensemble import CALM, STRESSED
@@ -48,46 +52,67 @@ def stream_dedup(points: DataFrame, keys: tuple[str, ...] = ("series_id", "ts"),
     return marked.dropDuplicatesWithinWatermark(list(keys)).drop("_event")
 
 
-def stream_regime_alert(hourly: DataFrame, threshold: float, path: str, checkpoint: str
-                        ) -> StreamingQuery:
+LABEL = "series_id string, day date, regime string"
+
+
+def regime_updates(hourly: DataFrame, threshold: float, horizon: str = "35 days") -> DataFrame:
+    """T3. The label of every day that a micro-batch touches, as (series_id, day, regime).
+
+    An hour tells its own day that it exists and the next day what may be its previous peak. The
+    state of a (series, day) is that peak and whether the day was seen, so a batch costs what its
+    own days cost, however many went before. State is given up ``horizon`` after its day; hours
+    later than that change nothing.
+    """
+    day = F.to_date("ts")
+    told = F.array(
+        F.struct(day.alias("day"), F.lit(True).alias("own"), F.lit(None).cast("double").alias("peak")),
+        F.struct(F.date_add(day, 1).alias("day"), F.lit(False).alias("own"),
+                 F.col("y_true").cast("double").alias("peak")))
+    rows = hourly.withColumn("_event", event_time("ts")).withWatermark("_event", horizon).select(
+        "series_id", "_event", F.inline(told))
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+               ) -> Iterator[pd.DataFrame]:
+        series, on = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        peak, seen = state.get if state.exists else (None, False)
+        for pdf in batches:
+            seen = seen or bool(pdf["own"].any())
+            top = pdf["peak"].max()
+            if pd.notna(top):
+                peak = float(top) if peak is None else max(peak, float(top))
+        state.update((peak, seen))
+        end = pd.Timestamp(on, tz="UTC") + pd.Timedelta(days=2)
+        state.setTimeoutTimestamp(max(int(end.timestamp() * 1000),
+                                      state.getCurrentWatermarkMs() + 1))
+        if seen:
+            stressed = peak is not None and peak > threshold
+            yield pd.DataFrame({"series_id": [series], "day": [on],
+                                "regime": [STRESSED if stressed else CALM]})
+
+    return rows.groupBy("series_id", "day").applyInPandasWithState(
+        update, LABEL, "peak double, seen boolean", "update", "EventTimeTimeout")
+
+
+def stream_regime_alert(hourly: DataFrame, threshold: float, path: str, checkpoint: str,
+                        horizon: str = "35 days") -> StreamingQuery:
     """T3. Keep each day's regime label up to date as hours arrive.
 
-    A micro-batch stores its own daily peaks under its batch id, then relabels only the days
-    that follow one of its days. Re-running a batch rewrites the same folders, so a restart
-    cannot count anything twice.
+    Every micro-batch writes its labels under its batch id, so a batch that is run again replaces
+    its own folder and a restart cannot count anything twice.
     """
 
-    def relabel(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        peaks = batch.groupBy("series_id", F.to_date("ts").alias("day")).agg(
-            F.max("y_true").alias("peak"))
-        peaks.write.mode("overwrite").parquet(f"{path}/peaks/batch={batch_id}")
-        mine = spark.read.parquet(f"{path}/peaks/batch={batch_id}").select("series_id", "day")
-        # A day is affected by its own arrival and by a new peak of the day before.
-        touched = mine.unionAll(mine.select("series_id", F.date_add("day", 1))).distinct()
-        every = current_peaks(spark, path, batch_id)
-        before = every.select("series_id", F.date_add("day", 1).alias("day"),
-                              F.col("peak").alias("prev_peak"))
-        label = F.when(F.col("prev_peak") > threshold, STRESSED).otherwise(CALM)
-        (
-            touched.join(every.select("series_id", "day"), ["series_id", "day"], "left_semi")
-            .join(before, ["series_id", "day"], "left")
-            .select("series_id", "day", label.alias("regime"))
-            .write.mode("overwrite").parquet(f"{path}/labels/batch={batch_id}"))
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/labels/batch={batch_id}")
 
     return (
-        hourly.writeStream.foreachBatch(relabel).option("checkpointLocation", checkpoint)
+        regime_updates(hourly, threshold, horizon).writeStream.outputMode("update")
+        .foreachBatch(store).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start())
 
 
-def current_peaks(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame:
-    """Highest hour per day over the stored batches."""
-    rows = spark.read.option("basePath", f"{path}/peaks").parquet(f"{path}/peaks")
-    if up_to is not None:
-        rows = rows.filter(F.col("batch") <= up_to)
-    return rows.groupBy("series_id", "day").agg(F.max("peak").alias("peak"))
-
-
 def current_labels(spark: SparkSession, path: str) -> DataFrame:
     """Newest label per day."""
     rows = spark.read.option("basePath", f"{path}/labels").parquet(f"{path}/labels")

@@ -56,3 +56,24 @@ def test_labels_follow_late_peaks_and_survive_a_replay(spark, tmp_path):
         rows = spark.read.schema(schema).parquet(path).withColumn("origin", F.to_date("ts"))
         want = {r["origin"]: r["regime"] for r in regime_labels(rows, 50.0).collect()}
         assert got == want and got[at(48).date()] == "stressed"
+
+
+def test_a_batch_costs_its_own_days_only(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "series_id string, ts timestamp_ntz, y_true double"
+    n = 20
+    for d in range(n):  # one day a file, every third with a spike
+        _write(spark, path, [("a", at(24 * d + h), 80.0 if d % 3 == 0 and h == 7 else 10.0)
+                             for h in range(24)], schema)
+    query = J.stream_regime_alert(_stream(spark, path, schema), 50.0, out, str(tmp_path / "m"),
+                                  "5 days")
+    query.awaitTermination()
+    steps = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(steps) == n
+    # Two keys a batch, its own day and the next; given-up days leave the state.
+    assert all(p["stateOperators"][0]["numRowsUpdated"] == 2 for p in steps)
+    assert all(p["stateOperators"][0]["numRowsTotal"] <= 12 for p in steps)
+    got = {r["origin"]: r["regime"] for r in J.current_labels(spark, out).collect()}
+    rows = spark.read.schema(schema).parquet(path).withColumn("origin", F.to_date("ts"))
+    assert got == {r["origin"]: r["regime"] for r in regime_labels(rows, 50.0).collect()}
+    assert len(got) == n
