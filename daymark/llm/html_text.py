@@ -11,13 +11,18 @@ no length. Where the body lies in an ``article`` or ``main`` element, all of tha
 are kept: short paragraphs at its ends fall below the threshold but belong to it.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed elements end with
-their parent; pages that pass the threshold nowhere give their longest window.
+their parent; pages that pass the threshold nowhere give their longest window, the first of equal
+ones; repeated rows are extracted each. The work is in proportion to the page, however deep or
+long it is and whatever it leaves open.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -27,16 +32,19 @@ from daymark.llm.words import add_columns
 WINDOW = 3
 #: Characters in a window that make a surge.
 SURGE = 60
-#: A further ``article`` or ``main`` is kept if it has this share of the largest one's characters.
-PART_SHARE = 0.3
 #: An element named like furniture that holds this share of the page's text is none.
 BULK_SHARE = 0.7
 
-_DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(noscript|template|svg|math|title)(?=[\s/>])[^>]*>.*?</\2\s*>"
-    r"|<head(?=[\s/>])[^>]*>.*?(?:</head\s*>|(?=<(?:body|article|main|header|nav|div|section|p|h[1-6]"
-    r"|ul|ol|table|form|footer|aside)(?=[\s/>]))|\Z)", re.S | re.I)
+_RAW = re.compile(r"<!--|<!\[CDATA\[|\]\]>"
+                  r"|<(script|style|noscript|template|svg|math|title|head)(?=[\s/>])", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I)
+         for name in "script style noscript template svg math title".split()}
+#: The end tag of ``head`` may be left out: then the first element of a body ends it.
+_ENDS["head"] = re.compile(
+    r"</head\s*>|(?=<(?:body|article|main|header|nav|div|section|p|h[1-6]|ul|ol|table|form|footer"
+    r"|aside)(?=[\s/>]))", re.I)
+#: These take the rest of the page where they are not closed; the others are then left open.
+_TO_THE_END = frozenset(("script", "style", "head"))
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 _NAMES = frozenset(("class", "id", "role", "aria-label"))
 _ATTRIBUTE = re.compile(
@@ -46,7 +54,7 @@ _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset(
     "nav header footer aside form menu button select textarea option iframe object dialog "
-    "fieldset label canvas audio video".split())
+    "fieldset canvas audio video".split())
 BODY = frozenset(("article", "main"))
 BLOCK = frozenset(
     "address article blockquote body center dd details dir div dl dt fieldset figcaption figure "
@@ -60,6 +68,12 @@ FURNITURE = frozenset(
     "pager pagination popup promo promoted recommended related reply replies respond search share "
     "sharing sidebar sidebars social sponsor sponsored subscribe subscription tags toolbar "
     "topbar widget widgets contentinfo complementary alert".split())
+#: Words that go with those above in the names of boxes, and say nothing of what is in them.
+PLAIN = frozenset(
+    "area articles bar block bottom box button buttons center col column container content "
+    "feed form full group head holder icons inner item items large layer left line link links "
+    "list main media mobile more page panel post posts right row section site slot small stories "
+    "title top unit wrap wrapper zone".split())
 _PIECES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -69,11 +83,25 @@ def _attributes(attributes: str) -> list[tuple[str, str]]:
             for m in _ATTRIBUTE.finditer(attributes)]
 
 
-def is_furniture(attributes: str) -> bool:
-    """Whether class, id, role or label hold a word for furniture."""
-    return bool(attributes) and any(
-        name in _NAMES and FURNITURE.intersection(_PIECES.findall(_CAMEL.sub(" ", value).lower()))
-        for name, value in _attributes(attributes))
+@functools.lru_cache(4096)
+def is_furniture(attributes: str, in_body: bool = False) -> bool:
+    """Whether class, id, role or label hold a word for furniture.
+
+    Inside an ``article`` or ``main`` a part of the text may be named so too ("related-work", or
+    an anchor "share"): there an id does not count, and a class only if it has no other words
+    than those and plain ones.
+    """
+    for name, value in _attributes(attributes):
+        if name not in _NAMES or (in_body and name == "id"):
+            continue
+        whole = [value] if not in_body or name != "class" else value.split()
+        for token in whole:
+            words = _PIECES.findall(_CAMEL.sub(" ", token).lower())
+            if FURNITURE.intersection(words) and (
+                    not in_body or name != "class"
+                    or all(w in FURNITURE or w in PLAIN for w in words)):
+                return True
+    return False
 
 
 def is_hidden(attributes: str) -> bool:
@@ -85,65 +113,115 @@ def is_hidden(attributes: str) -> bool:
         for name, value in _attributes(attributes))
 
 
+def without_raw(page: str) -> str:
+    """The page without comments and the elements whose content is no text, in one pass."""
+    kept, at, nowhere = [], 0, set()
+    for_next: dict[str, re.Match | None] = {}
+    while (m := _RAW.search(page, at)) is not None:
+        name, start = (m[1] or "").lower(), m.end()
+        if not name:
+            kept += [page[at:m.start()], " "]
+            if m[0] == "<!--":
+                end = page.find("-->", start)
+                at = len(page) if end < 0 else end + 3
+            else:
+                at = start
+            continue
+        opened = page.find(">", start)
+        if opened < 0:
+            break
+        if name not in nowhere and (
+                name not in for_next or for_next[name].start() < opened + 1):
+            found = _ENDS[name].search(page, opened + 1)
+            if found is None:
+                nowhere.add(name)
+            else:
+                for_next[name] = found
+        if name in nowhere and name not in _TO_THE_END:
+            kept.append(page[at:opened + 1])
+            at = opened + 1
+            continue
+        kept += [page[at:m.start()], " "]
+        at = len(page) if name in nowhere else for_next[name].end()
+    return "".join([*kept, page[at:]])
+
+
 def page_lines(page: str) -> list[tuple[str, int, int]]:
     """(text, characters outside links, number of the body element or 0) of every block.
 
     An element named like furniture goes unless it is ``article`` or ``main``, holds one, or, on a
     page without either, holds the bulk of the text itself.
     """
-    page = _DROPPED.sub(" ", page)
-    lines, named, holding = _blocks(page)
+    lines, parent, holding = _blocks(without_raw(page))
     total = sum(line[1] for line in lines)
-    own = [0] * len(named)
-    for line in lines:
-        for k in line[3]:
-            own[k] += line[1]
+    own, left = [0] * len(parent), [0] * len(parent)
+    for _, size, _, k in lines:
+        if k >= 0:
+            own[k] += size
     bodies = any(line[2] for line in lines)
     # Innermost first: an element is judged by what its own furniture leaves of it.
-    gone = [False] * len(named)
-    for k in range(len(named) - 1, -1, -1):
-        gone[k] = k not in holding
-        if gone[k] and not bodies and own[k] and own[k] >= BULK_SHARE * total:
-            left = sum(line[1] for line in lines if k in line[3] and not any(
-                gone[j] for j in line[3] if j > k))
-            gone[k] = left < BULK_SHARE * total
-    return [line[:3] for line in lines if not any(gone[k] for k in line[3])]
-
-
-def _blocks(page: str) -> tuple[list[tuple[str, int, int, tuple]], list[tuple], set[int]]:
-    """The blocks with the furniture-named elements around them; those around each such element;
-    and the ones that hold an ``article`` or ``main``."""
-    lines: list[tuple[str, int, int, tuple]] = []
-    named: list[tuple] = []
+    gone = [False] * len(parent)
+    for k in range(len(parent) - 1, -1, -1):
+        left[k] += own[k]
+        gone[k] = k not in holding and (bodies or left[k] < BULK_SHARE * total or not left[k])
+        if parent[k] >= 0 and not gone[k]:
+            left[parent[k]] += left[k]
+    for k, up in enumerate(parent):
+        gone[k] = gone[k] or (up >= 0 and gone[up])
+    return [line[:3] for line in lines if line[3] < 0 or not gone[line[3]]]
+
+
+class _Open(NamedTuple):
+    """An open element: what holds inside it, and the places of open paragraphs and list items."""
+
+    name: str
+    skip: bool       # left out
+    body: int        # number of the body element around, or 0
+    furniture: int   # number of the innermost element named like furniture, or -1
+    links: int       # open links
+    paragraph: int   # place of an open p with no block in between, or -1
+    item: int        # place of an open li with no list in between, or -1
+
+
+_PAGE = _Open("", False, 0, -1, 0, -1, -1)
+_INLINE = frozenset(("p", "b", "i", "em", "strong", "span", "a"))
+
+
+def _blocks(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], set[int]]:
+    """The blocks with the innermost furniture-named element around them; the one around each such
+    element, or -1; and those that hold an ``article`` or ``main``."""
+    lines: list[tuple[str, int, int, int]] = []
+    parent: list[int] = []
     holding: set[int] = set()
-    stack: list[tuple[str, bool, int, tuple]] = []  # name, left out, body element, named around
+    stack: list[_Open] = []
+    open_names: Counter = Counter()
     parts: list[str] = []
-    linked = 0
-    bodies = 0
-    skip, body, links, around = False, 0, 0, ()
+    linked = bodies = 0
+    now = _PAGE
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), body, around))
+                lines.append((text, max(0, len(text) - linked), now.body, now.furniture))
             parts, linked = [], 0
 
     def text_of(piece: str):
         nonlocal linked
-        if piece and not skip:
+        if piece and not now.skip:
             parts.append(piece)
-            if links:
+            if now.links:
                 linked += len(piece.strip())
 
-    def settle():
-        nonlocal skip, body, links, around
-        skip, body, around = stack[-1][1:] if stack else (False, 0, ())
-        links = sum(1 for s in stack if s[0] == "a")
+    def close(place: int):
+        nonlocal now
+        while len(stack) > place:
+            open_names[stack.pop().name] -= 1
+        now = stack[-1] if stack else _PAGE
 
-    at = 0
-    for m in _TAG.finditer(page):
+    at, last = 0, page.rfind(">")
+    for m in _TAG.finditer(page, 0, last + 1):
         text_of(page[at:m.start()])
         at = m.end()
         if m[2] is None:
@@ -151,47 +229,43 @@ def _blocks(page: str) -> tuple[list[tuple[str, int, int, tuple]], list[tuple],
         closing, name, attributes = m[1] == "/", m[2].lower(), m[3]
         if name in BLOCK:
             flush()
-        elif name in ("br", "td", "th") and not skip:
+        elif name in ("br", "td", "th") and not now.skip:
             parts.append(" ")
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-                settle()
+            if open_names[name] > 0:
+                place = len(stack) - 1
+                while stack[place].name != name:
+                    place -= 1
+                close(place)
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        if name in BLOCK and stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a"):
-            # a block ends an open paragraph and what is still open in it
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if name == "li":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "li":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol"):
-                    break
-        settle()
-        inside = skip or name in NOISE or is_hidden(attributes)
-        if name in BODY and not inside:
+        if name in BLOCK and now.name in _INLINE and now.paragraph >= 0:
+            close(now.paragraph)  # a block ends an open paragraph and what is still open in it
+        if name == "li" and now.item >= 0:
+            close(now.item)
+        skip = now.skip or name in NOISE or is_hidden(attributes)
+        body, furniture, place = now.body, now.furniture, len(stack)
+        if name in BODY and not skip:
             bodies += 1
             body = body or bodies
-            holding.update(around)
-        elif not inside and name not in ("html", "body") and is_furniture(attributes):
+            up = furniture
+            while up >= 0 and up not in holding:
+                holding.add(up)
+                up = parent[up]
+        elif not skip and name not in ("html", "body") and is_furniture(attributes, body > 0):
             flush()
-            named.append(around)
-            around = (*around, len(named) - 1)
-        stack.append((name, inside, body, around))
-        skip = inside
-        links += name == "a"
+            parent.append(furniture)
+            furniture = len(parent) - 1
+        now = _Open(
+            name, skip, body, furniture, now.links + (name == "a"),
+            place if name == "p" else -1 if name in BLOCK else now.paragraph,
+            place if name == "li" else -1 if name in ("ul", "ol") else now.item)
+        stack.append(now)
+        open_names[name] += 1
     text_of(page[at:])
     flush()
-    return lines, named, holding
+    return lines, parent, holding
 
 
 def body_range(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -230,13 +304,8 @@ def main_text(page: str | None) -> str:
         while end < last and lengths[end]:
             end += 1
         chosen.update(range(start, end))
-    holders: dict[int, int] = {}
-    for i in chosen:
-        holders[lines[i][2]] = holders.get(lines[i][2], 0) + lengths[i]
-    inside = {k: v for k, v in holders.items() if k}
-    if inside:
-        most = max(inside.values())
-        named = {k for k, v in inside.items() if v >= PART_SHARE * most}
+    named = {lines[i][2] for i in chosen if lines[i][2] and lengths[i]}
+    if named:
         chosen = {i for i, line in enumerate(lines) if line[2] in named}
     return "\n".join(lines[i][0] for i in sorted(chosen))
 

@@ -659,3 +659,48 @@ def test_word_counts_do_not_depend_on_what_a_task_holds(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("piece", [
+    '<div class="ad">x ', "<svg>x ", "<p><span>x ", "<a href=u>x ", "<li>x ", "</b><i>x ", "<!-- x ",
+    "<head>x ", "<noscript x", "<div><p>x</span> ", "<article><div id=ad>x "])
+def test_long_and_deep_pages_take_time_in_proportion(piece):
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        html_text.main_text(piece * (n // len(piece)))
+        return time.perf_counter() - start
+
+    took(20_000)
+    assert took(400_000) < max(60 * took(20_000), 3.0)
+
+
+def test_nothing_of_an_article_is_lost_to_names():
+    words = "Plain words of a long paragraph that belongs to the story and nothing else at all. "
+    page = (f"<body><article><p>{words * 2}</p><p id='share'>Anchored part. {words}</p>"
+            f"<section class='related-work'><p>Earlier work. {words}</p></section>"
+            "<p>See the <label>labelled words</label> and more.</p>"
+            "<div class='share-buttons'>Tweet this</div><div class='related'>Other news</div>"
+            "</article><article><p>A short second piece.</p></article></body>")
+    text = html_text.main_text(page)
+    for part in ("Anchored part.", "Earlier work.", "See the labelled words and more.",
+                 "A short second piece."):
+        assert part in text
+    assert "Tweet" not in text and "Other news" not in text
+
+
+def test_window_sums_and_range_match_a_plain_version():
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 5, 20, 40, 90]) for _ in range(rng.randrange(25))]
+        sums = [sum(lengths[i:i + 3]) for i in range(len(lengths))]
+        high = [i for i, s in enumerate(sums) if s >= 60]
+        want = []
+        if high:
+            dive = next((i for i in range(high[-1], len(sums)) if sums[i] < 60), len(sums))
+            want = [(high[0], dive)]
+        elif any(sums):
+            best = sums.index(max(sums))
+            want = [(best, min(len(sums), best + 3))]
+        assert html_text.body_range(lengths) == want
