@@ -1,10 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token weights are raked to three marginals: source, language and topic. The fitted weight of a
-document is a product of one factor per margin. A sweep takes the three margins in turn. Sources
-may be many, languages and topics are few: the table of tokens by source, one column for each
-language and topic, is written once, and a sweep is one aggregation over it that returns the
-sums by language and topic under the current factors; source factors stay expressions of those.
+document is a product of one factor per margin. A sweep takes the three margins in turn. The table
+of tokens by source, with an array of its languages and topics, is written once; a sweep is one
+pass over it, in which a task adds up its sources to one sum for each pair of language and topic.
+These sums are all that reaches the driver, and source factors follow from the others. A driver
+holds some hundred bytes for each pair of language and topic, however many sources there are.
 
 Documents are then sampled. Without a ``rate`` the probability is ``weight / largest weight``:
 expected tokens of the sample have exactly the fitted shares, but the rarest cell sets its size.
@@ -13,9 +14,6 @@ there are: probabilities are ``scale * weight`` clipped at 1, a cell that is cli
 whole, and the scale is solved so that the others fill the rate in their fitted proportions. The
 draw is a hash of the id: the same document gets the same draw in every run.
 
-With over ``MAX_PAIRS`` pairs of language and topic, factors are kept in tables and each margin is
-a join and an aggregation; the fit is the same.
-
 Targets: a tempered share ``share ** temperature`` (rescaled to one) for every margin, or a given
 dictionary for languages and topics. Values a given dictionary does not name get weight zero.
 
@@ -28,6 +26,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +37,6 @@ from daymark.session import materialize
 TEMPERATURE = 0.85
 SWEEPS = 25
 TOLERANCE = 1e-10
-#: Languages times topics that one row of the source table may hold; beyond, factors are tables.
-MAX_PAIRS = 4096
 #: Words and the text patterns of the topics, first match first.
 TOPICS = (("table", r" \| "), ("code", r'token = "'), ("notice", r"(?i)licen[sc]e|copyright"))
 OTHER = "prose"
@@ -77,118 +75,78 @@ def fit_factors(cells: DataFrame, lang_target: Mapping[str, float] | None = None
                 temperature: float = TEMPERATURE, sweeps: int = SWEEPS,
                 tolerance: float = TOLERANCE) -> DataFrame:
     """(source, lang, topic, weight) for every cell of ``cells`` (source, lang, topic, tokens)."""
-    cells = cells.filter("tokens > 0")
-    pairs = [(r[0], r[1], float(r[2])) for r in
-             cells.groupBy("lang", "topic").agg(F.sum("tokens")).limit(MAX_PAIRS + 1).collect()]
-    if len(pairs) > MAX_PAIRS:
-        return _fit_tables(cells, {"lang": lang_target, "topic": topic_target}, temperature,
-                           sweeps, tolerance)
+    cells = cells.filter("tokens > 0").select(
+        "source", "lang", "topic", F.col("tokens").cast("double").alias("tokens"))
+    pairs = sorted((r[0], r[1], float(r[2])) for r in
+                   cells.groupBy("lang", "topic").agg(F.sum("tokens")).collect())
     if not pairs:
         return cells.select("source", "lang", "topic", F.lit(1.0).alias("weight"))
-    pairs.sort()
-    sums: dict[str, dict[str, float]] = {"lang": {}, "topic": {}}
-    for lang, topic, tokens in pairs:
-        sums["lang"][lang] = sums["lang"].get(lang, 0.0) + tokens
-        sums["topic"][topic] = sums["topic"].get(topic, 0.0) + tokens
-    target = {
-        "lang": dict(lang_target or _tempered(sums["lang"], temperature)),
-        "topic": dict(topic_target or _tempered(sums["topic"], temperature))}
-    factor = {margin: {v: 1.0 for v in sums[margin]} for margin in sums}
-
-    by_source = cells.groupBy("source").agg(F.sum("tokens").cast("double").alias("all_tokens"), *[
-        F.coalesce(F.sum(F.when((F.col("lang") == lang) & (F.col("topic") == topic),
-                                F.col("tokens"))), F.lit(0)).cast("double").alias(f"t{i}")
-        for i, (lang, topic, _) in enumerate(pairs)])
-    by_source = materialize(by_source, "tokens-by-source")
-    total = sum(p[2] for p in pairs)
-    norm = by_source.agg(F.sum(F.pow(F.col("all_tokens") / total, temperature))).first()[0]
-    wanted = F.pow(F.col("all_tokens") / total, temperature) / norm
-
-    def source_factor() -> Column:
-        weighted = sum((F.col(f"t{i}") * (factor["lang"][lang] * factor["topic"][topic])
-                        for i, (lang, topic, _) in enumerate(pairs)), F.lit(0.0))
-        return F.when(weighted > 0, wanted / weighted).otherwise(0.0)
+    tokens = np.array([p[2] for p in pairs])
+    total = float(tokens.sum())
+    #: By margin: its values, the number of the value of each pair, and what is wanted of it.
+    values, at, target = {}, {}, {}
+    for margin, part, given in (("lang", 0, lang_target), ("topic", 1, topic_target)):
+        values[margin], at[margin] = np.unique([p[part] for p in pairs], return_inverse=True)
+        sums = np.bincount(at[margin], tokens)
+        wanted = dict(given or _tempered(dict(zip(values[margin], sums, strict=True)), temperature))
+        target[margin] = np.array([wanted.get(v, 0.0) for v in values[margin]])
+    factor = {m: np.ones(len(v)) for m, v in values.items()}
+    number = F.struct("lang", "topic", "tokens")
+    by_source = cells.groupBy("source").agg(
+        F.sum("tokens").alias("all_tokens"), F.sort_array(F.collect_list(number)).alias("cells"))
+    by_source = materialize(by_source.select(
+        "source", F.pow(F.col("all_tokens") / total, temperature).alias("power"),
+        F.transform("cells", lambda c: c["lang"]).alias("langs"),
+        F.transform("cells", lambda c: c["topic"]).alias("topics"),
+        F.transform("cells", lambda c: c["tokens"]).alias("tokens")), "tokens-by-source")
+    norm = float(by_source.agg(F.sum("power")).first()[0])
+    place = by_source.sparkSession.sparkContext.broadcast(
+        {(p[0], p[1]): i for i, p in enumerate(pairs)})
+
+    def by_pair() -> np.ndarray:
+        return factor["lang"][at["lang"]] * factor["topic"][at["topic"]]
+
+    def rows_of(batches, known, weights):
+        """(source, numbers of its pairs, their tokens, source factor)."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = np.array([known[p] for p in zip(r["langs"], r["topics"], strict=True)])
+                held = np.array(r["tokens"])
+                met = float(held @ weights[own])
+                yield r, own, held, r["power"] / norm / met if met > 0 else 0.0
+
+    def sums_by_pair(weights: np.ndarray) -> np.ndarray:
+        n = len(pairs)
+
+        def run(batches):
+            out = np.zeros(n)
+            for _, own, held, a in rows_of(batches, place.value, weights):
+                out[own] += a * held
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["s"])
+
+        parts = by_source.mapInArrow(run, "s binary").collect()  # one row a task
+        return sum((np.frombuffer(r[0]) for r in parts), np.zeros(n))
 
     for _ in range(sweeps):
-        row = by_source.withColumn("a", source_factor()).agg(*[
-            F.sum(F.col("a") * F.col(f"t{i}")) for i in range(len(pairs))]).first()
-        held = dict(zip([(p[0], p[1]) for p in pairs], row))
-        moved = 0.0
-        for margin, at in (("lang", 0), ("topic", 1)):
-            other = "topic" if margin == "lang" else "lang"
-            have: dict[str, float] = {}
-            for pair, amount in held.items():
-                have[pair[at]] = have.get(pair[at], 0.0) + (
-                    amount * factor[margin][pair[at]] * factor[other][pair[1 - at]])
-            for value, amount in have.items():
-                want = target[margin].get(value, 0.0)
-                moved = max(moved, abs(amount - want))
-                if amount > 0:
-                    factor[margin][value] *= want / amount
+        held, moved = sums_by_pair(by_pair()), 0.0
+        for margin in ("lang", "topic"):
+            have = np.bincount(at[margin], held * by_pair(), len(values[margin]))
+            moved = max(moved, float(np.abs(have - target[margin]).max()))
+            factor[margin] = factor[margin] * np.where(
+                have > 0, target[margin] / np.where(have > 0, have, 1.0), 1.0)
         if moved < tolerance:
             break
-    cell = [F.struct(F.lit(lang).alias("lang"), F.lit(topic).alias("topic"),
-                     (F.col("a") * (factor["lang"][lang] * factor["topic"][topic])
-                      * total).alias("weight"), F.col(f"t{i}").alias("tokens"))
-            for i, (lang, topic, _) in enumerate(pairs)]
-    return (
-        by_source.withColumn("a", source_factor())
-        .select("source", F.explode(F.array(*cell)).alias("c"))
-        .filter("c.tokens > 0").select("source", "c.lang", "c.topic", "c.weight"))
-
-
-def _fit_tables(cells: DataFrame, given: Mapping[str, Mapping[str, float] | None],
-                temperature: float, sweeps: int, tolerance: float) -> DataFrame:
-    """``fit_factors`` for any number of languages and topics: targets and factors are tables."""
-    spark = cells.sparkSession
-    cells = materialize(cells.select("source", "lang", "topic",
-                                     F.col("tokens").cast("double").alias("tokens")), "mix-cells")
-    total = cells.agg(F.sum("tokens")).first()[0]
-
-    def wanted(margin: str) -> DataFrame:
-        held = cells.groupBy(margin).agg(F.sum("tokens").alias("t"))
-        if given.get(margin):
-            named = spark.createDataFrame(list(given[margin].items()), f"{margin} string, w double")
-            return held.join(named, margin, "left").select(
-                margin, F.coalesce("w", F.lit(0.0)).alias("want"))
-        power = F.pow(F.col("t") / total, temperature)
-        norm = held.agg(F.sum(power)).first()[0]
-        return held.select(margin, (power / norm).alias("want"))
-
-    target = {m: materialize(wanted(m), f"want-{m}") for m in ("source", "lang", "topic")}
-    factor = {m: target[m].select(m, F.lit(1.0).alias(f"f_{m}")) for m in ("lang", "topic")}
-
-    def refit(margin: str) -> tuple[DataFrame, float]:
-        """The factors of a margin that meet its targets under the other factors, and how far it
-        was off."""
-        frame, product = cells, F.col("tokens")
-        for m in factor:
-            if m != margin:
-                frame = frame.join(factor[m], m)
-                product = product * F.col(f"f_{m}")
-        sums = frame.groupBy(margin).agg(F.sum(product).alias("have")).join(target[margin], margin)
-        if margin in factor:
-            sums = sums.join(factor[margin].withColumnRenamed(f"f_{margin}", "old"), margin)
-        else:
-            sums = sums.withColumn("old", F.lit(0.0))
-        new = materialize(sums.select(
-            margin, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(
-                F.lit(0.0)).alias(f"f_{margin}"),
-            F.abs(F.col("have") * F.col("old") - F.col("want")).alias("off")), f"factor-{margin}")
-        return new.drop("off"), new.agg(F.max("off")).first()[0]
+    weights = by_pair()
 
-    for _ in range(sweeps):
-        factor["source"], _ = refit("source")
-        factor["lang"], first = refit("lang")
-        factor["topic"], second = refit("topic")
-        if max(first, second) < tolerance:
-            break
-    factor["source"], _ = refit("source")
-    frame, product = cells, F.lit(float(total))
-    for m in factor:
-        frame = frame.join(factor[m], m)
-        product = product * F.col(f"f_{m}")
-    return frame.select("source", "lang", "topic", product.alias("weight"))
+    def spread(batches):
+        for r, own, _, a in rows_of(batches, place.value, weights):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["source"]] * len(own), pa.string()), pa.array(r["langs"], pa.string()),
+                 pa.array(r["topics"], pa.string()), pa.array(a * weights[own] * total)],
+                names=["source", "lang", "topic", "weight"])
+
+    return by_source.mapInArrow(
+        spread, "source string, lang string, topic string, weight double")
 
 
 def scale_for(weights: DataFrame, rate: float) -> float:

@@ -332,17 +332,50 @@ def test_a_stray_row_does_not_set_the_sample(spark):
     assert abs(left / len(stray) - corpus_pipeline.MIX_RATE) < 0.05
 
 
-def test_many_pairs_fit_alike(spark, monkeypatch):
+def test_five_thousand_pairs_meet_their_margins(spark):
+    rng = random.Random(9)
+    cells = {(f"s{rng.randrange(20)}", f"l{k}", t): rng.randrange(1, 500)
+             for k in range(2500) for t in ("a", "b")}
+    cells |= {(f"s{s}", f"l{k}", t): rng.randrange(1, 500)
+              for s in range(20) for k in range(5) for t in ("a", "b")}
+    table = spark.createDataFrame([(*c, n) for c, n in cells.items()],
+                                  "source string, lang string, topic string, tokens bigint")
+    got = {tuple(r)[:3]: r["weight"] for r in mixing.fit_factors(table, sweeps=60).collect()}
+    assert got.keys() == cells.keys()
+    total = sum(cells.values())
+    for at in range(3):
+        have, want = Counter(), Counter()
+        for c, n in cells.items():
+            have[c[at]] += n * got[c] / total
+            want[c[at]] += n / total
+        norm = sum(v ** mixing.TEMPERATURE for v in want.values())
+        assert all(abs(have[v] - want[v] ** mixing.TEMPERATURE / norm) < 1e-6 for v in want)
+
+
+def test_factors_match_a_plain_raking(spark):
     rng = random.Random(9)
     cells = [(f"s{s}", f"l{k}", t, rng.randrange(1, 500)) for s in range(3) for k in range(4)
              for t in ("a", "b") if rng.random() < 0.9]
     table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
-    weight = lambda found: {tuple(r)[:3]: r["weight"] for r in found.collect()}
-    want = weight(mixing.fit_factors(table, sweeps=3))
-    monkeypatch.setattr(mixing, "MAX_PAIRS", 5)
-    got = weight(mixing.fit_factors(table, sweeps=3))
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 * want[k] for k in want)
+    got = {tuple(r)[:3]: r["weight"] for r in mixing.fit_factors(table, sweeps=3).collect()}
+    total = sum(c[3] for c in cells)
+    mass = {c[:3]: float(c[3]) for c in cells}
+
+    def rake(at):
+        share, have = Counter(), Counter()
+        for c in cells:
+            share[c[at]] += c[3] / total
+            have[c[at]] += mass[c[:3]]
+        norm = sum(v ** mixing.TEMPERATURE for v in share.values())
+        for c in cells:
+            mass[c[:3]] *= share[c[at]] ** mixing.TEMPERATURE / norm / have[c[at]]
+
+    for _ in range(3):
+        for at in range(3):
+            rake(at)
+    rake(0)
+    assert got.keys() == mass.keys()
+    assert all(abs(got[c[:3]] - mass[c[:3]] * total / c[3]) < 1e-9 * got[c[:3]] for c in cells)
 
 
 # ---- toxicity -----------------------------------------------------------------------------
