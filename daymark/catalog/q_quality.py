@@ -58,8 +58,7 @@ LEFT JOIN (SELECT series_id, date_trunc('hour', ts) AS ts, avg(price) AS price,
            FROM quarter_mean GROUP BY 1, 2) h USING (series_id, ts)
 JOIN expected e USING (series_id)""", _EXPECTED))
 def _(spark, d):
-    quarters = series.quarter_mean(spark, d)
-    return quality.resample_hourly(quarters, quality.observations_per_hour(quarters))
+    return quality.resample_hourly(series.quarter_mean(spark, d))
 
 
 @query("q4_sum_components", "series_id, ts:d, value:6", """

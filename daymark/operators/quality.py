@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from daymark.functions.exprs import non_negative_root, ratio, unix_micros_ntz
 from daymark.operators.ordered import attach
+from daymark.session import materialize
 from daymark.sources.series import fill_days, fill_hours
 
 HOUR_MICROS = 3_600_000_000
@@ -47,47 +48,103 @@ def trim_trailing_nulls(df: DataFrame, value: str = "price") -> DataFrame:
     return attach(df, last, ["series_id"], "ts").filter("ts <= _last").drop("_last")
 
 
-def step_counts(df: DataFrame) -> DataFrame:
-    """(series_id, step in microseconds, n): spacing of consecutive distinct timestamps.
+def with_steps(points: DataFrame) -> DataFrame:
+    """Adds ``step``, the microseconds since the point before it on the same day, and ``edges``.
+
+    ``points`` has one row per (series, ts). Only the first point of a day has no step; it carries
+    the day's first and last instant, so that steps across days need no second read.
+    """
+    day = Window.partitionBy(*SERIES_DAY).orderBy("us")
+    whole = day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    step = F.col("us") - F.lag("us").over(day)
+    edges = F.array("us", F.last("us").over(whole))
+    timed = points.withColumns({"day": F.to_date("ts"), "us": unix_micros_ntz("ts")})
+    return timed.withColumn("step", step).withColumn(
+        "edges", F.when(F.col("step").isNull() & F.col("us").isNotNull(), edges))
+
+
+def merge_steps(rows: DataFrame, n: Column, facts: dict[str, Column] | None = None) -> DataFrame:
+    """(series_id, step, n, facts): all steps of a series, those across days included.
 
-    Steps inside a day come from a window over (series, day); steps across days from one row
-    per day, so no task sees a whole sub-hourly series.
+    ``n`` counts steps; ``facts`` are aggregates that merge under their own name. Every series has
+    a row without a step, whose n is 0. What meets in one row is two instants a day and series.
     """
-    points = df.select(
-        "series_id", F.to_date("ts").alias("day"), unix_micros_ntz("ts").alias("us"))
-    points = points.distinct()
-    w_day = Window.partitionBy(*SERIES_DAY).orderBy("us")
-    inner = points.select(
-        "series_id", (F.col("us") - F.lag("us").over(w_day)).alias("step"))
-    edges = points.groupBy(*SERIES_DAY).agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    w_series = Window.partitionBy("series_id").orderBy("day")
-    outer = edges.select("series_id", (F.col("lo") - F.lag("hi").over(w_series)).alias("step"))
-    steps = inner.unionAll(outer).filter("step > 0")
-    return steps.groupBy("series_id", "step").agg(F.count(F.lit(1)).alias("n"))
+    facts = facts or {}
+    merged = [c.alias(name) for name, c in facts.items()]
+    parts = rows.groupBy("series_id", "step").agg(
+        n.alias("n"), F.sort_array(F.flatten(F.collect_list("edges"))).alias("edges"), *merged)
+    # Sorted edges read first, last, first, last: a step leads from each last to the next first.
+    gaps = """filter(transform(edges, (x, i) -> if(i > 0 and i % 2 = 0, x - edges[i - 1], null)),
+              x -> x is not null)"""
+    counted = parts.select("series_id", *facts, F.posexplode(F.expr(
+        f"concat(array(struct(step, n)), transform({gaps}, x -> struct(x as step, 1L as n)))")))
+    return counted.select(
+        "series_id", "col.step", "col.n",
+        *[F.when(F.col("pos") == 0, F.col(name)).alias(name) for name in facts],
+    ).groupBy("series_id", "step").agg(F.sum("n").alias("n"), *merged)
+
+
+def feed_state(df: DataFrame, value: str = "price") -> DataFrame:
+    """What Q2 and Q3 need of a feed, from one read: one row per (series, day, hour, step).
+
+    ``n`` counts the steps, ``total`` and ``known`` are the sum and number of the values. A regular
+    feed leaves one or two rows an hour; points of a day are ordered in a window that can spill.
+    """
+    points = df.groupBy("series_id", "ts").agg(
+        F.sum(value).alias("total"), F.count(value).alias("known"))
+    return with_steps(points).groupBy(*SERIES_DAY, F.hour("ts").alias("hour"), "step").agg(
+        F.count("step").alias("n"), F.first("edges", ignorenulls=True).alias("edges"),
+        F.sum("total").alias("total"), F.sum("known").alias("known"))
+
+
+def step_counts(df: DataFrame) -> DataFrame:
+    """(series_id, step in microseconds, n): spacing of consecutive distinct timestamps."""
+    points = with_steps(df.select("series_id", "ts").distinct())
+    return merge_steps(points, F.count("step")).filter("step is not null")
+
+
+def modal_step() -> Column:
+    """Most frequent step of a group of (step, n) rows, the smallest on a tie."""
+    return F.min_by("step", F.when(F.col("step").isNotNull(), F.struct(-F.col("n"), F.col("step"))))
+
+
+def points_of_step(step: Column) -> Column:
+    """Points that an hour holds at this step, one where no step is known."""
+    expected = F.when(step > HOUR_MICROS, 1).otherwise(
+        F.greatest(F.lit(1), F.rint(HOUR_MICROS / step)))
+    return F.coalesce(expected, F.lit(1)).cast("int")
+
+
+def _expected(state: DataFrame) -> DataFrame:
+    steps = merge_steps(state, F.sum("n")).groupBy("series_id").agg(modal_step().alias("step"))
+    return steps.select("series_id", points_of_step(F.col("step")).alias("expected"))
 
 
 def observations_per_hour(df: DataFrame) -> DataFrame:
-    """Q2. Points a complete hour holds, from the modal step (smallest on a tie)."""
-    steps = step_counts(df).groupBy("series_id").agg(
-        F.min_by("step", F.struct(-F.col("n"), F.col("step"))).alias("step"))
-    expected = F.when(F.col("step") > HOUR_MICROS, 1).otherwise(
-        F.greatest(F.lit(1), F.rint(HOUR_MICROS / F.col("step"))))
-    known = df.select("series_id").distinct()
-    return known.join(steps, "series_id", "left").select(
-        "series_id", F.coalesce(expected, F.lit(1)).cast("int").alias("expected"))
+    """Q2. Points a complete hour holds, from the modal step (smallest on a tie). One read."""
+    value = F.lit(None).cast("double")
+    return _expected(feed_state(df.select("series_id", "ts", value.alias("_value")), "_value"))
 
 
-def resample_hourly(df: DataFrame, expected: DataFrame, value: str = "price") -> DataFrame:
+def resample_hourly(df: DataFrame, expected: DataFrame | None = None, value: str = "price"
+                    ) -> DataFrame:
     """Q3. Hourly mean, NULL unless the hour holds every expected point.
 
-    Hours between the first and last point that hold nothing appear as NULL.
+    Hours between the first and last point that hold nothing appear as NULL. Without ``expected``
+    the points of a complete hour are learned as in Q2; the feed is still read once, its state is
+    written and both questions are answered from that.
     """
-    hours = with_day_hour(df).groupBy("series_id", "day", "hour").agg(
-        F.avg(value).alias("_mean"), F.count(value).alias("_n"))
-    full = fill_hours(hours, ["_mean", "_n"])
+    state = feed_state(df.select("series_id", "ts", value), value)
+    if expected is None:
+        state = materialize(state, "feed-state")
+        expected = _expected(state)
+    hours = state.filter("day is not null").groupBy(*SERIES_DAY, "hour").agg(
+        F.sum("total").alias("_sum"), F.sum("known").alias("_n"))
+    full = fill_hours(hours, ["_sum", "_n"])
     complete = F.col("_n") >= F.col("expected")
+    mean = ratio(F.col("_sum"), F.col("_n"))
     return attach(full, expected, ["series_id"], "ts").select(
-        "series_id", "ts", F.when(complete, F.col("_mean")).alias(value))
+        "series_id", "ts", F.when(complete, mean).alias(value))
 
 
 def sum_components(parts: DataFrame, n_components: int, component: str = "component") -> DataFrame:
@@ -129,37 +186,50 @@ def validate_upload(raw: DataFrame, required: Sequence[str] = ("price", "exog_1"
     All value columns arrive as strings. The detail names the first offending value, or the
     modal spacing for a non-hourly table.
     """
-    empty = raw.sparkSession.createDataFrame([], "series_id string, rule string, detail string, n bigint")
     missing = [c for c in (time_column, *required) if c not in raw.columns]
     if missing:
         names = F.lit(", ".join(missing))
         return raw.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).select(
             "series_id", F.lit("missing columns").alias("rule"), names.alias("detail"), "n")
-    df = raw.withColumn("ts", F.expr(f"try_cast({time_column} as timestamp_ntz)"))
-    bad_time = df.filter("ts is null").groupBy("series_id").agg(
-        F.min(time_column).alias("detail"), F.count(F.lit(1)).alias("n"),
-    ).select("series_id", F.lit("unparseable timestamp").alias("rule"), "detail", "n")
-    dupes = (
-        df.filter("ts is not null").groupBy("series_id", "ts").count().filter("count > 1")
-        .groupBy("series_id")
-        .agg(F.min("ts").cast("string").alias("detail"), F.count(F.lit(1)).alias("n"))
-        .select("series_id", F.lit("duplicate timestamp").alias("rule"), "detail", "n")
-    )
-    out = empty.unionAll(bad_time).unionAll(dupes)
-    for name in required:
-        wrong = df.filter(F.col(name).isNotNull() & F.expr(f"try_cast({name} as double) is null"))
-        out = out.unionAll(wrong.groupBy("series_id").agg(
-            F.min_by(name, F.struct("ts", name)).alias("detail"), F.count(F.lit(1)).alias("n"),
-        ).select("series_id", F.lit(f"not numeric: {name}").alias("rule"), "detail", "n"))
-    steps = step_counts(df.filter("ts is not null"))
-    spacing = steps.groupBy("series_id").agg(
-        F.min_by("step", F.struct(-F.col("n"), F.col("step"))).alias("modal"),
-        F.sum(F.when(F.col("step") != HOUR_MICROS, F.col("n")).otherwise(0)).alias("n"),
-    ).filter("n > 0").select(
-        "series_id", F.lit("not hourly").alias("rule"),
-        F.concat((F.col("modal") / 1_000_000).cast("bigint").cast("string"),
-                 F.lit(" s")).alias("detail"), "n")
-    return out.unionAll(spacing)
+    return _violations(raw, required, time_column)
+
+
+def _violations(raw: DataFrame, required: Sequence[str], time_column: str) -> DataFrame:
+    """Every rule of S9 from one read: facts per timestamp, then per step, then per series."""
+    ts = F.expr(f"try_cast({time_column} as timestamp_ntz)")
+    row = F.count(F.lit(1))
+    wrong = {f"_{i}": F.col(name).isNotNull() & F.expr(f"try_cast({name} as double) is null")
+             for i, name in enumerate(required)}
+    text = {f"_{i}": F.col(name) for i, name in enumerate(required)}
+    points = raw.select(
+        "series_id", ts.alias("ts"), F.col(time_column).alias("_time"),
+        *[F.when(bad, text[k]).alias(k) for k, bad in wrong.items()],
+    ).groupBy("series_id", "ts").agg(
+        row.alias("copies"), F.min("_time").alias("_time"),
+        *[F.count(k).alias(f"n{k}") for k in wrong], *[F.min(k).alias(k) for k in wrong])
+    timed, repeated = F.col("ts").isNotNull(), F.col("copies") > 1
+    facts = with_steps(points).select(
+        "series_id", "step", "edges",
+        F.when(~timed, F.col("copies")).alias("n_bad"), F.when(~timed, F.col("_time")).alias("bad"),
+        F.when(timed & repeated, 1).alias("n_dup"), F.when(timed & repeated, F.col("ts")).alias("dup"),
+        *[f"n{k}" for k in wrong],
+        *[F.when(F.col(k).isNotNull(), F.struct("ts", k)).alias(k) for k in wrong])
+    sums = ["n_bad", "n_dup", *[f"n{k}" for k in wrong]]
+    merge = {c: F.sum(c) for c in sums} | {c: F.min(c) for c in ("bad", "dup", *wrong)}
+    steps = merge_steps(facts, F.count("step"), merge)
+    series = steps.groupBy("series_id").agg(
+        modal_step().alias("modal"), F.sum(F.when(F.col("step") != HOUR_MICROS, F.col("n"))).alias("n_odd"),
+        *[c.alias(name) for name, c in merge.items()])
+    spacing = F.concat((F.col("modal") / 1_000_000).cast("bigint").cast("string"), F.lit(" s"))
+    rules = [("unparseable timestamp", F.col("bad"), "n_bad"),
+             ("duplicate timestamp", F.col("dup").cast("string"), "n_dup"),
+             *[(f"not numeric: {name}", F.col(f"_{i}")[f"_{i}"], f"n_{i}")
+               for i, name in enumerate(required)],
+             ("not hourly", spacing, "n_odd")]
+    found = F.array(*[F.struct(F.lit(rule).alias("rule"), detail.alias("detail"),
+                               F.coalesce(F.col(n).cast("bigint"), F.lit(0)).alias("n"))
+                      for rule, detail, n in rules])
+    return series.select("series_id", F.inline(found)).filter("n > 0")
 
 
 # ---- series checks ----------------------------------------------------------------------

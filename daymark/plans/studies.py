@@ -110,7 +110,7 @@ def live_hours(price: DataFrame, load: DataFrame, renewables: DataFrame, n_compo
     parts = flatten_payload(renewables, "body", "forecast_values", schema)
     total = quality.sum_components(parts, n_components, "production_type")
     demand = flatten_payload(load, "body", "forecast_values", schema)
-    hourly = lambda df, c: quality.resample_hourly(df, quality.observations_per_hour(df), c)
+    hourly = lambda df, c: quality.resample_hourly(df, value=c)
     return quality.align_sources(
         hourly(points, "price"), hourly(demand, "value"), hourly(total, "value"))
 

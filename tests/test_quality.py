@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+from collections import Counter
 
 import pytest
 from conftest import DAY0, LONG, encoded, members_frame
@@ -100,6 +102,43 @@ def test_upload_rules_name_the_offender(spark):
     assert "missing columns" in {r["rule"] for r in Q.validate_upload(df, ["price", "exog_1"]).collect()}
 
 
+def _scans(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum("Relation" in line for line in plan.splitlines())
+
+
+def test_feed_questions_read_the_feed_once(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    _points(spark, [1.0] * 300).write.parquet(path)
+    feed = spark.read.parquet(path)
+    assert _scans(Q.observations_per_hour(feed)) == _scans(Q.step_counts(feed)) == 1
+    assert _scans(Q.feed_state(feed)) == 1
+    text = feed.select("series_id", F.col("ts").cast("string").alias("timestamp"),
+                       F.col("price").cast("string").alias("price"))
+    assert _scans(Q.validate_upload(text, ["price"])) == 1
+
+
+def test_steps_inside_and_across_days(spark):
+    rng = random.Random(5)
+    minutes = {s: sorted(rng.sample(range(9 * 1440), k)) for s, k in (("a", 400), ("b", 12), ("c", 1))}
+    rows = [(s, DAY0 + dt.timedelta(minutes=m), None) for s, ms in minutes.items() for m in ms + ms[:3]]
+    feed = spark.createDataFrame(rows + [("a", None, 1.0), ("d", None, 1.0)],
+                                 "series_id string, ts timestamp_ntz, price double")
+    want = Counter((s, (b - a) * 60_000_000) for s, ms in minutes.items() for a, b in zip(ms, ms[1:]))
+    got = {(r["series_id"], r["step"]): r["n"] for r in Q.step_counts(feed).collect()}
+    assert got == want
+    expected = {r["series_id"]: r["expected"] for r in Q.observations_per_hour(feed).collect()}
+    assert set(expected) == {"a", "b", "c", "d"} and expected["c"] == expected["d"] == 1
+    assert {r["price"] for r in Q.resample_hourly(feed).collect()} == {None}
+
+
+def test_hours_with_the_learned_and_with_the_given_count_agree(spark):
+    pts = _points(spark, [float(i % 7) for i in range(400)]).filter("minute(ts) <> 30 or hour(ts) <> 5")
+    learned = Q.resample_hourly(pts).orderBy("ts").collect()
+    assert learned == Q.resample_hourly(pts, Q.observations_per_hour(pts)).orderBy("ts").collect()
+    assert len(learned) == 100 and sum(r["price"] is None for r in learned) == 4
+
+
 def test_rename_and_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "csv")
     spark.createDataFrame([("2020-01-01 00:00:00", 1.5, float("nan"), 3.0)],
