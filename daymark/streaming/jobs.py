@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState
 
 from daymark.functions.exprs import unix_micros_ntz
 from daymark.operators.ensemble import CALM, STRESSED
+from daymark.operators.ordered import attach
+from daymark.operators.quality import points_of_step
 from daymark.session import shared_path
 
 
@@ -24,20 +26,30 @@ def event_time(ts: str) -> Column:
     return F.timestamp_micros(unix_micros_ntz(ts))
 
 
-def stream_hourly(points: DataFrame, expected: int | DataFrame, delay: str = "2 hours",
-                  value: str = "value") -> DataFrame:
-    """T1. Hourly mean, emitted once the watermark has passed the hour and it is complete.
+def closed_hours(points: DataFrame, delay: str = "2 hours", value: str = "value") -> DataFrame:
+    """Every hour that the watermark has passed: (series_id, ts, price, n_points, marks).
 
-    ``expected`` is the number of points of a complete hour, or a static (series_id, expected)
-    table from a batch run of ``observations_per_hour``.
+    ``marks`` are the distinct instants of the hour in microseconds, in order. The state holds open
+    hours only.
     """
     start = F.expr("cast(date'1970-01-01' as timestamp_ntz) + make_dt_interval("
                    "0, 0, 0, cast(unix_micros(window.start) / 1000000 as decimal(18,6)))")
-    hours = (
+    return (
         points.withColumn("_event", event_time("ts")).withWatermark("_event", delay)
         .groupBy("series_id", F.window("_event", "1 hour"))
-        .agg(F.avg(value).alias("price"), F.count(value).alias("n_points"))
-        .select("series_id", start.alias("ts"), "price", "n_points"))
+        .agg(F.avg(value).alias("price"), F.count(value).alias("n_points"),
+             F.sort_array(F.collect_set(F.unix_micros("_event"))).alias("marks"))
+        .select("series_id", start.alias("ts"), "price", "n_points", "marks"))
+
+
+def stream_hourly(points: DataFrame, expected: int | DataFrame, delay: str = "2 hours",
+                  value: str = "value") -> DataFrame:
+    """T1. Hourly mean, emitted once the watermark has passed the hour and it is complete.
+
+    ``expected`` is the number of points of a complete hour, or a static (series_id, expected)
+    table. ``stream_feed`` learns it from the stream.
+    """
+    hours = closed_hours(points, delay, value).drop("marks")
     if isinstance(expected, DataFrame):
         hours = hours.join(expected.select("series_id", "expected"), "series_id")
     else:
@@ -45,6 +57,75 @@ def stream_hourly(points: DataFrame, expected: int | DataFrame, delay: str = "2
     return hours.filter("n_points >= expected").drop("expected")
 
 
+def learned_steps(hours: DataFrame) -> DataFrame:
+    """T1. The modal step of a series, emitted whenever it changes: (series_id, as_of, step).
+
+    ``hours`` is a stream of closed hours. A row carries the hour's first and last instant and its
+    steps as counts, so the state of a series is one count per distinct step and its last instant,
+    however long it runs. Hours of one micro-batch come in any order and are sorted; later batches
+    hold later hours, because the watermark closes them. ``step`` is 0 while none is known.
+    """
+    steps = F.expr("transform(slice(marks, 2, size(marks)), (x, i) -> x - marks[i])")
+    rows = hours.filter("size(marks) > 0").select(
+        "series_id", "ts", F.element_at("marks", 1).alias("lo"), F.element_at("marks", -1).alias("hi"),
+        steps.alias("steps"))
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+               ) -> Iterator[pd.DataFrame]:
+        counts, last, modal = {}, None, None
+        if state.exists:
+            names, numbers, last, modal = state.get
+            counts = dict(zip(names, numbers))
+        hours = pd.concat(list(batches)).sort_values("lo")
+        for lo, hi, inner in zip(hours["lo"], hours["hi"], hours["steps"]):
+            across = [] if last is None else [lo - last]
+            for step in [*across, *inner]:
+                counts[int(step)] = counts.get(int(step), 0) + 1
+            last = int(hi)
+        best = min(counts, key=lambda step: (-counts[step], step), default=0)
+        state.update((list(counts), list(counts.values()), last, best))
+        if best != modal:
+            yield pd.DataFrame({"series_id": [key[0]], "as_of": [hours["ts"].max()], "step": [best]})
+
+    return rows.groupBy("series_id").applyInPandasWithState(
+        update, "series_id string, as_of timestamp_ntz, step bigint",
+        "steps array<bigint>, counts array<bigint>, last bigint, modal bigint", "append", "NoTimeout")
+
+
+def stream_feed(points: DataFrame, path: str, checkpoint: str, delay: str = "2 hours",
+                value: str = "value") -> None:
+    """T1 without a given count: closed hours under ``path/hours``, learned steps under ``path/steps``.
+
+    Two streams with a checkpoint each, the second reads what the first has stored; a restart goes
+    on where either stopped. ``current_hours`` applies the newest step to all hours, so a changed
+    step also changes the verdict on earlier ones, as the batch rule does.
+    """
+
+    def store(stream: DataFrame, name: str) -> None:
+        (stream.writeStream.format("parquet").option("path", f"{path}/{name}").outputMode("append")
+         .option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+         .awaitTermination())
+
+    hours = closed_hours(points, delay, value)
+    store(hours, "hours")
+    stored = points.sparkSession.readStream.schema(hours.schema).parquet(f"{path}/hours")
+    store(learned_steps(stored), "steps")
+
+
+HOURS = "series_id string, ts timestamp_ntz, price double, n_points bigint"
+
+
+def current_hours(spark: SparkSession, path: str) -> DataFrame:
+    """Complete closed hours by each series' newest step: (series_id, ts, price, n_points)."""
+    steps = spark.read.schema("series_id string, as_of timestamp_ntz, step bigint").parquet(
+        f"{path}/steps")
+    newest = steps.groupBy("series_id").agg(F.max_by("step", "as_of").alias("step")).select(
+        "series_id", points_of_step(F.expr("nullif(step, 0)")).alias("expected"))
+    hours = spark.read.schema(HOURS).parquet(f"{path}/hours")
+    return attach(hours, newest, ["series_id"], "ts").filter("n_points >= expected").select(
+        "series_id", "ts", "price", "n_points")
+
+
 def stream_dedup(points: DataFrame, keys: tuple[str, ...] = ("series_id", "ts"),
                  delay: str = "2 hours") -> DataFrame:
     """T2. Overlapping chunks deliver a point twice; only the first copy passes."""

@@ -4,6 +4,7 @@ from conftest import DAY0
 from pyspark.sql import functions as F
 
 from daymark.operators.ensemble import regime_labels
+from daymark.operators.quality import resample_hourly
 from daymark.streaming import jobs as J
 
 SCHEMA = "series_id string, ts timestamp_ntz, value double"
@@ -34,6 +35,32 @@ def test_only_complete_closed_hours_are_emitted(spark, tmp_path):
     assert {r["ts"] for r in table.collect()} == {at(0), at(1), at(2)}
 
 
+def test_step_is_learned_and_agrees_with_the_batch_rule(spark, tmp_path):
+    path, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    grid = lambda s, start, end, minutes: [
+        (s, at(0, m), float(m % 11)) for m in range(start * 60, end * 60, minutes) if m % 420 != 30]
+    files = [grid("a", 0, 6, 60) + grid("b", 0, 6, 20), grid("a", 6, 12, 15) + grid("b", 6, 12, 20),
+             grid("a", 12, 30, 15) + grid("b", 12, 30, 20) + [("c", at(4), 1.0)]]
+    seen = []
+    for k, rows in enumerate(files):  # "a" starts hourly and turns to quarters
+        _write(spark, path, rows, SCHEMA)
+        J.stream_feed(_stream(spark, path), out, marks, "1 hour")  # each run goes on from the last
+        points = spark.createDataFrame([r for f in files[:k + 1] for r in f], SCHEMA)
+        last = max(r[1] for f in files[:k + 1] for r in f)
+        closed = points.filter(F.col("ts") < F.lit(last.replace(minute=0) - dt.timedelta(hours=1)))
+        if k == 2:  # too late for the stream: its hour was closed when it came
+            closed = closed.filter("series_id <> 'c'")
+        want = {(r["series_id"], r["ts"], r["price"]) for r in resample_hourly(closed, value="value")
+                .withColumnRenamed("value", "price").filter("price is not null").collect()}
+        got = [(r["series_id"], r["ts"], r["price"]) for r in J.current_hours(spark, out).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        seen.append(sum(s == "a" for s, _, _ in got))
+    steps = spark.read.parquet(out + "/steps").filter("series_id = 'a'").orderBy("as_of").collect()
+    assert [r["step"] // 60_000_000 for r in steps] == [60, 15]
+    # While the step is an hour every hour is whole; the first hours no longer count once it is 15.
+    assert seen[0] > 0 and at(1) not in {t for s, t, _ in got if s == "a"}
+
+
 def test_overlapping_chunks_count_once(spark, tmp_path):
     path = str(tmp_path / "in")
     _write(spark, path, [("a", at(h), float(h)) for h in range(6)])
