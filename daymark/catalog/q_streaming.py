@@ -26,24 +26,24 @@ def _(spark, d):
     return J.drain(J.stream_hourly(_events(spark, d), 2), "t1")
 
 
-@query("t1_stream_feed", "series_id, ts:d, price:6, n_points:i", """
-WITH pts AS (SELECT DISTINCT event_type AS series_id, ts FROM events
-             WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR),
+@query("t1_stream_feed", "series_id, ts:d, price:6, n_points:i", with_ctes("quarter_mean", """
+SELECT h.series_id, h.ts, h.price, h.n_points FROM (
+  SELECT series_id, date_trunc('hour', ts) AS ts, avg(price) AS price, count(price) AS n_points
+  FROM closed GROUP BY 1, 2) h JOIN expected e USING (series_id) WHERE h.n_points >= e.expected""", """
+closed AS (SELECT * FROM quarter_mean
+           WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM quarter_mean) - INTERVAL 2 HOUR),
 steps AS (SELECT series_id, step, count(*) AS n FROM (
-    SELECT series_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY series_id ORDER BY ts) AS step FROM pts)
+    SELECT series_id, date_diff('second', lag(ts) OVER (PARTITION BY series_id ORDER BY ts), ts) AS step FROM closed)
   WHERE step > 0 GROUP BY 1, 2),
 expected AS (
-  SELECT series_id, CASE WHEN step > 3600000000 THEN 1
-    ELSE greatest(1, CAST(round_even(3600000000 / step, 0) AS INTEGER)) END AS expected
-  FROM steps QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, step) = 1)
-SELECT h.series_id, h.ts, h.price, h.n_points FROM (
-  SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS price, count(value) AS n_points
-  FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR
-  GROUP BY 1, 2) h LEFT JOIN expected e USING (series_id)
-WHERE h.n_points >= coalesce(e.expected, 1)""")
+  SELECT series_id, CASE WHEN step > 3600 THEN 1 ELSE greatest(1, CAST(round_even(3600 / step, 0) AS INTEGER)) END AS expected
+  FROM steps QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, step) = 1)"""))
 def _(spark, d):
-    out, marks = shared_path(spark, "t1-feed"), shared_path(spark, "t1-feed-marks")
-    J.stream_feed(_events(spark, d), out, marks)
+    # The sub-hourly feed lands as files; how many points an hour holds is learned on the way.
+    feed, out, marks = (shared_path(spark, n) for n in ("t1-points", "t1-feed", "t1-feed-marks"))
+    points = series.quarter_mean(spark, d)
+    points.write.parquet(feed)
+    J.stream_feed(spark.readStream.schema(points.schema).parquet(feed), out, marks, value="price")
     return J.current_hours(spark, out)
 
 
