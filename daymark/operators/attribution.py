@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from daymark.functions.exprs import HOURS
 from daymark.operators.features import GROUP_ORDER, feature_group
+from daymark.operators.ordered import attach
 from daymark.operators.quality import refuse_any
+from daymark.operators.quantiles import quantiles
 
 MODEL = ["series_id", "target", "hour"]
 
@@ -127,12 +129,11 @@ def run_facts(days: DataFrame, train_days: DataFrame, threshold: float | Column)
     train = train_days.groupBy("series_id").agg(
         F.min("day").alias("train_start"), F.max("day").alias("train_end"),
         F.count(F.lit(1)).alias("n_train_days"))
-    cut = days.groupBy("series_id").agg(
-        F.percentile("y_true", F.lit(0.9)).alias("_cut"))
+    cut = quantiles(days, "y_true", {"_cut": 0.9}, ["series_id"])
     top = F.col("y_true") >= F.col("_cut")
     case = F.max_by(F.struct("day", "y_pred", "y_true", "regime"),
                     F.struct("y_pred", -F.datediff("day", F.lit("1970-01-01").cast("date"))))
-    out = days.join(cut, "series_id").groupBy("series_id").agg(
+    out = attach(days, cut, ["series_id"], "day").groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n_test_days"), F.min("day").alias("test_start"),
         F.max("day").alias("test_end"),
         F.count_if(F.col("regime") == "calm").alias("n_calm"),

@@ -14,6 +14,7 @@ from daymark.functions.exprs import (
     bias_corrected_kurtosis, bias_corrected_skewness, nan_to_null, non_negative_root, ratio)
 from daymark.functions.tails import upper_tail
 from daymark.operators.ordered import attach, running_sum, with_halo, with_position
+from daymark.operators.quantiles import quantiles
 from daymark.session import materialize
 
 SERIES = ["series_id"]
@@ -52,10 +53,8 @@ def histogram(df: DataFrame, bins: int = 100, by: Sequence[str] = ("series_id",
 
 
 def box_stats(df: DataFrame, by: Sequence[str] = ("series_id", "split")) -> DataFrame:
-    """X3. Exact interpolated quartiles; a group is one series' hours, bounded by its calendar."""
-    q = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(q.alias("_q")).select(
-        *by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    """X3. Exact interpolated quartiles, by counting passes."""
+    return quantiles(df, "price", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
 
 
 def hour_profile(df: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daymark.functions.exprs import ratio
+from daymark.operators.ordered import attach
 from daymark.operators.quality import complete_models, refuse_any
+from daymark.operators.quantiles import quantiles
 from daymark.operators.scoring import all_metrics, daily_baseload
 
 TARGETS = ("hourly", "daily-direct", "daily-aggregated")
@@ -108,11 +110,11 @@ def mae_by_year(frame: DataFrame, years: Sequence[int]) -> DataFrame:
 def top_decile_bias(daily: DataFrame, q: float = 0.9) -> DataFrame:
     """A21. Mean (forecast - actual) over the days whose baseload reaches the q-quantile.
 
-    The quantile is exact over one row per day.
+    The quantile is exact, by counting passes.
     """
     keys = ["series_id", "model"]
-    cut = daily.groupBy(*keys).agg(F.percentile("y_true", F.lit(q)).alias("_cut"))
-    top = daily.join(cut, keys).filter("y_true >= _cut")
+    cut = quantiles(daily, "y_true", {"_cut": q}, keys)
+    top = attach(daily, cut, keys, "origin").filter("y_true >= _cut")
     return top.groupBy(*keys).agg(
         F.avg(F.col("y_pred") - F.col("y_true")).alias("bias"),
         F.count(F.lit(1)).alias("n_days"))
