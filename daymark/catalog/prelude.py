@@ -146,6 +146,11 @@ def by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.hourly_by_type(spark, sf_dir)
 
 
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``by_type`` with the price alone."""
+    return series.hourly_by_type(spark, sf_dir, ("price",))
+
+
 def members_of(hourly: DataFrame, start: dt.date) -> DataFrame:
     """Four look-up forecasts of the same hours, from ``start`` on so that all cover every origin."""
     rules = {
@@ -156,7 +161,7 @@ def members_of(hourly: DataFrame, start: dt.date) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members_of(by_type(spark, sf_dir), EVENT_FIRST + dt.timedelta(days=7))
+    return members_of(prices(spark, sf_dir), EVENT_FIRST + dt.timedelta(days=7))
 
 
 def slot_members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,6 @@ JOIN (SELECT series_id, avg(y_pred - y_true) AS bias, count(*) AS n FROM dayset
       JOIN (SELECT series_id, quantile_cont(y_true, 0.9) AS cut FROM dayset GROUP BY 1) USING (series_id)
       WHERE y_true >= cut GROUP BY 1) b USING (series_id)"""))
 def _(spark, d):
-    train = P.by_type(spark, d).select("series_id", F.to_date("ts").alias("day")).filter(
+    train = P.prices(spark, d).select("series_id", F.to_date("ts").alias("day")).filter(
         F.col("day") < F.lit(_FROM)).distinct()
     return A.run_facts(_dayset(spark, d), train, P.STRESS)

@@ -50,13 +50,13 @@ def _(spark, d):
 SELECT series_id, hour, avg(price) FILTER (isodow(day) < 6) AS weekday,
        avg(price) FILTER (isodow(day) >= 6) AS weekend FROM by_type GROUP BY 1, 2"""))
 def _(spark, d):
-    return X.hour_profile(P.by_type(spark, d))
+    return X.hour_profile(P.prices(spark, d))
 
 
 @query("x5_weekday_means", "series_id, weekday:i, mean:6", with_ctes("by_type", """
 SELECT series_id, isodow(day) - 1 AS weekday, avg(price) AS mean FROM by_type GROUP BY 1, 2"""))
 def _(spark, d):
-    return X.weekday_means(P.by_type(spark, d))
+    return X.weekday_means(P.prices(spark, d))
 
 
 @query("x6_month_means", "series_id, month:i, mean:6", with_ctes("slots", """
@@ -74,7 +74,7 @@ def _rolling(expr, width, source):
 @query("x7_rolling_std", "series_id, ts:d, rolling_std:5", _rolling(
     "stddev_samp(price)", 168, "by_type").replace("AS v", "AS rolling_std"))
 def _(spark, d):
-    return X.rolling_std(P.by_type(spark, d))
+    return X.rolling_std(P.prices(spark, d))
 
 
 @query("x8_spike_counts", "series_id, split, threshold:6, spikes:i, spike_pct:6",
@@ -107,12 +107,12 @@ cov AS MATERIALIZED (SELECT a.series_id, k, a.n, sum(a.e * b.e) / a.n AS acov
 SELECT c.series_id, c.k, c.n, c.acov / z.acov AS acf
 FROM cov c JOIN cov z ON z.series_id = c.series_id AND z.k = 0""", _acov("by_type", 192)))
 def _(spark, d):
-    return X.acf(P.by_type(spark, d))
+    return X.acf(P.prices(spark, d))
 
 
 @query("x11_pacf", "series_id, k:i, pacf:6")
 def _(spark, d):
-    return X.pacf(P.by_type(spark, d))
+    return X.pacf(P.prices(spark, d))
 
 
 @query("x12_adf", "series_id, stat:6, used_lag:i, nobs:i, p:6, stationary:b")
@@ -134,7 +134,7 @@ auto AS (SELECT series_id, CAST(least(floor(1.1447 * power(power(s1 / s0, 2), 1.
   FROM (SELECT series_id, n, sum(CASE WHEN k = 0 THEN acov ELSE 2 * acov END) AS s0, sum(2 * k * acov) AS s1
         FROM cov WHERE k <= floor(power(CAST(n AS DOUBLE), 2.0 / 9.0)) GROUP BY 1, 2))"""))
 def _(spark, d):
-    return X.kpss(P.by_type(spark, d))
+    return X.kpss(P.prices(spark, d))
 
 
 @query("x14_exog_corr", "series_id, corr_exog_1:6, corr_exog_2:6", with_ctes("by_type", """

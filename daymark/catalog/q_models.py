@@ -32,7 +32,7 @@ HOURLY_TREES = TreeParams(trees=200, depth=3, rate=0.1, bins=8)
 SELECT a.series_id, a.day AS origin, a.hour, a.price AS y_true, b.price AS y_pred, 'naive' AS model
 FROM by_type a JOIN by_type b ON b.series_id = a.series_id AND b.hour = a.hour AND b.day = a.day - {_LAG}"""))
 def _(spark, d):
-    return N.naive_dow(P.by_type(spark, d))
+    return N.naive_dow(P.prices(spark, d))
 
 
 @query("m1_naive_dow_long_history", FORECAST, with_ctes("slots", f"""
@@ -48,7 +48,7 @@ FROM (SELECT series_id, day, avg(price) AS y FROM by_type GROUP BY 1, 2) a
 JOIN (SELECT series_id, day, avg(price) AS y FROM by_type GROUP BY 1, 2) b
   ON b.series_id = a.series_id AND b.day = a.day - {_LAG}"""))
 def _(spark, d):
-    return N.naive_dow_daily(P.by_type(spark, d))
+    return N.naive_dow_daily(P.prices(spark, d))
 
 
 def _slot_features(spark, d):

@@ -242,7 +242,7 @@ FROM (SELECT * FROM by_type WHERE NOT (series_id = 'view' AND hour = 2)) a
 FULL JOIN (SELECT series_id, ts, price + CASE WHEN series_id = 'click' AND hour = 1 THEN 0.5 ELSE 0 END AS price
            FROM by_type) b USING (series_id, ts) GROUP BY 1"""))
 def _(spark, d):
-    base = P.by_type(spark, d).select("series_id", "ts", F.col("price").alias("y_true"))
+    base = P.prices(spark, d).select("series_id", "ts", F.col("price").alias("y_true"))
     ours = base.filter(~((F.col("series_id") == "view") & (F.hour("ts") == 2)))
     bump = F.when((F.col("series_id") == "click") & (F.hour("ts") == 1), 0.5).otherwise(0.0)
     return quality.verify_alignment(ours, base.withColumn("y_true", F.col("y_true") + bump))
@@ -268,7 +268,7 @@ JOIN (SELECT series_id, count(*) AS n FROM by_type WHERE day >= DATE '2024-01-08
 LEFT JOIN (SELECT series_id, model, count(*) AS n FROM (SELECT DISTINCT series_id, model, origin, hour FROM broken
            WHERE y_pred IS NOT NULL) GROUP BY 1, 2) c USING (series_id, model)""", _BROKEN))
 def _(spark, d):
-    truth = quality.with_day_hour(P.by_type(spark, d)).select(
+    truth = quality.with_day_hour(P.prices(spark, d)).select(
         "series_id", F.col("day").alias("origin"), "hour").filter(
         F.col("origin") >= F.lit(dt.date(2024, 1, 8)))
     return quality.model_completeness(_broken(spark, d), truth)

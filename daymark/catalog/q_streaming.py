@@ -65,7 +65,7 @@ FROM (SELECT DISTINCT series_id, day FROM by_type) d LEFT JOIN
 def _(spark, d):
     # The hourly feed lands in several files; each is one micro-batch.
     feed, out, marks = (shared_path(spark, n) for n in ("t3-feed", "t3", "t3-marks"))
-    hourly = P.by_type(spark, d).select("series_id", "ts", F.col("price").alias("y_true"))
+    hourly = P.prices(spark, d).select("series_id", "ts", F.col("price").alias("y_true"))
     hourly.repartition(4, "ts").write.parquet(feed)
     stream = spark.readStream.schema(hourly.schema).option("maxFilesPerTrigger", 1).parquet(feed)
     J.stream_regime_alert(stream, P.STRESS, out, marks).awaitTermination()

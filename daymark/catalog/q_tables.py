@@ -37,7 +37,7 @@ direct AS (SELECT a.series_id, a.day AS origin, a.y AS y_true, b.y AS y_pred, 'n
 
 
 def _direct(spark, d):
-    daily = N.naive_dow_daily(P.by_type(spark, d))
+    daily = N.naive_dow_daily(P.prices(spark, d))
     return daily.filter(F.col("origin") >= F.lit(P.EVENT_FIRST) + F.expr("interval 7 days"))
 
 

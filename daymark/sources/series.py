@@ -6,6 +6,8 @@ that owns a third of the raw rows costs one partial row per task and slot.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,41 +63,52 @@ def fill_hours(hours: DataFrame, values: list[str], whole_days: bool = False) ->
     return out.select("series_id", "ts", "day", "hour", *values, "present")
 
 
-def _event_hours(events: DataFrame, series: F.Column) -> DataFrame:
+#: Columns of the standard schema, by the fact of an hour that each one takes.
+FACTS = {"price": "total", "exog_1": "n", "exog_2": "users"}
+
+
+def _event_hours(events: DataFrame, series: F.Column, facts: Sequence[str]) -> DataFrame:
+    """One row per (series, day, hour) with the named facts.
+
+    Only ``users`` needs a first shuffle by user; without it every fact is combined before rows move.
+    """
+    known = {
+        "total": F.sum("value"), "mean": F.avg("value"), "n": F.count(F.lit(1)).cast("double"),
+        "users": F.count_distinct("user_id").cast("double")}
     return (
         events.select(series.alias("series_id"), F.to_date("ts").alias("day"),
                       F.hour("ts").alias("hour"), "value", "user_id")
-        .groupBy("series_id", "day", "hour")
-        .agg(
-            F.sum("value").alias("total"),
-            F.avg("value").alias("mean"),
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.count_distinct("user_id").cast("double").alias("users"),
-        )
-    )
+        .groupBy("series_id", "day", "hour").agg(*[known[f].alias(f) for f in facts]))
 
 
-def _zero_filled(agg: DataFrame) -> DataFrame:
+def _zero_filled(agg: DataFrame, columns: Sequence[str] = tuple(FACTS)) -> DataFrame:
     """An hour without events is a true zero total, so the series is complete."""
-    return fill_hours(agg, ["total", "n", "users"], whole_days=True).select(
-        "series_id", "ts",
-        F.coalesce("total", F.lit(0.0)).alias("price"),
-        F.coalesce("n", F.lit(0.0)).alias("exog_1"),
-        F.coalesce("users", F.lit(0.0)).alias("exog_2"), "day", "hour",
-    )
+    return fill_hours(agg, [FACTS[c] for c in columns], whole_days=True).select(
+        "series_id", "ts", *[F.coalesce(FACTS[c], F.lit(0.0)).alias(c) for c in columns],
+        "day", "hour")
+
+
+def _event_series(spark: SparkSession, sf_dir: str, series: F.Column, columns: Sequence[str]
+                  ) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return _zero_filled(_event_hours(events, series, [FACTS[c] for c in columns]), columns)
 
 
-def hourly_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _zero_filled(_event_hours(table(spark, sf_dir, "events"), F.lit("total")))
+def hourly_total(spark: SparkSession, sf_dir: str, columns: Sequence[str] = tuple(FACTS)
+                 ) -> DataFrame:
+    return _event_series(spark, sf_dir, F.lit("total"), columns)
 
 
-def hourly_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _zero_filled(_event_hours(table(spark, sf_dir, "events"), F.col("event_type")))
+def hourly_by_type(spark: SparkSession, sf_dir: str, columns: Sequence[str] = tuple(FACTS)
+                   ) -> DataFrame:
+    """One series per event type. The cells of a day travel packed, which hides them from column
+    pruning, so a caller names the ``columns`` it needs."""
+    return _event_series(spark, sf_dir, F.col("event_type"), columns)
 
 
 def hourly_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean value per event type and hour; hours without events are absent, never filled."""
-    agg = _event_hours(table(spark, sf_dir, "events"), F.col("event_type"))
+    agg = _event_hours(table(spark, sf_dir, "events"), F.col("event_type"), ("mean", "n", "users"))
     return agg.select(
         "series_id", hour_stamp("day", "hour").alias("ts"), F.col("mean").alias("price"),
         F.col("n").alias("exog_1"), F.col("users").alias("exog_2"),

@@ -6,13 +6,16 @@ import pytest
 from conftest import encoded, members_frame, wavy
 from pyspark.sql import functions as F
 
+from daymark.catalog import load_all
 from daymark.operators import comparison as C
 from daymark.operators import ensemble as E
 from daymark.operators import features as X
 from daymark.operators import models as M
 from daymark.operators import naive as N
 from daymark.operators import quality as Q
-from daymark.sources import forecasts, hourly
+from daymark.sources import forecasts, hourly, series
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_one_unknown_hour_costs_no_other_forecast(spark):
@@ -94,3 +97,14 @@ def test_lag_beyond_a_block(spark):
         "date_add(date'2020-01-01', cast(id as int))").alias("day"), F.col("id").alias("v"))
     got = X.calendar_lags(days, {"old": ("v", 90)}).filter("v >= 90")
     assert got.filter("old = v - 90").count() == 110
+
+
+def test_series_of_prices_never_shuffle_by_user(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "user_id" not in plan(load_all()["a1_mae"].frame(spark, SF))
+    whole, bare = series.hourly_by_type(spark, SF), series.hourly_by_type(spark, SF, ("price",))
+    assert bare.columns == ["series_id", "ts", "price", "day", "hour"]
+    rows = lambda df: sorted(map(tuple, df.select("series_id", "ts", "price").collect()))
+    assert [r[:2] for r in rows(bare)] == [r[:2] for r in rows(whole)]
+    # Sums go through another shuffle, so their order, and with it the last bits, may differ.
+    assert [r[2] for r in rows(bare)] == pytest.approx([r[2] for r in rows(whole)], rel=1e-12)
