@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -132,10 +133,12 @@ GAP = 1e-4
 TINY = 1e-9
 #: Passes after which a fit that has not closed its gap fails the job.
 MAX_PASSES = 200
-#: Residuals below this share of the error count as quadratic; it is reached by halving.
-FLAT = 0.01
-#: Steps beyond the minimum of the quadratic; below 2 the error still falls.
-STRETCH = 1.8
+#: What the rounding of the error's corner is multiplied by once its own minimum is found.
+SHARPEN = 0.3
+#: A search in hundredths: a full grid first, then ever smaller moves around the best.
+COARSE = 10
+REFINE = (4, 2, 1)
+REACH = 2
 
 
 def member_columns(frame: DataFrame, models: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -146,41 +149,40 @@ def member_columns(frame: DataFrame, models: Sequence[str], keep: Sequence[str]
           for i, m in enumerate(models)])
 
 
-def _simplex_minimum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """argmin of w'Aw / 2 - b'w over weights that are not negative and sum to one."""
+def _simplex_minimum(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """argmin of w'Aw / 2 - b'w over weights that are not negative and sum to one.
+
+    Goes from ``start`` by minima over the weights in use; each step lowers the value.
+    """
     n = len(b)
-    ridge = 1e-12 * max(np.trace(a), 1e-300) / n
-    used = list(range(n))
+    scale = max(np.trace(a) / n, np.abs(b).max(), 1e-300)
+    a, b = a / scale + 1e-12 * np.eye(n), b / scale
+    full, used = start.copy(), [i for i in range(n) if start[i] > 0]
     for _ in range(8 * n + 8):
         k = len(used)
         system = np.zeros((k + 1, k + 1))
-        system[:k, :k] = a[np.ix_(used, used)] + ridge * np.eye(k)
+        system[:k, :k] = a[np.ix_(used, used)]
         system[:k, k] = system[k, :k] = 1.0
         solved = np.linalg.lstsq(system, np.append(b[used], 1.0), rcond=None)[0]
-        w, level = solved[:k], solved[k]
-        if (w < -1e-12).any() and k > 1:
-            used.pop(int(w.argmin()))
+        step, level = solved[:k] - full[used], solved[k]
+        down = solved[:k] < 0
+        if down.any() and k > 1:
+            room = np.where(down, full[used] / np.where(down, -step, 1.0), np.inf)
+            out = int(room.argmin())
+            full[used] = np.maximum(full[used] + room[out] * step, 0.0)
+            full[used.pop(out)] = 0.0
             continue
-        full = np.zeros(n)
-        full[used] = np.maximum(w, 0.0)
+        full[used] = np.maximum(solved[:k], 0.0)
         slope = b - a @ full - level
         slope[used] = -np.inf
-        if slope.max() <= 1e-9 * max(np.abs(b).max(), 1e-300):
+        if slope.max() <= 1e-12:
             break
         used.append(int(slope.argmax()))
     return full / full.sum()
 
 
-def _next_weights(w: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """A stretched step to the target, as far as the weights stay legal and no less than to it."""
-    step = target - w
-    down = step < 0
-    room = (w[down] / -step[down]).min() if down.any() else STRETCH
-    out = np.maximum(w + min(STRETCH, max(1.0, room)) * step, 0.0)
-    return out / out.sum()
-
-
-STATE = "w array<double>, best array<double>, mae double, bound double, passes int"
+STATE = ("w array<double>, base array<double>, target array<double>, step double, value double, "
+         "width double, best array<double>, mae double, bound double")
 
 
 def fit_weights(frame: DataFrame, models: Sequence[str], keys: Sequence[str] = ("series_id",),
@@ -188,11 +190,13 @@ def fit_weights(frame: DataFrame, models: Sequence[str], keys: Sequence[str] = (
                 gap: float = GAP) -> DataFrame:
     """E4. MAE-minimising convex weights per key, with a certificate.
 
-    Every pass adds up, per key, the error and the sums of a least-squares problem whose cells
-    are weighted by one over their residual; its solution gives the next weights. Residuals
-    divided by their size, 1 at most, also bound the error of all weights from below, so a fit
-    ends when error and bound are within ``gap`` of each other. Sums over cells are all that
-    leaves a task, n by n of them for n members; the cells are stored once and read once a pass.
+    The corner of the absolute error is rounded to ``sqrt(r^2 + width^2)`` and the rounded error
+    minimised by Newton steps inside the simplex, a step halved where it does not lower it; near
+    each minimum the width shrinks. Every pass adds up, per key, the error with its first and
+    second derivatives: n by n sums for n members are all that leaves a task, and the cells are
+    stored once and read once a pass. A residual divided by its rounded size, below 1, also bounds
+    the error of all weights from below, so a fit ends when error and bound are within ``gap`` of
+    each other.
 
     Pass validation forecasts only; with ``test_days`` the ordering is checked, and strict mode
     also refuses missing values. A cell that lacks a value takes no part in the fit. Returns
@@ -204,15 +208,18 @@ def fit_weights(frame: DataFrame, models: Sequence[str], keys: Sequence[str] = (
         require_before(frame.select("series_id", F.col("origin").alias("day")), test_days)
     keys, n = list(keys), len(models)
     extra = [k for k in keys if k != "series_id"]
-    names = [f"_p{i}" for i in range(n)]
-    cells = materialize(member_columns(frame, models, extra).dropna(subset=["y_true", *names]),
-                        "weights")
-    state = cells.select(*keys).distinct().select(
-        *keys, F.array_repeat(F.lit(1.0 / n), n).alias("w"), F.array_repeat(F.lit(1.0 / n), n)
-        .alias("best"), F.lit(float("inf")).alias("mae"), F.lit(0.0).alias("bound"),
-        F.lit(0).alias("passes"))
+    cells = materialize(member_columns(frame, models, extra).dropna(
+        subset=["y_true", *[f"_p{i}" for i in range(n)]]), "weights")
+    even = F.array_repeat(F.lit(1.0 / n), n)
+    mean = " + ".join(f"_p{i} / {n}" for i in range(n))
+    state = materialize(cells.groupBy(*keys).agg(
+        F.expr(f"avg(abs(y_true - ({mean})))").alias("width")).select(
+        *keys, even.alias("w"), even.alias("base"), even.alias("target"), F.lit(1.0).alias("step"),
+        F.lit(float("inf")).alias("value"), F.greatest("width", F.lit(1e-12)).alias("width"),
+        even.alias("best"), F.lit(float("inf")).alias("mae"), F.lit(0.0).alias("bound")),
+        "weight-pass")
     for done in range(1, MAX_PASSES + 1):
-        state = materialize(_weight_pass(cells, state, keys, n), "weight-pass")
+        state = materialize(_weight_pass(cells, state, keys, n, gap), "weight-pass")
         # A pass costs about as much as the question, and few fits end within eight.
         if (done % 4 == 0 or n == 1) and not state.filter(~_closed(gap)).limit(1).count():
             break
@@ -227,49 +234,127 @@ def _closed(gap: float):
     return F.col("mae") - F.col("bound") <= gap * F.col("mae") + TINY
 
 
-def _weight_pass(cells: DataFrame, state: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+def _weight_pass(cells: DataFrame, state: DataFrame, keys: Sequence[str], n: int,
+                 gap: float) -> DataFrame:
     """Error, bound and next weights of every key from one reading of its cells."""
-    names = [f"_p{i}" for i in range(n)]
-    first = "n_cells" not in state.columns
-    # The width in which a residual counts as quadratic follows the error of the last pass.
-    width = "greatest(pow(0.5D, passes + 1), {0} * pow(0.5D, floor(passes / 40))) * mae".format(FLAT)
-    told = state.select(*keys, "w", F.expr("1.0D" if first else f"greatest({width}, 1e-12D)")
-                        .alias("_d"))
+    told = state.select(*keys, "w", F.col("width").alias("_d"))
     rows = attach(cells, told, keys, "origin")
-    mix = " + ".join(f"w[{i}] * {p}" for i, p in enumerate(names))
-    rows = rows.withColumn("_r", F.expr(f"y_true - ({mix})")).withColumn(
-        "_v", F.expr("1 / greatest(abs(_r), _d)"))
-    sums = {"_n": "count(*)", "_f": "sum(abs(_r))", "_uy": "sum(_r * _v * y_true)"}
-    sums |= {f"_u{i}": f"sum(_r * _v * {p})" for i, p in enumerate(names)}
-    sums |= {f"_b{i}": f"sum(_v * {p} * y_true)" for i, p in enumerate(names)}
-    sums |= {f"_a{i}_{j}": f"sum(_v * {p} * {names[j]})"
-             for i, p in enumerate(names) for j in range(i, n)}
+    # Weights sum to one, so a residual is the weighted sum of the members' own errors.
+    rows = rows.select(*keys, "w", "_d", *[F.expr(f"y_true - _p{i}").alias(f"_e{i}")
+                                           for i in range(n)])
+    rows = rows.withColumn("_r", F.expr(" + ".join(f"w[{i}] * _e{i}" for i in range(n))))
+    rows = rows.withColumn("_s", F.expr("sqrt(_r * _r + _d * _d)")).withColumns({
+        "_u": F.expr("_r / _s"), "_v": F.expr("_d / _s * (_d / _s) / _s")})
+    sums = {"_n": "count(*)", "_f": "sum(abs(_r))", "_h": "sum(_s)"}
+    sums |= {f"_g{i}": f"sum(_u * _e{i})" for i in range(n)}
+    sums |= {f"_a{i}_{j}": f"sum(_v * _e{i} * _e{j})" for i in range(n) for j in range(i, n)}
     added = rows.groupBy(*keys).agg(*[F.expr(f"{v} as {k}") for k, v in sums.items()])
     kinds = {f.name: f.dataType.simpleString() for f in state.schema if f.name in keys}
+    own = [f.split()[0] for f in STATE.split(", ")]
     schema = ", ".join(f"{k} {v}" for k, v in kinds.items()) + f", {STATE}, n_cells bigint"
 
     def step(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                a, b = np.zeros((n, n)), np.array([r[f"_b{i}"] for i in range(n)])
-                for i in range(n):
-                    for j in range(i, n):
-                        a[i, j] = a[j, i] = r[f"_a{i}_{j}"]
-                w, best = np.array(r["w"], float), np.array(r["best"], float)
-                mae = r["_f"] / r["_n"]
-                bound = (r["_uy"] - max(r[f"_u{i}"] for i in range(n))) / r["_n"]
-                if mae <= r["mae"]:
-                    best = w
-                out.append({
-                    **{k: r[k] for k in keys}, "w": _next_weights(w, _simplex_minimum(a, b)),
-                    "best": best, "mae": min(mae, r["mae"]), "bound": max(bound, r["bound"]),
-                    "passes": r["passes"] + 1, "n_cells": r["_n"]})
-            yield pd.DataFrame(out, columns=[*keys, *[f.split()[0] for f in STATE.split(", ")],
-                                             "n_cells"])
-
-    return added.join(state.select(*keys, "w", "best", "mae", "bound", "passes"), keys).mapInPandas(
-        step, schema)
+            out = [{**{k: r[k] for k in keys}, **_next_state(r, n, gap), "n_cells": r["_n"]}
+                   for r in pdf.to_dict("records")]
+            yield pd.DataFrame(out, columns=[*keys, *own, "n_cells"])
+
+    return added.join(state.select(*keys, *own), keys).mapInPandas(step, schema)
+
+
+def _next_state(r: Mapping, n: int, gap: float) -> dict:
+    """State of a key after a pass at its weights ``w``, from the pass's sums."""
+    new = {k: r[k] for k in ("step", "value", "width")}
+    new |= {k: np.array(r[k], float) for k in ("w", "base", "target", "best")}
+    slope = np.array([r[f"_g{i}"] for i in range(n)]) / r["_n"]
+    mae, w = r["_f"] / r["_n"], new["w"]
+    new["best"] = w if mae <= r["mae"] else new["best"]
+    new["mae"], new["bound"] = min(mae, r["mae"]), max(slope.min(), r["bound"])
+    if new["mae"] - new["bound"] <= gap * new["mae"] + TINY:
+        return new
+    rounded = r["_h"] / r["_n"]
+    if rounded > r["value"] * (1 + 1e-13) and r["step"] > 1e-9:
+        new["step"] = r["step"] / 2
+        new["w"] = new["base"] + new["step"] * (new["target"] - new["base"])
+        return new
+    # The gap is what rounding leaves and what is left of the slope; the width shrinks once the
+    # latter is the smaller part, or where sums of this precision show no further descent.
+    left = float(slope @ w - slope.min())
+    new["value"] = rounded
+    if left <= max(mae - float(slope @ w), 0.0) or r["step"] <= 1e-9:
+        new["width"] = max(r["width"] * SHARPEN, 1e-12)
+    a = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i, n):
+            a[i, j] = a[j, i] = r[f"_a{i}_{j}"] / r["_n"]
+    new["base"], new["step"] = w, 1.0
+    new["target"] = new["w"] = _simplex_minimum(a, a @ w - slope, w)
+    return new
+
+
+# ---- weights in hundredths --------------------------------------------------------------
+
+
+def simplex_grid(n: int, step: int = COARSE) -> list[tuple[int, ...]]:
+    """All weight vectors in multiples of ``step`` hundredths that sum to 100."""
+    units = 100 // step
+    return [tuple(step * u for u in (*head, units - sum(head)))
+            for head in itertools.product(range(units + 1), repeat=n - 1) if sum(head) <= units]
+
+
+def simplex_moves(n: int, step: int, reach: int = REACH) -> list[tuple[int, ...]]:
+    """All moves of up to ``reach`` steps per weight that keep the sum."""
+    return [tuple(step * m for m in move)
+            for move in itertools.product(range(-reach, reach + 1), repeat=n) if sum(move) == 0]
+
+
+def _best(cells: DataFrame, keys: Sequence[str], moves: Sequence[Sequence[int]],
+          around: bool) -> DataFrame:
+    """Smallest-MAE candidate per key: one running sum per candidate in a single aggregation.
+
+    Candidates are ``moves`` themselves, or ``moves`` added to the weights ``_b{i}`` on the
+    row. Rows are never multiplied by candidates and no candidate table is joined. A candidate
+    with a negative weight scores NULL and is skipped. Ties go to the earliest candidate.
+    """
+    n = len(moves[0])
+    scores = []
+    for move in moves:
+        w = [f"(_b{i} + {m})" if around else str(m) for i, m in enumerate(move)]
+        mix = " + ".join(f"{w[i]} * _p{i}" for i in range(n))
+        error = f"abs(y_true - ({mix}) / 100)"
+        if around:
+            allowed = " and ".join(f"{x} >= 0" for x in w)
+            error = f"case when {allowed} then {error} end"
+        scores.append(f"round(avg({error}), 9)")
+    base = [f"first(_b{i}) as _b{i}" for i in range(n)] if around else []
+    scored = cells.groupBy(*keys).agg(
+        F.expr(f"array({', '.join(scores)}) as _scores"), *[F.expr(x) for x in base],
+        F.count(F.lit(1)).alias("n_cells"))
+    table = "array(" + ", ".join(f"array({', '.join(map(str, m))})" for m in moves) + ")"
+    pick = f"element_at({table}, cast(array_position(_scores, array_min(_scores)) as int))"
+    return scored.withColumn("_pick", F.expr(pick)).select(
+        *keys, *[F.expr(f"{f'_b{i} + ' if around else ''}_pick[{i}] as _b{i}") for i in range(n)],
+        F.array_min("_scores").alias("mae"), "n_cells")
+
+
+def search_weights(frame: DataFrame, models: Sequence[str], keys: Sequence[str] = ("series_id",)
+                   ) -> DataFrame:
+    """E4 in hundredths: (keys, model, weight, mae, n_cells) of the coarse-to-fine search.
+
+    The grid grows fast with the members: meant for a handful of them, ``fit_weights`` takes any
+    number and says how far from the smallest error it is.
+    """
+    keys, n = list(keys), len(models)
+    cells = materialize(member_columns(frame, models, [k for k in keys if k != "series_id"]),
+                        "weights")
+    best = _best(cells, keys, simplex_grid(n), around=False)
+    for step in REFINE:
+        rows = attach(cells, best.select(*keys, *[f"_b{i}" for i in range(n)]), keys, "origin")
+        best = _best(rows, keys, simplex_moves(n, step), around=True)
+    pairs = F.array(*[
+        F.struct(F.lit(m).alias("model"), (F.col(f"_b{i}") / 100).alias("weight"))
+        for i, m in enumerate(models)])
+    return best.select(*keys, "mae", "n_cells", F.inline(pairs))
 
 
 def regime_day_counts(labels: DataFrame) -> DataFrame:
@@ -283,13 +368,19 @@ def fit_regime_weights(frame: DataFrame, models: Sequence[str], threshold: float
 
     Returns (series_id, regime, model, weight, mae, bound, n_cells).
     """
+    labelled = labelled_by_regime(frame, threshold, min_days)
+    return fit_weights(labelled, models, ("series_id", "regime"), test_days, strict)
+
+
+def labelled_by_regime(frame: DataFrame, threshold: float | DataFrame, min_days: int = 20
+                       ) -> DataFrame:
+    """``frame`` with the regime of its days; one with fewer than ``min_days`` days is refused."""
     labels = regime_labels(frame, threshold)
     counts = labels.groupBy("series_id").agg(*[
         F.count_if(F.col("regime") == r).alias(r) for r in (CALM, STRESSED)])
     refuse_any(counts.filter(F.least(CALM, STRESSED) < min_days),
                f"each regime needs {min_days} validation days or more")
-    labelled = frame.join(labels, ["series_id", "origin"])
-    return fit_weights(labelled, models, ("series_id", "regime"), test_days, strict)
+    return frame.join(labels, ["series_id", "origin"])
 
 
 def regime_threshold(train: DataFrame, validation: DataFrame,
