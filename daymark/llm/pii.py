@@ -6,13 +6,14 @@ that may be an address, a card or a phone number. Gradient-boosted trees score e
 its format (length, digits, separators, brackets) and its context (neighbouring characters, words
 before it).
 
-They learn from a bounded hash sample of the documents. Positives are base spans rewritten, in
-their context, into the loose forms the generators are there for: worded or spaced signs, no plus,
+They learn from all documents, which the hash of their text deals into two halves. Positives are
+base spans rewritten, in their context, into the loose forms the generators are there for: worded or spaced signs, no plus,
 other separators. Negatives are clear non-data: proposals that lie in a base span of another kind,
 that cannot be one of their kind, that hang on a letter, or that a word before them names as some
-other number. All other proposals are what the trees are to decide and are in neither class. For
-every kind the threshold is the lowest probability from which examples of a second sample reach
-``PRECISION``; a kind that never does adds nothing. Proposals above it that pass their kind's check
+other number. All other proposals are what the trees are to decide and are in neither class. The
+trees are fitted on the first half; for every kind the threshold is the lowest probability from
+which all examples of the second half reach ``PRECISION``; a kind that never does adds nothing.
+The patterns run over the documents once: what examples need is stored with the proposals. Proposals above it that pass their kind's check
 and overlap no base span are added, the likeliest first.
 
 Patterns are written so that Java's matcher neither recurses nor restarts inside a run it has
@@ -53,14 +54,14 @@ WIDE = {
 CONTEXT = {
     "email": r"mail|contact|write", "ip": r"\bip\b|server|host|addr",
     "card": r"card|visa|credit|pay", "phone": r"tel|phone|call|fax|mobil"}
+#: Code points on each side of a base span that its examples keep.
+AROUND = 40
 #: Words before a number that name it as none of these.
 OTHER_NUMBER = (r"order|invoice|\bid\b|\bref|number|\bno\b|isbn|version|\bdate|serial|ticket|total"
                 r"|item|part")
 BEFORE = 24
-#: Documents in each of the two samples, about and at most.
-MAX_SAMPLE = 10_000
 PRECISION = 0.99
-#: Proposals of a kind that the second sample must show before it gets a threshold.
+#: Proposals of a kind that the second half must show before it gets a threshold.
 MIN_SEEN = 50
 TREES, DEPTH = 15, 4
 
@@ -229,31 +230,37 @@ _MATCHES = [f"base_{k}" for k in KINDS] + [f"wide_{k}" for k in WIDE]
 
 
 def facts(docs: DataFrame, text_column: str) -> DataFrame:
-    """``docs`` without its text, with base (spans s, k, e) and the possible proposals (s, k, e, f)
-    that overlap no base span."""
+    """``docs`` without its text, with base (spans s, k, e), the proposals that overlap no base
+    span of their own kind, strict (base spans as k, before, m, after, the text and its
+    surroundings) and first, whether the document is in the first half."""
     frame = docs.withColumn("body", F.coalesce(F.col(text_column), F.lit("")))
     if text_column != "body":
         frame = frame.drop(text_column)
-    frame = _with_base(frame).withColumn("proposals", F.transform(
-        F.filter(_proposals(), lambda p: p["ok"] & ~p["taken"]),
-        lambda p: F.struct(*[p[c].alias(c) for c in ("s", "k", "e", "f")])))
+    body = F.col("body")
+
+    def around(b: Column) -> Column:
+        return F.struct(
+            b["k"].alias("k"), F.substring(body, F.greatest(b["s"] - AROUND, F.lit(0)) + 1,
+                                           F.least(b["s"], F.lit(AROUND))).alias("before"),
+            F.substring(body, b["s"] + 1, b["e"] - b["s"]).alias("m"),
+            F.substring(body, b["e"] + 1, F.lit(AROUND)).alias("after"))
+
+    million = 1_000_000
+    frame = _with_base(frame).withColumns({
+        "proposals": F.filter(_proposals(), lambda p: ~p["own"]),
+        "strict": F.transform("base", around),
+        "first": F.pmod(F.xxhash64("body", F.lit(5)), F.lit(million)) < million // 2})
     return frame.drop("body", *_MATCHES)
 
 
-def examples(texts: DataFrame) -> DataFrame:
-    """(first, k, y, ok, f) from ``texts`` (first, body): loose forms and clear non-data."""
-    frame = _with_base(texts)
+def examples(found: DataFrame) -> DataFrame:
+    """(first, k, y, ok, f) from the facts of documents: loose forms and clear non-data."""
     near_other = FEATURES.index("near_other")
-    found = frame.select("first", F.explode(_proposals()).alias("p")).select("first", "p.*")
-    negative = found.filter(
+    negative = found.select("first", F.explode("proposals").alias("p")).select("first", "p.*").filter(
         (F.col("taken") & ~F.col("own"))
         | (~F.col("taken") & (~F.col("ok") | F.col("hangs") | (F.col("f")[near_other] > 0)))
     ).select("first", "k", F.lit(0).alias("y"), "ok", "f")
-    strict = frame.select("first", "body", F.explode("base").alias("b")).select(
-        "first", "b.k", F.substring("body", F.greatest(F.col("b.s") - 40, F.lit(0)) + 1,
-                                    F.least(F.col("b.s"), F.lit(40))).alias("before"),
-        F.substring("body", F.col("b.s") + 1, F.col("b.e") - F.col("b.s")).alias("m"),
-        F.substring("body", F.col("b.e") + 1, F.lit(40)).alias("after"))
+    strict = found.select("first", F.explode("strict").alias("b")).select("first", "b.*")
     draw = F.pmod(F.xxhash64("m", "before"), F.lit(4))
     form = reduce(lambda c, ik: c.when(F.col("k") == ik[0], loose_form(ik[1], F.col("m"), draw)),
                   enumerate(KINDS), F.when(F.lit(False), F.col("m")))
@@ -277,16 +284,10 @@ def _vectors(proposals: DataFrame) -> DataFrame:
         *FEATURES)
 
 
-def train(texts: DataFrame, limit: int = MAX_SAMPLE
-          ) -> tuple[GBTClassificationModel | None, dict[int, float]]:
-    """Trees and the threshold of each kind, from two samples of ``texts`` (body) that share no
-    text."""
-    million = 1_000_000
-    share = min(0.5, limit / max(1, texts.count()))
-    draw = F.pmod(F.xxhash64("body", F.lit(5)), F.lit(million))
-    sample = texts.withColumn("draw", draw).filter(F.col("draw") < int(2 * share * million)).select(
-        (F.col("draw") < int(share * million)).alias("first"), "body")
-    shown = _vectors(materialize(examples(sample), "pii-examples")).persist()
+def train(found: DataFrame) -> tuple[GBTClassificationModel | None, dict[int, float]]:
+    """Trees from the first half of the documents' facts and the threshold of each kind from the
+    second; the halves share no text."""
+    shown = _vectors(materialize(examples(found), "pii-examples")).persist()
     if shown.filter("first").select("y").distinct().count() < 2:
         shown.unpersist()
         return None, {}
@@ -318,7 +319,8 @@ def _threshold(bins: list[tuple[int, int, int]]) -> float | None:
 def added_spans(found: DataFrame, trees: GBTClassificationModel | None,
                 thresholds: dict[int, float]) -> DataFrame:
     """(row_key, added) of rows with spans that the trees add."""
-    open_ = found.select("row_key", F.explode("proposals").alias("p")).select("row_key", "p.*")
+    open_ = found.select("row_key", F.explode("proposals").alias("p")).select(
+        "row_key", "p.*").filter("ok AND NOT taken").select("row_key", "s", "k", "e", "f")
     if trees is None or not thresholds:
         return open_.select("row_key", F.array().cast("array<struct<s:int,k:int,e:int>>")
                             .alias("added")).limit(0)
@@ -334,7 +336,7 @@ def added_spans(found: DataFrame, trees: GBTClassificationModel | None,
             x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))))).alias("added"))
 
 
-def find_pii(docs: DataFrame, text_column: str = "text", limit: int = MAX_SAMPLE) -> DataFrame:
+def find_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` without its text, with base and spans: arrays of (s, k, e), k numbering KINDS.
 
     Columns of ``docs`` named like these are replaced.
@@ -344,9 +346,8 @@ def find_pii(docs: DataFrame, text_column: str = "text", limit: int = MAX_SAMPLE
                         F.col(text_column).alias("text"))
     found = materialize(facts(inner, "text").withColumn(
         "row_key", F.monotonically_increasing_id()), "pii-facts")
-    added = added_spans(found, *train(
-        inner.select(F.coalesce("text", F.lit("")).alias("body")), limit))
-    joined = found.drop("proposals").join(added, "row_key", "left")
+    added = added_spans(found, *train(found))
+    joined = found.drop("proposals", "strict", "first").join(added, "row_key", "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     return joined.select(
         *[F.col(f"d{i}").alias(c) for i, c in enumerate(own)], "base",

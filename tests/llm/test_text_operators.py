@@ -570,6 +570,21 @@ def test_obfuscated_items_are_added(spark):
     assert got[6000]["all"] == ""
 
 
+def test_rare_items_of_a_large_table_count_towards_their_threshold(spark):
+    """300 of 100,000 documents hold addresses: half of these give the threshold its 50 cases."""
+    rng = random.Random(23)
+    rows = []
+    for i in range(300):
+        name = "".join(rng.choice("abcdefgh") for _ in range(6))
+        digits = "".join(str(rng.randrange(10)) for _ in range(11))
+        rows.append((i, f"please write to {name}@host{i % 50}.com soon. your order {digits} is late"))
+    rows.append((400, "please write to someone (at) host (dot) com soon"))
+    plain = spark.range(1000, 101_000).select("id", F.concat(F.lit("nothing of note "), F.col("id")))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").union(plain)
+    got = pii.find_pii(docs).filter("doc_id = 400").select(pii.listing(F.col("spans"))).first()[0]
+    assert got == "email:16:43"
+
+
 def test_threshold_needs_precision_and_cases():
     assert pii._threshold([(99, 200, 200), (80, 100, 99), (50, 100, 10)]) == 0.8
     assert pii._threshold([(99, 10, 10)]) is None
