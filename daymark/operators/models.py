@@ -78,6 +78,18 @@ def run_rows(features: DataFrame, window: int, refit_every: int = 1,
         features.select(*SERIES_DAY, "x", "y"), SERIES_DAY)
 
 
+def own_tasks(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys`` to a fixed number of tasks, for work that is long on few rows.
+
+    A shuffle left to adaptive execution is merged by bytes, so that a few tasks get all runs. Most
+    of these tasks stay empty; so many keep the few keys of one series apart.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                32 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)
+
+
 def run_blocks(rows: DataFrame, window: int, one_block: Callable[[pd.DataFrame, pd.DataFrame],
                pd.DataFrame], schema: str) -> DataFrame:
     """``one_block(train, test)`` of every open block, run by run. An incomplete window is an
@@ -95,7 +107,8 @@ def run_blocks(rows: DataFrame, window: int, one_block: Callable[[pd.DataFrame,
             done.append(one_block(train, test))
         return pd.concat(done[1:] or done, ignore_index=True)
 
-    return rows.groupBy("series_id", "run").applyInPandas(one_run, schema)
+    return own_tasks(rows, "series_id", "run").groupBy("series_id", "run").applyInPandas(
+        one_run, schema)
 
 
 def _stack(column: pd.Series) -> np.ndarray:

@@ -50,15 +50,13 @@ class Boosted:
         m, trees, inner = self.feature.shape
         depth = (inner + 1).bit_length() - 1
         out = np.zeros((m, trees, len(x)), np.int32)
-        rows = np.arange(len(x))
+        rows, every = np.arange(len(x)), np.arange(trees)[:, None]
         for j in range(m):
-            for t in range(trees):
-                node = np.zeros(len(x), np.int64)
-                f, cut = self.feature[j, t], self.threshold[j, t]
-                for _ in range(depth):
-                    at = f[node]
-                    node = 2 * node + 1 + ((x[rows, at] > cut[node]) & (at >= 0))
-                out[j, t] = node - inner
+            node = np.zeros((trees, len(x)), np.int64)
+            for _ in range(depth):
+                at, cut = self.feature[j][every, node], self.threshold[j][every, node]
+                node = 2 * node + 1 + ((x[rows, at] > cut) & (at >= 0))
+            out[j] = node - inner
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -82,35 +80,35 @@ class Cuts:
             edges.append(cut)
             owner.append(np.full(len(cut), f))
         self.edge, self.owner = np.concatenate(edges), np.concatenate(owner)
-        self.x = x
-        self.below = _words(x[:, self.owner] <= self.edge)
+        seen = x.T[self.owner]
+        self.over = seen > self.edge[:, None]
+        below = seen <= self.edge[:, None]
+        self.below = np.ascontiguousarray(_words(below).T)
+        self.whole = below.sum(axis=1, dtype=np.float32)
 
     def counted(self, rows: np.ndarray) -> np.ndarray:
-        """How many of the marked rows are at most each edge; one line per column of ``rows``."""
-        marks = _words(rows)
-        out = np.empty((rows.shape[1], len(self.edge)), np.float32)
-        wide = np.uint16 if len(rows) < 1 << 16 else np.uint32
+        """How many of the marked rows are at most each edge; one line per line of ``rows``."""
+        out = np.empty((len(rows), len(self.edge)), np.float32)
+        wide = np.uint16 if rows.shape[1] < 1 << 16 else np.uint32
         both, bits = np.empty_like(self.below), np.empty(self.below.shape, np.uint8)
-        for i in range(rows.shape[1]):
-            np.bitwise_and(self.below, marks[:, i:i + 1], out=both)
+        for line, marks in zip(out, _words(rows), strict=True):
+            np.bitwise_and(self.below, marks[:, None], out=both)
             np.bitwise_count(both, out=bits)
-            out[i] = bits.sum(axis=0, dtype=wide)
+            line[:] = bits.sum(axis=0, dtype=wide)
         return out
 
 
 def _words(flags: np.ndarray) -> np.ndarray:
-    """Rows of flags packed 64 to a word: (words, columns)."""
-    n, width = flags.shape
-    words = -(-n // 64)
-    packed = np.zeros((words * 8, width), np.uint8)
-    packed[:-(-n // 8)] = np.packbits(flags, axis=0, bitorder="little")
-    bytes_ = np.ascontiguousarray(packed.reshape(words, 8, width).transpose(0, 2, 1))
-    return bytes_.view(np.uint64).reshape(words, width)
+    """Lines of flags packed 64 to a word: (lines, words)."""
+    packed = np.packbits(flags, axis=1, bitorder="little")
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
 
 
 def _medians(values: np.ndarray, group: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Median and size of every group; an empty group has median 0."""
-    order = np.lexsort((values, group))
+    order = np.argsort(values)
+    few = group.astype(np.min_scalar_type(n_groups))
+    order = order[np.argsort(few[order], kind="stable")]
     ranked, size = values[order], np.bincount(group, minlength=n_groups)
     start = np.cumsum(size) - size
     low, high = start + np.maximum(size - 1, 0) // 2, start + size // 2
@@ -129,32 +127,29 @@ def fit_boosted(cuts: Cuts, y: np.ndarray, params: TreeParams,
     value = np.zeros((m, params.trees, n_leaves))
     cover = np.zeros((m, params.trees, n_leaves), np.int64)
     base = np.median(y, axis=0)
-    left = y - base
-    rows, targets = np.arange(n)[:, None], np.arange(m)
+    left = np.ascontiguousarray((y - base).T)
+    targets, rows = np.arange(m)[:, None], np.arange(n)
     for t in range(params.trees):
         sign = np.sign(left)
-        node = np.zeros((n, m), np.int64)
-        told = None  # rows and sums of signs, at most each edge and in all: m x nodes (x edges)
+        node = np.zeros((m, n), np.int64)
+        told = None  # rows and sums of signs at most each edge: m x nodes x edges
         for level in range(params.depth if len(cuts.edge) else 0):
             width = 1 << level
             # Left children are counted, right ones are what remains of the parent.
-            half = max(width // 2, 1)
-            counted = np.zeros((n, m, half), bool)
-            counted[rows, targets, node >> 1 if level else node] = node & 1 == 0 if level else True
-            made = [_of_signs(cuts, counted, sign)]
-            if level:
-                made.append([a - b for a, b in zip(told, made[0], strict=True)])
-                told = [np.stack(pair, axis=2).reshape(m, width, *pair[0].shape[2:])
-                        for pair in zip(*made, strict=True)]
-            else:
-                told = made[0]
-            best, gain = _best_splits(*told, params.min_leaf)
+            lefts = np.arange(0, width, 2)[:, None]
+            made = _of_signs(cuts, node[:, None] == lefts, sign, whole=level == 0)
+            told = made if told is None else [
+                np.stack([a, b - a], axis=2).reshape(m, width, -1)
+                for a, b in zip(made, told, strict=True)]
+            group = (targets * width + node).ravel()
+            total = [np.bincount(group, weight, m * width).reshape(m, width)
+                     for weight in (None, sign.ravel())]
+            best, gain = _best_splits(*told, *total, params.min_leaf)
             splits = gain > 1e-6
             at = feature[:, t, width - 1:2 * width - 1]
             at[:] = np.where(splits, cuts.owner[best], -1)
             threshold[:, t, width - 1:2 * width - 1] = np.where(splits, cuts.edge[best], 0.0)
-            here = best[targets, node]
-            right = (cuts.x[rows, cuts.owner[here]] > cuts.edge[here]) & splits[targets, node]
+            right = cuts.over[best[targets, node], rows] & splits[targets, node]
             node = 2 * node + right
         group = (targets * n_leaves + node).ravel()
         middle, size = _medians(left.ravel(), group, m * n_leaves)
@@ -162,25 +157,23 @@ def fit_boosted(cuts: Cuts, y: np.ndarray, params: TreeParams,
         cover[:, t] = size.reshape(m, n_leaves)
         left = left - value[targets, t, node]
         if watch is not None:
-            watch(t, left)
+            watch(t, left.T)
     return Boosted(base, feature, threshold, value, cover)
 
 
-def _of_signs(cuts: Cuts, rows: np.ndarray, sign: np.ndarray) -> list[np.ndarray]:
-    """Of the marked rows of every (target, node): rows and sum of signs at most each edge, and the
-    same over all of them."""
-    n, m, nodes = rows.shape
-    flat = rows.reshape(n, m * nodes)
-    up = (rows & (sign > 0)[..., None]).reshape(n, m * nodes)
-    below = cuts.counted(flat)
-    rising = cuts.counted(up)
-    if (sign == 0).any():
-        signs = rising - cuts.counted((rows & (sign < 0)[..., None]).reshape(n, m * nodes))
-    else:
-        signs = 2 * rising - below
-    total = np.einsum("nmk,nm->mk", rows, sign)
-    return [below.reshape(m, nodes, -1), signs.reshape(m, nodes, -1),
-            rows.sum(axis=0).astype(np.float64), total]
+def _of_signs(cuts: Cuts, rows: np.ndarray, sign: np.ndarray, whole: bool) -> list[np.ndarray]:
+    """Of the marked rows of every (target, node), or of the ``whole`` window: rows and sum of
+    signs at most each edge."""
+    m, nodes, n = rows.shape
+    count = lambda marked: cuts.counted(marked.reshape(-1, n)).reshape(m, nodes, -1)
+    below = np.broadcast_to(cuts.whole, (m, 1, len(cuts.whole))) if whole else count(rows)
+    signs = 2 * count(rows & (sign > 0)[:, None]) - below
+    # Residuals of 0 are rare: only the nodes that hold some are counted once more.
+    level = rows & (sign == 0)[:, None]
+    some = level.any(axis=-1)
+    if some.any():
+        signs[some] += cuts.counted(level[some])
+    return [below, signs]
 
 
 def _best_splits(n_left: np.ndarray, s_left: np.ndarray, count: np.ndarray, sign: np.ndarray,

@@ -46,6 +46,19 @@ def _seen(spark, feats, window, every, **more):
     return rows, sorted((r["train"], r["test"]) for r in got)
 
 
+def test_runs_are_not_merged_into_few_tasks(spark):
+    def where(train, test):
+        import pandas as pd
+        from pyspark import TaskContext
+        return pd.DataFrame({"task": [TaskContext.get().partitionId()], "n": [len(test)]})
+
+    feats = X.build_features(encoded(spark, 60)).cache()
+    got = M.run_blocks(M.run_rows(feats, 10, 4, run_days=4), 10, where, "task int, n int").collect()
+    # 43 origins in runs of one block; by their bytes all of them would fit in one task.
+    assert sum(r["n"] for r in got) == 43 and len(got) == 11
+    assert len({r["task"] for r in got}) >= 9
+
+
 def test_walk_forward_blocks_see_exactly_their_window(spark):
     feats = X.build_features(encoded(spark, 40)).cache()
     first = (DAY0 + dt.timedelta(days=7)).date()
