@@ -169,10 +169,10 @@ def _of_signs(cuts: Cuts, rows: np.ndarray, sign: np.ndarray, whole: bool) -> li
     below = np.broadcast_to(cuts.whole, (m, 1, len(cuts.whole))) if whole else count(rows)
     signs = 2 * count(rows & (sign > 0)[:, None]) - below
     # Residuals of 0 are rare: only the nodes that hold some are counted once more.
-    level = rows & (sign == 0)[:, None]
-    some = level.any(axis=-1)
+    still = rows & (sign == 0)[:, None]
+    some = still.any(axis=-1)
     if some.any():
-        signs[some] += cuts.counted(level[some])
+        signs[some] += cuts.counted(still[some])
     return [below, signs]
 
 
